@@ -10,6 +10,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .sharding import place
+from .simhash import near_groups
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(documents(spark, sf_dir))
 
@@ -29,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
+        "op8_simhash_groups": op8_simhash_groups,
         "op9_rendezvous_shards": op9_rendezvous_shards,
     }
 
