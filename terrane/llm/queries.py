@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .importance import resample
 from .langid import identify
 from .mixing import mix_sources
+from .packing import pack
 from .sharding import place
 from .simhash import near_groups
 
@@ -40,6 +41,10 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(documents(spark, sf_dir))
 
 
+def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op8_simhash_groups": op8_simhash_groups,
         "op9_rendezvous_shards": op9_rendezvous_shards,
+        "op10_curve_packing": op10_curve_packing,
     }
 
 
