@@ -12,10 +12,15 @@ from .importance import resample
 from .langid import identify
 from .mixing import mix_sources
 from .packing import pack
+from .pii import pseudonymise
 from .sharding import place
 from .simhash import near_groups
 
 
+#: A key for test data; a real one comes from the caller.
+PII_KEY = "not a secret"
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -25,6 +30,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir), key=PII_KEY)
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
+        "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_importance_resampling": op5_importance_resampling,
         "op6_language_id": op6_language_id,
         "op8_simhash_groups": op8_simhash_groups,
