@@ -16,6 +16,7 @@ from .pii import pseudonymise
 from .sharding import place
 from .simhash import near_groups
 
+from .winnowing import edited_fingerprints
 
 #: A key for test data; a real one comes from the caller.
 PII_KEY = "not a secret"
@@ -30,6 +31,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(documents(spark, sf_dir), key=PII_KEY)
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_mix_sources": op2_mix_sources,
+        "op3_winnowing": op3_winnowing,
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_importance_resampling": op5_importance_resampling,
         "op6_language_id": op6_language_id,
