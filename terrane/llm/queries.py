@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .exact_dedup import exact_dedup
 from .importance import resample
+from .katz import katz_scores
 from .langid import identify
 from .mixing import mix_sources
 from .packing import pack
@@ -47,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op5_importance_resampling": op5_importance_resampling,
         "op6_language_id": op6_language_id,
+        "op7_katz_scores": op7_katz_scores,
         "op8_simhash_groups": op8_simhash_groups,
         "op9_rendezvous_shards": op9_rendezvous_shards,
         "op10_curve_packing": op10_curve_packing,
