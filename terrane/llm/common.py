@@ -11,6 +11,7 @@ Conventions that hold for every operator of this package:
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Workspace:
+    """Tables in the shared folder that live as long as one computation."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-")
+        self.spark, self.name = spark, f"terrane_{uuid.uuid4().hex}"
+        self.path = f"{base}/{self.name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def table(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        df.write.partitionBy(by).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Dealt by ``by`` once, as the session deals shuffles, so that joins by it don't deal it again."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, by).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
+        return self.spark.table(f"{self.name}_{name}")
+
+    def drop(self) -> None:
+        for t in self.spark.catalog.listTables(pattern=f"{self.name}_*"):
+            self.spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound what one Arrow batch holds, in rows and bytes, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -21,19 +21,17 @@ are discounted by a constant instead; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordarrays as W
-from .common import cut, held_out_of, small_batches
+from .common import Workspace, cut, held_out_of, small_batches
 
 END = np.uint64(1)
 #: The number of the context at a text's start; words have numbers from 0.
@@ -48,31 +46,6 @@ OWNED = 3_000_000
 HOT = 512
 
 
-class Workspace:
-    """Tables in the shared folder that live as long as one computation."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-")
-        self.spark, self.name = spark, f"terrane_{uuid.uuid4().hex}"
-        self.path = f"{base}/{self.name}"
-
-    def table(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        df.write.partitionBy(by).parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        """Dealt by ``by`` once, as the session deals shuffles, so that joins by it don't deal it again."""
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.bucketBy(buckets, by).option("path", f"{self.path}/{name}").saveAsTable(f"{self.name}_{name}")
-        return self.spark.table(f"{self.name}_{name}")
-
-    def drop(self, keep: str | None = None) -> None:
-        for t in self.spark.catalog.listTables(pattern=f"{self.name}_*"):
-            self.spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def squeeze(x: np.ndarray) -> bytes:
     """An array of unsigned numbers, small ones few bytes: byte planes, compressed."""
     import zstandard
@@ -96,17 +69,19 @@ class Discount:
     """Multipliers of counts: Good-Turing up to K where the counts of counts allow it, else a constant subtracted."""
 
     def __init__(self, of: list[int]) -> None:
-        """``of[r]``: how many n-grams were seen r times, r from 1 to K + 1 (of[0] is not used)."""
+        """``of[r]``: how many n-grams were seen r times, r from 1 to K + 1 (of[0] is not used).
+
+        The discounts are those of the largest cut-off, K at most, for which all lie between 0 and 1.
+        """
         n = [float(x) for x in of]
         self.low = np.ones(K + 1)
         self.constant = 0.0
-        common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-        good = all(n[1:]) and common < 1
-        if good:
-            d = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, K + 1)]
-            good = all(0 < x < 1 for x in d)
-        if good:
-            self.low[1:] = d
+        for k in range(K, 1, -1):
+            if all(n[1 : k + 2]) and (common := (k + 1) * n[k + 1] / n[1]) < 1:
+                d = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) for r in range(1, k + 1)]
+                if all(0 < x < 1 for x in d):
+                    self.low[1 : k + 1] = d
+                    break
         else:
             self.constant = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] else 0.5
             self.low[1:] = [(r - self.constant) / r for r in range(1, K + 1)]

@@ -163,6 +163,20 @@ def predict_languages(docs: DataFrame, languages: list[str], prototypes: np.ndar
     return kept.mapInArrow(batches, f"{schema}{', ' * bool(schema)}lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, languages: list[str], prototypes: np.ndarray, least: float = 0.02, text: str = "text", n: int = 3, seed: int = 6) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is determined with a score of ``least`` or more."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor(languages, prototypes, n, seed)
+        for batch in it:
+            langs, scores = predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([name != UNDETERMINED and score >= least for name, score in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", modulus: int = 4, **how) -> DataFrame:
     """Learns from the documents that are not held out and judges all: doc_id, held_out, lang_pred, score."""
     languages, prototypes = learn(docs.where(learns(F.col(doc_id), modulus)), text, lang, **how)

@@ -168,3 +168,9 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "t
     known = cut(nodes.where("rep is not null"))
     joined = known.join(components(links(known, radius)), F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(joined, F.col("fp") == F.col("of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those whose component has a smaller doc_id; a null doc_id stays."""
+    gone = near_groups(docs, words, radius, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
