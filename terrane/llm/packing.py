@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
+from .wordarrays import lay_out, word_table
 
 MEMO = 400_000
 #: Longer words are tokenized without being remembered.
@@ -55,6 +56,12 @@ class Tokenize:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id ends a word, by id.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.mark, self.alnum = np.zeros(256, bool), np.zeros(256, bool)
+        self.mark[list(b".,")] = self.alnum[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def at(cls, path: str) -> Tokenize:
@@ -67,34 +74,55 @@ class Tokenize:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, words: set[bytes]) -> None:
-        memo, stems = self.memo, {}
+    def _encode_all(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Words with their ids. Words of letters alone are tokenized in lines: each ends at the next id that ends a word."""
+        plain, other = [], []
         for w in words:
-            # a letter or digit and the mark after it are always split; case is dropped but in names of special tokens
-            stem = w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalnum() else w
-            stems[w] = stem if b"<|" in stem else stem.lower()
-        new = list({s for s in stems.values() if s not in memo} | {m for m in (b".", b",") if m not in memo})
-        for i in range(0, len(new), 4096):
-            memo.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096]), strict=True))
-        for w, stem in stems.items():
-            if w not in memo:
-                memo[w] = memo[stem] + (memo[w[-1:]] if len(stem) < len(w) else b"")
+            text = w.decode("utf-8", "replace")
+            (plain if text.isalpha() and text.lower().isalpha() else other).append((w, text))
+        lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        out = []
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([text for _, text in line]) for line in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(line):
+                data, ends = ids.tobytes(), (4 * cuts).tolist()
+                out += [(w, data[a:b]) for (w, _), a, b in zip(line, [0, *ends], ends, strict=False)]
+            else:
+                other += line
+        out += zip([w for w, _ in other], self._encode([w for w, _ in other]), strict=True)
+        return out
+
+    def _split(self, texts: list[str | None]) -> list[list[bytes]]:
+        """The texts' words, A-Z in lower case as the tokenizer has it, a point or comma after a letter or digit set apart."""
+        data, offsets = lay_out(texts)
+        at = np.flatnonzero(self.mark[data])
+        at = at[(at > 0) & (at < len(data) - 1)]
+        at = at[self.alnum[data[at - 1]] & (word_table()[data[at + 1]] == 0)]
+        line = np.insert(data, at, 32).tobytes()
+        offsets = (offsets + np.searchsorted(at, offsets)).tolist()
+        return [line[a:b].split() for a, b in zip(offsets, offsets[1:], strict=False)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        memo, out = self.memo, []
-        for words in split:
-            missing = set(words).difference(memo)
-            if missing:
-                if len(memo) + len(missing) > MEMO:
-                    memo.clear()
-                    missing = set(words)
-                self._learn({w for w in missing if len(w) <= LONG})
-                long = [w for w in missing if len(w) > LONG]
-                rare = dict(zip(long, self._encode(long), strict=True)) if long else {}
-                out.append(b"".join([memo[w] if w in memo else rare[w] for w in words]) if rare else b"".join(map(memo.__getitem__, words)))
-            else:
-                out.append(b"".join(map(memo.__getitem__, words)))
+        # names of special tokens, of which case matters, are left to the tokenizer alone
+        special = {i for i, t in enumerate(texts) if t and "<|" in t}
+        split = self._split([None if i in special else t for i, t in enumerate(texts)] if special else texts)
+        memo = self.memo
+        missing = set().union(*split).difference(memo)
+        if len(memo) + len(missing) > MEMO:
+            memo.clear()
+            missing = set().union(*split)
+        new = sorted(w for w in missing if len(w) <= LONG)
+        for i in range(0, len(new), 16_384):
+            memo.update(self._encode_all(new[i : i + 16_384]))
+        if len(new) == len(missing):
+            out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        else:
+            rare = [w for w in missing if len(w) > LONG]
+            rare = dict(zip(rare, self._encode(rare), strict=True))
+            out = [b"".join([memo[w] if w in memo else rare[w] for w in words]) for words in split]
+        for i in special:
+            out[i] = self._encode([texts[i].encode("utf-8", "replace")])[0]
         return out
 
 
