@@ -33,7 +33,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def select_grams(text: Column, k: int = 4, w: int = 8) -> Column:
+def select_grams(text: Column, k: int = 3, w: int = 4) -> Column:
     """The selected grams of a text in ascending position, an array of longs; see :func:`gram_hash` and :func:`gram_place`."""
     units = F.transform(F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
     full = (1 << PLACE) - 1
@@ -78,7 +78,7 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.struct(both.alias("n"), F.size(F.array_union(a, b)).alias("of")), lambda x: F.when(x["of"] == 0, 1.0).otherwise(x["n"] / x["of"]))
 
 
-def fingerprints(docs: DataFrame, k: int = 4, w: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3, w: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (array of selected grams), one row per document; needs no shuffle."""
     return docs.select(F.col(doc_id).alias("doc_id"), select_grams(text_of(text), k, w).alias("fingerprint"))
 
@@ -122,7 +122,7 @@ def bucket_of(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) < value), at + step).otherwise(at))
 
 
-def edited_fingerprints(docs: DataFrame, k: int = 4, w: int = 8, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = 3, w: int = 4, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, whose second half is the beginning of the next document.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
