@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import running_total, text_of, word_count
+from .common import cut, running_total, text_of, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
@@ -62,6 +62,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
         word_count(text_of(text)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("shuffle_hash"),
     ).withColumn("bucket", F.shiftrightunsigned("shuffle_hash", 64 - bits))
+    rows = cut(rows)  # numbers only: the texts are read once
     group = ["no_source", "source_key"]
     queued = running_total(rows, group, "bucket", [F.col("shuffle_hash"), F.col("doc_id"), F.col("size")], "size", "words_before", "__size")
     targets = source_targets(rows.groupBy(*group).agg(F.sum("size").alias("source_size")), weights, max_epochs)
