@@ -29,8 +29,23 @@ FOREIGN_KEYS = [
     ("part", "p_partkey", "lineitem", "l_partkey"),
     ("supplier", "s_suppkey", "lineitem", "l_suppkey"),
 ]
-OLD = "a int not null, b string, c struct<x:int,y:string>, d decimal(10,2), e array<int>, f map<string,date>, g int, r int"
-NEW = "a bigint not null, b string not null, c struct<x:int,y:string,z:double>, d decimal(12,2), e array<bigint>, f map<string,timestamp>, g array<int>, q int, n string not null"
+
+
+def _struct(*fields: tuple) -> T.StructType:
+    """A schema of (name, type) and (name, type, False) for what is not nullable."""
+    return T.StructType([T.StructField(*f) for f in fields])
+
+
+INT, STRING = T.IntegerType(), T.StringType()
+#: Two versions of a schema with every kind of change.
+OLD = _struct(
+    ("a", INT, False), ("b", STRING), ("c", _struct(("x", INT), ("y", STRING))), ("d", T.DecimalType(10, 2)), ("e", T.ArrayType(INT)),
+    ("f", T.MapType(STRING, T.DateType())), ("g", INT), ("r", INT),
+)
+NEW = _struct(
+    ("a", T.LongType(), False), ("b", STRING, False), ("c", _struct(("x", INT), ("y", STRING), ("z", T.DoubleType()))), ("d", T.DecimalType(12, 2)), ("e", T.ArrayType(T.LongType())),
+    ("f", T.MapType(STRING, T.TimestampType())), ("g", T.ArrayType(INT)), ("q", INT), ("n", STRING, False),
+)
 TERMS = ["the", "die", "que", "les"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,15 +108,14 @@ def r5_find_fields(spark, sf_dir):
     return S.find_fields(_fields(spark, sf_dir), like="key$|_id$", type="bigint").select("subject", "path", "type")
 
 
-def _values(ddl: str) -> str:
-    rows = [f"('{path}', '{kind}', {str(nullable).lower()})" for _, path, _, _, kind, nullable, _ in S.flatten(T.StructType.fromDDL(ddl))]
-    return f"(VALUES {', '.join(rows)}) AS t(path, type, nullable)"
+def _values(schema: T.StructType) -> str:
+    return f"(VALUES {', '.join(f"('{path}', '{kind}', {str(nullable).lower()})" for _, path, _, _, kind, nullable, _ in S.flatten(schema))})"
 
 
 _DIFF_SQL = f"""
     pairs AS (
         SELECT coalesce(a.path, b.path) AS path, a.path AS a_path, b.path AS b_path, a.type AS old_type, b.type AS new_type, a.nullable AS old_nullable, b.nullable AS new_nullable
-        FROM {_values(OLD)[:-len(' AS t(path, type, nullable)')]} AS a(path, type, nullable) FULL JOIN {_values(NEW)[:-len(' AS t(path, type, nullable)')]} AS b(path, type, nullable) ON a.path = b.path),
+        FROM {_values(OLD)} AS a(path, type, nullable) FULL JOIN {_values(NEW)} AS b(path, type, nullable) ON a.path = b.path),
     changes AS (
         SELECT path, 'added' AS change, old_type, new_type, old_nullable, new_nullable FROM pairs WHERE a_path IS NULL
         UNION ALL SELECT path, 'removed', old_type, new_type, old_nullable, new_nullable FROM pairs WHERE b_path IS NULL
@@ -112,7 +126,7 @@ _DIFF_SQL = f"""
 
 
 def _diff(spark: SparkSession) -> DataFrame:
-    old, new = (S.fields_frame(spark, [("example", v, S.as_schema(spark, ddl))]) for v, ddl in ((1, OLD), (2, NEW)))
+    old, new = (S.fields_frame(spark, [("example", v, schema)]) for v, schema in ((1, OLD), (2, NEW)))
     return S.diff(old, new)
 
 
