@@ -10,7 +10,7 @@ alone. The document in service at V is cut at that word, so a source's take is i
 target to the nearest word.
 
 Scale: the running word count inside a source comes from :func:`~terrane.llm.common.running_total`,
-which deals a source over ``2**bits`` buckets of the shuffle hash, so that a source with a third of all rows
+which deals a source over ``16**digits`` buckets of the shuffle hash, so that a source with a third of all rows
 is no single task. What meets in one place are sums per (source, bucket) and the list of sources.
 
 Defined cases: a null text has 0 words; null is a source of its own, after all others; documents
@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int)
     return rows.select("no_source", "source_key", "source_size", "weight", "target", F.round("target").cast("long").alias("quota"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 20, bits: int = 12, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 20, digits: int = 3, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, full_copies, part_words, virtual_finish.
 
     ``taken`` is ``full_copies * size + part_words``; ``virtual_finish`` is the time at which the first copy
@@ -60,8 +60,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
         F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_key"),
         word_count(text_of(text)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("shuffle_hash"),
-    ).withColumn("bucket", F.shiftrightunsigned("shuffle_hash", 64 - bits))
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text_of(text)).cast("binary")).alias("shuffle_hash"),
+    ).withColumn("bucket", F.substring("shuffle_hash", 1, digits))
     rows = cut(rows)  # numbers only: the texts are read once
     group = ["no_source", "source_key"]
     queued = running_total(rows, group, "bucket", [F.col("shuffle_hash"), F.col("doc_id"), F.col("size")], "size", "words_before", "__size")
