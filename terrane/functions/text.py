@@ -30,7 +30,7 @@ def bigrams(text: Column | str) -> Column:
 
 
 def term_frequency(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+    return F.size(words) - F.size(F.array_remove(words, term))
 
 
 def snippet(text: Column | str, term: str, before: int = 20, width: int = 60) -> Column:

@@ -7,18 +7,12 @@ cycles end. Each level is cut into the shared folder when it is asked for: plans
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
-    return df.checkpoint()
+from .barriers import cut
 
 
 def edges_frame(spark: SparkSession, edges: list[tuple[str, str]]) -> DataFrame:
@@ -27,7 +21,7 @@ def edges_frame(spark: SparkSession, edges: list[tuple[str, str]]) -> DataFrame:
 
 def _levels(edges: DataFrame, seeds: DataFrame, max_depth: int, stop_at_seen: bool = False) -> list[DataFrame]:
     """Tables (seed, node, depth, paths), one per depth from 1 until nothing is reached."""
-    e = _cut(edges.select("src", "dst").distinct())
+    e = cut(edges.select("src", "dst").distinct())
     level = seeds.select("seed", F.col("seed").alias("node"), F.lit(1).cast("long").alias("paths"))
     seen, levels = level.select("seed", "node"), []
     for depth in range(1, max_depth + 1):
@@ -35,12 +29,12 @@ def _levels(edges: DataFrame, seeds: DataFrame, max_depth: int, stop_at_seen: bo
         level = step.select("seed", F.col("dst").alias("node"), "paths")
         if stop_at_seen:
             level = level.join(seen, ["seed", "node"], "left_anti")
-        level = _cut(level)
+        level = cut(level)
         if level.isEmpty():
             break
         levels.append(level.withColumn("depth", F.lit(depth)))
         if stop_at_seen:
-            seen = _cut(seen.unionByName(level.select("seed", "node")))
+            seen = cut(seen.unionByName(level.select("seed", "node")))
     return levels
 
 
@@ -85,7 +79,7 @@ def paths(edges: DataFrame, src: str, dst: str, max_depth: int = 20) -> DataFram
     found = []
     for depth in range(1, max_depth + 1):
         step = level.join(kept, F.element_at("nodes", -1) == kept["src"]).where(~F.array_contains("nodes", F.col("dst")))
-        step = _cut(step.select(F.concat("nodes", F.array("dst")).alias("nodes")))
+        step = cut(step.select(F.concat("nodes", F.array("dst")).alias("nodes")))
         if step.isEmpty():
             break
         found.append(step.where(F.element_at("nodes", -1) == dst).withColumn("length", F.lit(depth)))

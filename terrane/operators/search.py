@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 
 from terrane.functions.text import term_frequency, tokens
 
+from .barriers import computed, cut, let
+
 K1, B = 1.2, 0.75
 
 
@@ -30,16 +32,24 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, id: str, text: str, corpus: str = "default", field: str | None = None, tokenizer=tokens) -> DataFrame:
     """corpus, field, doc_id, term, pos (from 0): one row per token."""
-    words = docs.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), F.col(id).alias("doc_id"), tokenizer(F.col(text)).alias("words"))
-    return words.select("corpus", "field", "doc_id", F.posexplode("words").alias("pos", "term")).select("corpus", "field", "doc_id", "term", "pos")
+    # the outer form, because for the other one the optimizer tokenizes a second time, to see if there is a token
+    rows = docs.select(F.col(id).alias("doc_id"), F.posexplode_outer(tokenizer(F.col(text))).alias("pos", "term")).where("term is not null")
+    return rows.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), "doc_id", "term", "pos")
 
 
 def term_rows(docs: DataFrame, id: str, text: str, corpus: str = "default", field: str | None = None, buckets: int = 256, tokenizer=tokens) -> DataFrame:
-    """corpus, field, bucket, term, doc_id, tf, dl, positions: one row per term and document."""
-    words = docs.select(F.col(id).alias("doc_id"), tokenizer(F.col(text)).alias("words"))
-    tokens_ = words.select("doc_id", F.size("words").alias("dl"), F.posexplode("words").alias("pos", "term"))
-    grouped = tokens_.groupBy("doc_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), bucket_of(F.col("term"), buckets).alias("bucket"), "term", "doc_id", "tf", "dl", "positions")
+    """corpus, field, bucket, term, doc_id, tf, dl, positions: one row per term and document.
+
+    A document's tokens are sorted with their places inside its row and cut where the term changes: nothing is shuffled.
+    """
+
+    def runs(p: Column) -> Column:
+        starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x["term"] != F.get(p, i - 1)["term"]), i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.get(p, at)["term"].alias("term"), F.slice(p, at + 1, F.coalesce(F.get(s, j + 1), F.size(p)) - at)["pos"].alias("positions"), F.size(p).alias("dl"))))
+
+    places = let(tokenizer(F.col(text)), lambda w: F.sort_array(F.transform(w, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))))
+    rows = docs.select(F.col(id).alias("doc_id"), F.explode_outer(let(places, runs)).alias("r")).where("r is not null")
+    return rows.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), bucket_of(F.col("r.term"), buckets).alias("bucket"), "r.term", "doc_id", F.size("r.positions").alias("tf"), "r.dl", "r.positions")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -80,7 +90,8 @@ class Index:
             rows = term_rows(docs, id, field, corpus, field, self.buckets)
             rows.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/terms")
             dictionary(self.rows(corpus, field)).write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/dictionary")
-            corpus_stats(docs, id, field, corpus, field).write.mode("append").partitionBy("corpus", "field").parquet(f"{self.path}/stats")
+            size = self.rows(corpus, field).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).withColumn("n_docs", F.lit(docs.count()))
+            size.select(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avg_dl")).write.mode("append").partitionBy("corpus", "field").parquet(f"{self.path}/stats")
 
     def _read(self, table: str, corpus: str, field: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}").where((F.col("corpus") == corpus) & (F.col("field") == field))
@@ -161,55 +172,53 @@ def top(hits: DataFrame, k: int, digits: int = 4) -> DataFrame:
 # without an index
 
 
-def _counted(docs: DataFrame, id: str, text: str, terms: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """doc_id, extra columns, dl and the frequency tf0, tf1 ... of each term, one pass."""
-    words = docs.select(F.col(id).alias("doc_id"), *extra, tokens(text).alias("words"))
-    return words.select("doc_id", *extra, F.greatest(F.size("words"), F.lit(0)).alias("dl"), *[F.coalesce(term_frequency(F.col("words"), t), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)])
+def _words(docs: DataFrame, id: str, text: str, extra: Sequence[str] = ()) -> DataFrame:
+    return computed(docs.withColumn("__id", F.col(id)), ["__id", *extra], words=tokens(text)).withColumnRenamed("__id", "doc_id")
+
+
+def _has(term: str) -> Column:
+    return F.coalesce(F.array_contains("words", term), F.lit(False))
 
 
 def scan_any(docs: DataFrame, id: str, text: str, terms: Sequence[str]) -> DataFrame:
-    words = tokens(text)
-    return docs.where(F.arrays_overlap(words, F.array(*map(F.lit, terms)))).select(F.col(id).alias("doc_id"))
+    return docs.where(F.arrays_overlap(tokens(text), F.array(*map(F.lit, terms)))).select(F.col(id).alias("doc_id"))
 
 
 def scan_all(docs: DataFrame, id: str, text: str, terms: Sequence[str], none: Sequence[str] = ()) -> DataFrame:
     """Documents with all of ``terms`` and none of ``none``."""
-    words = docs.select(F.col(id).alias("doc_id"), tokens(text).alias("words"))
-    hits = words.where(reduce(lambda a, b: a & b, [F.array_contains("words", t) for t in terms]))
-    if none:
-        hits = hits.where(~F.arrays_overlap("words", F.array(*map(F.lit, none))))
+    hits = _words(docs, id, text).where(reduce(lambda a, b: a & b, [_has(t) for t in terms]))
+    for t in none:
+        hits = hits.where(~_has(t))
     return hits.select("doc_id")
 
 
 def scan_scores(docs: DataFrame, id: str, text: str, terms: Sequence[str], score: str = "bm25", extra: Sequence[str] = ()) -> DataFrame:
     """doc_id, extra columns, score of every document with a term.
 
-    Corpus figures are one aggregate row; they are attached by a left join on a constant, as a broadcast of that row.
+    Texts are read and tokenized once, for a row of numbers each, which are kept; the corpus's figures and then the scores come from those.
     """
-    counted = _counted(docs, id, text, terms, extra)
-    figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]).first()
-    parts = [F.when(F.col(f"tf{i}") > 0, SCORES[score](F.col(f"tf{i}"), F.lit(figures[f"df{i}"]), F.col("dl"), F.lit(figures["n"]), F.lit(figures["avg_dl"]))).otherwise(0.0) for i in range(len(terms))]
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    counts = {f"tf{i}": F.coalesce(term_frequency(F.col("words"), t), F.lit(0)) for i, t in enumerate(terms)}
+    counted = cut(_words(docs, id, text, extra).select("doc_id", *extra, F.coalesce(F.size("words"), F.lit(0)).alias("dl"), *[c.alias(n) for n, c in counts.items()]))
+    figures = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), *[F.count(F.when(F.col(n) > 0, 1)).alias(f"df_{n}") for n in counts]).first()
+    parts = [F.when(F.col(n) > 0, SCORES[score](F.col(n), F.lit(figures[f"df_{n}"]), F.col("dl"), F.lit(figures["n"]), F.lit(figures["avg_dl"]))).otherwise(0.0) for n in counts]
+    hit = reduce(lambda a, b: a | b, [F.col(n) > 0 for n in counts])
     return counted.where(hit).select("doc_id", *extra, sum(parts[1:], parts[0]).alias("score"))
 
 
-def scan_phrase(docs: DataFrame, id: str, text: str, words: Sequence[str]) -> DataFrame:
+def scan_phrase(docs: DataFrame, id: str, text: str, phrase: Sequence[str]) -> DataFrame:
     """doc_id, hits of a phrase, by looking at each place where its first word stands."""
-    w = docs.select(F.col(id).alias("doc_id"), tokens(text).alias("w"))
-    n = len(words)
-    at = lambda i: reduce(lambda a, b: a & b, [F.get("w", i + j) == words[j] for j in range(1, n)], F.lit(True))
-    w = w.where(F.array_contains("w", words[0]))
-    hits = F.size(F.filter(F.transform("w", lambda x, i: (x == words[0]) & F.coalesce(at(i), F.lit(False))), lambda x: x))
-    return w.select("doc_id", hits.cast("long").alias("hits")).where("hits > 0")
+    follows = lambda i: reduce(lambda a, b: a & b, [F.get("words", i + j) == phrase[j] for j in range(1, len(phrase))], F.lit(True))
+    hits = F.size(F.filter("words", lambda x, i: (x == phrase[0]) & F.coalesce(follows(i), F.lit(False))))
+    words = _words(docs, id, text).where(reduce(lambda a, b: a & b, [_has(t) for t in dict.fromkeys(phrase)]))
+    return computed(words, ["doc_id"], hits=hits.cast("long")).where("hits > 0")
 
 
 def scan_near(docs: DataFrame, id: str, text: str, a: str, b: str, distance: int) -> DataFrame:
     """doc_id, pairs: places of ``a`` and ``b`` at most ``distance`` words apart."""
-    w = docs.select(F.col(id).alias("doc_id"), tokens(text).alias("w")).where(F.array_contains("w", a) & F.array_contains("w", b))
-    places = lambda t: F.filter(F.transform("w", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
-    w = w.select("doc_id", places(a).alias("pa"), places(b).alias("pb"))
+    places = lambda t: F.filter(F.transform("words", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
+    w = computed(_words(docs, id, text).where(_has(a) & _has(b)), ["doc_id"], pa=places(a), pb=places(b))
     pairs = F.aggregate("pa", F.lit(0).cast("long"), lambda n, p: n + F.size(F.filter("pb", lambda q: F.abs(p - q) <= distance)))
-    return w.select("doc_id", pairs.alias("pairs")).where("pairs > 0")
+    return computed(w, ["doc_id"], pairs=pairs).where("pairs > 0")
 
 
 def facets(hits: DataFrame, docs: DataFrame, id: str, column: str) -> DataFrame:

@@ -12,6 +12,7 @@ from terrane.functions import text as X
 from terrane.operators import graph as G
 from terrane.operators import schemas as S
 from terrane.operators import search as Q
+from terrane.operators.barriers import computed
 from terrane.plans import lineage as L
 from terrane.sources import tables as IO
 
@@ -64,7 +65,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return IO.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def _schemas(spark: SparkSession, sf_dir: str) -> dict[str, T.StructType]:
@@ -497,7 +498,7 @@ def f15_near(spark, sf_dir):
 
 @query("f16_snippet", "SELECT doc_id, CASE WHEN instr(lower(text), 'stupid') > 0 THEN substr(text, greatest(instr(lower(text), 'stupid') - 20, 1), 60) END AS snippet FROM documents WHERE instr(lower(text), 'stupid') > 0")
 def f16_snippet(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.snippet("text", "stupid").alias("snippet")).where("snippet is not null")
+    return computed(_docs(spark, sf_dir), ["doc_id"], snippet=X.snippet("text", "stupid")).where("snippet is not null")
 
 
 @query("f17_suggest", f"WITH {_TOKENS_SQL} SELECT term, count(DISTINCT doc_id) AS df FROM tok WHERE starts_with(term, 'th') GROUP BY term ORDER BY df DESC, term LIMIT 10")

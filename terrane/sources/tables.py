@@ -15,6 +15,15 @@ def read(spark: SparkSession, path: str, format: str = "parquet", schema: T.Stru
     return (reader.schema(schema) if schema is not None else reader).format(format).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores, for tables of a few files that can't be split.
+
+    Tables of more partitions, as all large ones are, stay as they are, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def infer(spark: SparkSession, path: str, format: str = "parquet", **options) -> T.StructType:
     """The schema of files. Parquet and ORC keep it in their footers; JSON and CSV have to be read for it."""
     if format == "csv":
