@@ -17,26 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.operators.barriers import cut, let
+from terrane.sources.tables import spread
+
+__all__ = ["SPACE", "WORD", "Workspace", "cut", "documents", "held_out_of", "learns", "let", "running_total", "small_batches", "text_of", "word_count"]
+
 #: White space as the contracts define it: the space and the five ASCII control characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, its lineage cut there.
-
-    A lost executor then costs a read of shared files, not a new computation. The folder is the
-    cluster's ``spark.checkpoint.dir``; only where nothing is configured, as in local tests, a
-    temporary folder serves.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
-    return df.checkpoint(eager=True)
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 class Workspace:

@@ -18,11 +18,14 @@ characters long, and quantifiers are possessive or bounded, so that very long te
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 ROUNDS = 8
 #: Dates are permuted within spans of so many days, counted from 1900-01-01.
 DAYS = 73_000
@@ -37,18 +40,13 @@ PATTERNS = {
     "ymd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "dmy": r"[0-9]{1,2}(?<sep>[./])[0-9]{1,2}\k<sep>[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "card": r"[0-9](?:[ -]?[0-9]){12,18}",
+    "card": r"[0-9]{13,19}+|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}+|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 }
 #: A candidate starts where no longer word or number does, and ends likewise.
 PATTERN = r"(?<![A-Za-z0-9_+@])(?<![0-9]\.)(?:" + "|".join(PATTERNS.values()) + r")(?![A-Za-z0-9_])"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def power(base: int, exponent: Column) -> Column:
     """base ** exponent as a long; exact below 2**53."""
     return F.pow(F.lit(float(base)), exponent.cast("double")).cast("long")
@@ -249,12 +247,18 @@ def pseudonym(s: Column, key: str) -> Column:
     )
 
 
+@functools.lru_cache(maxsize=16)
+def _pseudonyms(application: str, key: str) -> Column:
+    """The pseudonyms of the candidates in __hits; an expression of some thousand parts, made once per application."""
+    return F.transform("__hits", lambda s: pseudonym(s, key))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, replaced (how many values were), text with pseudonyms in place."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
-    # only texts with a digit or a password can hold a candidate
-    rows = rows.withColumn("__hits", F.when(F.col("__text").rlike("[0-9]|(?i:password|passwd|pwd)|@"), F.regexp_extract_all("__text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("__new", F.transform("__hits", lambda s: pseudonym(s, key)))
+    # only texts with one of these can hold a candidate
+    rows = rows.withColumn("__hits", F.when(F.col("__text").rlike("[0-9@]|AKIA|(?i:password|passwd|pwd)"), F.regexp_extract_all("__text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("__new", _pseudonyms(docs.sparkSession.sparkContext.applicationId, key))
     rows = rows.withColumn("replaced", F.aggregate(F.zip_with("__hits", "__new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x))
     gaps = F.split("__text", PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, "__new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
