@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,21 @@ def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.explode_outer(F.array(made)).alias("__made")).select(*keep, *[F.col(f"__made.{n}").alias(n) for n in columns])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder, its lineage cut there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary one, which is then set."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if now.isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
-    return df.checkpoint()
+        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return now.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, its lineage cut there.
+
+    A lost executor then costs a read of shared files, not a new computation.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

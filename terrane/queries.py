@@ -12,7 +12,7 @@ from terrane.functions import text as X
 from terrane.operators import graph as G
 from terrane.operators import schemas as S
 from terrane.operators import search as Q
-from terrane.operators.barriers import computed
+from terrane.operators.barriers import computed, shared_folder
 from terrane.plans import lineage as L
 from terrane.sources import tables as IO
 
@@ -186,8 +186,7 @@ def _registry(spark: SparkSession, sf_dir: str):
 
     from terrane.operators.registry import Registry
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    registry = Registry(spark, f"{base}/terrane_registry_{uuid.uuid4().hex}")
+    registry = Registry(spark, f"{shared_folder(spark)}/terrane_registry_{uuid.uuid4().hex}")
     schemas = _schemas(spark, sf_dir)
     for t in ("region", "nation", "orders"):
         registry.register(t, schemas[t], f"the table {t}")
@@ -425,8 +424,7 @@ def f7_bm25_all_hits(spark, sf_dir):
 def _stored_index(spark: SparkSession, sf_dir: str) -> Q.Index:
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    index = Q.Index(spark, f"{base}/terrane_index_{uuid.uuid4().hex}", buckets=16)
+    index = Q.Index(spark, f"{shared_folder(spark)}/terrane_index_{uuid.uuid4().hex}", buckets=16)
     index.add(_docs(spark, sf_dir), "doc_id", ["text"], "documents")
     return index
 
@@ -524,8 +522,7 @@ def f19_index_stream(spark, sf_dir):
 
     from terrane.streaming.index_stream import current, index_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/terrane_stream_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/terrane_stream_{uuid.uuid4().hex}"
     index_stream(IO.stream(spark, sf_dir, "documents"), "doc_id", "text", f"{path}/index", f"{path}/state").awaitTermination()
     return current(spark, f"{path}/index").select("term", "doc_id", "tf")
 
