@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.operators.barriers import cut, let
+from terrane.operators.barriers import cut, let, shared_folder
 from terrane.sources.tables import spread
 
 __all__ = ["SPACE", "WORD", "Workspace", "cut", "documents", "held_out_of", "learns", "let", "running_total", "small_batches", "text_of", "word_count"]
@@ -35,9 +37,8 @@ class Workspace:
     """Tables in the shared folder that live as long as one computation."""
 
     def __init__(self, spark: SparkSession) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-")
         self.spark, self.name = spark, f"terrane_{uuid.uuid4().hex}"
-        self.path = f"{base}/{self.name}"
+        self.path = f"{shared_folder(spark)}/{self.name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
@@ -60,8 +61,27 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once per application, whether or not they could import it from elsewhere."""
+    import terrane
+
+    context, root = spark.sparkContext, Path(terrane.__path__[0])
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="terrane-")) / f"terrane-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound what one Arrow batch holds, in rows and bytes, whatever the length of the texts."""
+    """Readies executors for Python: ships the package, and bounds what one Arrow batch holds, in rows and bytes, whatever the length of the texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

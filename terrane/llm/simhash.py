@@ -122,6 +122,7 @@ def extra_blocks(distinct: int, radius: int, fill: int = 32) -> int:
 
 def links(nodes: DataFrame, radius: int = 3, distinct: int | None = None) -> DataFrame:
     """Nodes (fp, rep), fp distinct, to edges (a, b) of reps that connect what the radius links."""
+    small_batches(nodes.sparkSession)
     extra = extra_blocks(nodes.count() if distinct is None else distinct, radius)
     cells = blocks(radius + extra)
     names = [F.xxhash64(F.lit(t), *[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in chosen]) for t, chosen in enumerate(combinations(cells, extra))]
