@@ -92,7 +92,7 @@ def with_next(docs: DataFrame, per_bucket: int = 256, most_buckets: int = 65_536
     bounds: list[int] = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 10 * buckets)).first()[0] or []))
+        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", constants(shares, "double"), 10 * buckets)).first()[0] or []))
     keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("b", bucket_of(F.col("doc_id"), bounds))
     heads = [(r["b"], r["head"]["doc_id"], r["head"]["h"]) for r in keyed.groupBy("b").agg(F.min(F.struct("doc_id", "h")).alias("head")).collect()]
     heads.sort()
@@ -108,12 +108,17 @@ def with_next(docs: DataFrame, per_bucket: int = 256, most_buckets: int = 65_536
     return dealt.withColumn("next_text", F.lead("text").over(order)), order
 
 
+def constants(values: list, kind: str) -> Column:
+    """A constant array, as one literal however long it is."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def bucket_of(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending ``bounds`` are below ``value``, by bisection; 0 for null."""
     if not bounds:
         return F.lit(0)
     steps = F.array(*[F.lit(1 << s) for s in range(len(bounds).bit_length() - 1, -1, -1)])
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
+    array = constants(bounds, "bigint")
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & (F.get(array, at + step - 1) < value), at + step).otherwise(at))
 
 
