@@ -32,6 +32,8 @@ from .components import components
 
 #: The seed of the shingles' XXH64.
 SEED = 42
+#: Values in a leaf before it becomes a node, and those up to which a leaf is scanned one by one.
+LEAF, SCAN = 1024, 24
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
@@ -71,38 +73,88 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: st
     return rows.mapInArrow(batches, "doc_id long, fp long")
 
 
+class Leaf:
+    """Values that all have one distance to the node above; scanned, at once when there are many."""
+
+    __slots__ = ("array", "places", "room", "values")
+
+    def __init__(self, room: int) -> None:
+        self.values: list[int] = []
+        self.places: list[int] = []
+        self.array = np.zeros(0, np.uint64)
+        self.room = room
+
+    def add(self, value: int, place: int) -> None:
+        n = len(self.values)
+        self.values.append(value)
+        self.places.append(place)
+        if n >= SCAN:
+            if n >= len(self.array):
+                grown = np.zeros(2 * n + 2, np.uint64)
+                grown[:n] = self.array[:n] if len(self.array) else self.values[:n]
+                self.array = grown
+            self.array[n] = value
+
+    def within(self, value: int, radius: int) -> list[int]:
+        if len(self.values) <= SCAN:
+            return [p for v, p in zip(self.values, self.places, strict=True) if (v ^ value).bit_count() <= radius]
+        near = np.bitwise_count(self.array[: len(self.values)] ^ np.uint64(value)) <= radius
+        return [self.places[i] for i in np.flatnonzero(near).tolist()]
+
+
+class Node:
+    """A value with its children, keyed by their distance to it: further nodes, or leaves that may become nodes."""
+
+    __slots__ = ("children", "place", "value")
+
+    def __init__(self, value: int, place: int) -> None:
+        self.value, self.place = value, place
+        self.children: dict[int, Node | Leaf] = {}
+
+    def put(self, distance: int, value: int, place: int, room: int) -> None:
+        """Adds a value whose child here is none or a leaf."""
+        leaf = self.children.get(distance)
+        if leaf is None:
+            leaf = self.children[distance] = Leaf(room)
+        leaf.add(value, place)
+        if len(leaf.values) > leaf.room:
+            node = self.children[distance] = Node(leaf.values[0], leaf.places[0])
+            for v, p in zip(leaf.values[1:], leaf.places[1:], strict=True):
+                # children get twice the room, so that values of one distance to each other don't make a long thread
+                node.put((v ^ node.value).bit_count(), v, p, 2 * leaf.room)
+
+
 class BKTree:
-    """Nodes are positions in ``values``; children are keyed by their distance to the parent."""
+    """Values by Hamming distance. A leaf holds up to ``LEAF`` values before it becomes a node: in a shard full of near
+    copies most of a tree lies within the radius, and scanning leaves is then what takes the time."""
 
     def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
+        self.root: Node | None = None
+        self.size = 0
 
     def add(self, value: int, radius: int) -> list[int]:
-        """Adds ``value``; the positions of the earlier values within ``radius``."""
-        values, children, found = self.values, self.children, []
-        new = len(values)
-        values.append(value)
-        children.append({})
-        if not new:
+        """Adds ``value``; the places, counted from 0, of the earlier values within ``radius``."""
+        place, found = self.size, []
+        self.size += 1
+        if self.root is None:
+            self.root = Node(value, place)
             return found
-        at = 0
-        while True:  # the place of the new node
-            d = (values[at] ^ value).bit_count()
-            below = children[at].get(d)
-            if below is None:
-                break
-            at = below
-        parent, distance = at, d
-        stack = [0]
+        stack = [self.root]
         while stack:
-            at = stack.pop()
-            d = (values[at] ^ value).bit_count()
+            node = stack.pop()
+            d = (node.value ^ value).bit_count()
             if d <= radius:
-                found.append(at)
-            if children[at]:
-                stack += [child for edge, child in children[at].items() if d - radius <= edge <= d + radius]
-        children[parent][distance] = new
+                found.append(node.place)
+            for edge, child in node.children.items():
+                if d - radius <= edge <= d + radius:
+                    if isinstance(child, Leaf):
+                        found += child.within(value, radius)
+                    else:
+                        stack.append(child)
+        node = self.root
+        while isinstance(child := node.children.get(d := (node.value ^ value).bit_count()), Node):
+            node = child
+        node.put(d, value, place, LEAF)
         return found
 
 

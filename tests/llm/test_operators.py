@@ -431,12 +431,21 @@ def test_links_lose_nothing(spark, distinct):
     assert [found.get(i, i) for i in range(len(fps))] == want
 
 
-def test_bk_tree():
+@pytest.mark.parametrize(("leaf", "kind"), [(1024, "random"), (4, "random"), (4, "near"), (40, "near"), (2, "far"), (3, "equal")])
+def test_bk_tree(monkeypatch, leaf, kind):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     rng = np.random.default_rng(2)
-    values = [int(x) & 0xFFF for x in rng.integers(0, 2**63, 300)]
+    if kind == "random":
+        values = [int(x) & 0xFFF for x in rng.integers(0, 2**63, 400)]
+    elif kind == "near":  # all around one value
+        values = [int(sum(1 << int(b) for b in rng.choice(64, 3, replace=False))) for _ in range(400)]
+    elif kind == "far":  # all equally far from each other
+        values = [0b11 << 2 * i for i in range(32)]
+    else:
+        values = [5] * 50
     tree = simhash.BKTree()
     for n, v in enumerate(values):
-        assert sorted(tree.add(v, 2)) == [i for i in range(n) if (values[i] ^ v).bit_count() <= 2]
+        assert sorted(tree.add(v, 3)) == [i for i in range(n) if (values[i] ^ v).bit_count() <= 3]
 
 
 def test_components(spark):
