@@ -88,8 +88,9 @@ class Index:
         """Indexes text columns of a table as the fields of a corpus, which must be new to the index."""
         for field in text_cols:
             rows = term_rows(docs, id, field, corpus, field, self.buckets)
-            rows.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/terms")
-            dictionary(self.rows(corpus, field)).write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/dictionary")
+            # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
+            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/terms")
+            dictionary(self.rows(corpus, field)).hint("rebalance", "bucket").write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/dictionary")
             size = self.rows(corpus, field).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).withColumn("n_docs", F.lit(docs.count()))
             size.select(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avg_dl")).write.mode("append").partitionBy("corpus", "field").parquet(f"{self.path}/stats")
 
