@@ -57,13 +57,13 @@ def place(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, more: float =
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * 24, key: str = "doc_id", files: int = 1, format: str = "parquet") -> None:
+def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = (1.0,) * 24, key: str = "doc_id", format: str = "parquet") -> None:
     """Writes ``docs`` with all their columns into folders shard=0, shard=1 ...
 
-    A shard is dealt over ``files`` writers by a hash of the whole key, so that neither a shard nor a
-    key that repeats decides how large a task gets.
+    Rows are dealt by shard into files of about the session's advisory partition size: adaptive execution splits what is more than
+    that, be it a large shard or a key that repeats, over several tasks.
     """
     if "shard" in (c.lower() for c in docs.columns):
         raise ValueError("the input already has a column named shard")
-    rows = docs.withColumn("shard", rendezvous(F.col(key), weights)).withColumn("__file", F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
-    rows.repartition(len(weights) * files, "shard", "__file").drop("__file").write.mode("error").partitionBy("shard").format(format).save(path)
+    rows = docs.withColumn("shard", rendezvous(F.col(key), weights))
+    rows.hint("rebalance", "shard").write.mode("error").partitionBy("shard").format(format).save(path)

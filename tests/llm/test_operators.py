@@ -488,7 +488,7 @@ def test_shard_weights(spark):
 
 
 def test_write_shards(spark, docs, rows, tmp_path):
-    sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"), [1.0] * 4, files=2)
+    sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"), [1.0] * 4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(rows)
     assert all(r["shard"] == plain_shard(r["doc_id"], [1.0] * 4) for r in back.collect())
