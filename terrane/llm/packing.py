@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 from .wordarrays import lay_out, word_table
 
-MEMO = 1_000_000
+MEMO = 600_000
 #: Longer words are tokenized without being remembered.
 LONG = 60
 
