@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.functions.text import term_frequency, tokens
+from terrane.functions.text import identifier_tokens, term_frequency, tokens
 
 from .barriers import computed, cut, let
 
@@ -146,6 +146,23 @@ class Index:
         return like(self.dictionary(corpus, field), pattern)
 
 
+# the catalog as a corpus
+
+
+def catalog_text(fields: DataFrame) -> DataFrame:
+    """doc_id (subject.path) and text of rows per field: what an index or a scan needs to search the catalog.
+
+    The text is the words of the field's name, also split where small letters change to capitals, and its comment.
+    """
+    words = F.array_join(identifier_tokens("name"), " ")
+    return fields.select(F.concat_ws(".", "subject", "path").alias("doc_id"), F.concat_ws(" ", words, "comment").alias("text"))
+
+
+def search_catalog(fields: DataFrame, terms: Sequence[str], k: int = 10) -> DataFrame:
+    """The ``k`` fields that fit the terms best: doc_id, score."""
+    return top(scan_scores(catalog_text(fields), "doc_id", "text", terms), k)
+
+
 # the dictionary
 
 

@@ -401,12 +401,12 @@ def f6_none(spark, sf_dir):
     return Q.scan_all(_docs(spark, sf_dir), "doc_id", "text", ["the"], none=["with", "for"])
 
 
-def _scores_sql(score: str) -> str:
+def _scores_sql(score: str, words: str = _WORDS_SQL, terms: list[str] = TERMS) -> str:
     formula = {
         "bm25": "ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))",
         "tfidf": "(1 + ln(tf)) * ln(n / df)",
     }[score]
-    return f"""{_TOKENS_SQL}, t AS (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source, term, count(*) AS tf FROM tok WHERE term IN ({', '.join(f"'{x}'" for x in TERMS)}) GROUP BY doc_id, term),
+    return f"""{words}, tok AS (SELECT doc_id, lang, source, unnest(words) AS term FROM w), t AS (SELECT doc_id, any_value(lang) AS lang, any_value(source) AS source, term, count(*) AS tf FROM tok WHERE term IN ({', '.join(f"'{x}'" for x in terms)}) GROUP BY doc_id, term),
         df AS (SELECT term, count(*) AS df FROM t GROUP BY term), s AS (SELECT count(*) AS n, avg(len(words)) AS avg_dl FROM w),
         scored AS (SELECT t.doc_id, any_value(t.lang) AS lang, any_value(t.source) AS source, sum({formula}) AS score FROM t JOIN df USING (term) JOIN (SELECT doc_id, len(words) AS dl FROM w) USING (doc_id), s GROUP BY t.doc_id)"""
 
@@ -532,3 +532,11 @@ def f20_search_catalog(spark, sf_dir):
     """Fields whose names hold a word: the catalog searched like any text."""
     fields = _fields(spark, sf_dir)
     return fields.where(F.arrays_overlap(X.identifier_tokens("name"), F.array(*map(F.lit, ["comment", "text", "name"])))).select("subject", "path")
+
+
+_FIELD_WORDS_SQL = f"{_FIELDS_SQL}, w AS (SELECT subject || '.' || path AS doc_id, NULL AS lang, NULL AS source, regexp_extract_all(lower(name), '[a-z0-9]+') AS words FROM fields)"
+
+
+@query("f20_search_catalog_ranked", f"WITH {_scores_sql('bm25', _FIELD_WORDS_SQL, ['name', 'key', 'text'])} SELECT doc_id, round(score, 4) AS score FROM scored ORDER BY round(score, 4) DESC, doc_id LIMIT 10")
+def f20_search_catalog_ranked(spark, sf_dir):
+    return Q.search_catalog(_fields(spark, sf_dir), ["name", "key", "text"], 10)
