@@ -13,6 +13,8 @@ from .importance import resample
 from .katz import katz_scores
 from .langid import identify
 from .mixing import mix_sources
+from .oracles import SIMHASH
+from .oracles import winnowing as winnowing_sql
 from .packing import pack
 from .pii import pseudonymise
 from .sharding import place
@@ -151,4 +153,4 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op3_winnowing": winnowing_sql(), "op8_simhash_groups": SIMHASH}
