@@ -3,7 +3,9 @@
 1. ``language_id`` learns languages from the labelled documents that are not held out and drops documents whose
    language can't be determined: null texts, texts without letters, and texts unlike every language learned.
 2. ``exact_dedup`` keeps one document of each group of equal texts.
-3. ``simhash_dedup`` keeps one document, that of smallest doc_id, of each group of near copies.
+3. ``simhash_dedup`` keeps one document, that of smallest doc_id, of each group of near copies: texts linked by a Jaccard
+   similarity of 0.8 or more between their five-word shingles, all of them found and each link confirmed. The name is op8's, whose
+   place the stage takes; its fingerprints are too short to find such pairs (see ``terrane/llm/near.py``).
 4. ``mix_sources`` takes each remaining document as often as its source's share allows, up to three times.
 5. ``curve_packing`` packs what was taken into sequences of 4096 tokens; it returns their pieces.
 
@@ -17,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import exact_dedup, langid, mixing, packing, simhash
+from terrane.llm import exact_dedup, langid, mixing, near as near_dedup, packing
 from terrane.llm.common import Workspace, cut, documents, learns
 
 
@@ -31,7 +33,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.survivors(docs)
+    return near_dedup.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
