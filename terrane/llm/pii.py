@@ -30,17 +30,30 @@ ROUNDS = 8
 #: Dates are permuted within spans of so many days, counted from 1900-01-01.
 DAYS = 73_000
 
+#: The lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{IBAN_LENGTHS[length].replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{groups}}}" + (f"[ ]?[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9_])"
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
     "password": r"(?i:password|passwd|pwd)[=:][^\s\"']{4,64}",
     "akia": r"AKIA[0-9A-Z]{16}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
+    "iban": "|".join(map(_iban_of, IBAN_LENGTHS)) + r"|[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
     "hex": r"(?=[a-f]*[0-9])[0-9a-f]{32,64}+",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "ymd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "dmy": r"[0-9]{1,2}(?<sep>[./])[0-9]{1,2}\k<sep>[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "card": r"[0-9]{13,19}+|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{1,7}+|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
+    "card": r"[0-9]{13,19}+|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>(?:[0-9]{4}\k<gap>[0-9]{1,3}+(?![._%+@/-]+[A-Za-z0-9])(?![A-Za-z0-9_])|[0-9]{1,7}+)|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}+",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 }
 #: A candidate starts where no longer word or number does, and ends likewise.
@@ -135,7 +148,12 @@ def _card(s: Column, key: str) -> Column:
         payload = F.concat(F.substring(d, 1, 1), permuted_digits(d.substr(F.lit(2), n - 2), "card", key))
         return let(payload, lambda p: F.concat(p, F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: F.call_function("luhn_check", F.concat(p, c.cast("string"))))[0].cast("string")))
 
-    return let(only(s, "0-9"), lambda d: F.when(F.call_function("luhn_check", d) & d.rlike("[1-9]"), put_back(s, "0-9", new(d))).otherwise(s))
+    def whole(s: Column, otherwise: Column) -> Column:
+        return let(only(s, "0-9"), lambda d: F.when(F.call_function("luhn_check", d) & d.rlike("[1-9]"), put_back(s, "0-9", new(d))).otherwise(otherwise))
+
+    # four groups of four and a number of its own behind them
+    four = F.concat(whole(s.substr(F.lit(1), F.lit(19)), s.substr(F.lit(1), F.lit(19))), s.substr(F.lit(20), F.length(s)))
+    return whole(s, F.when(s.rlike("^(?:[0-9]{4}[ -]){4}"), four).otherwise(s))
 
 
 def _phone(s: Column, key: str) -> Column:
@@ -208,7 +226,15 @@ def _iban(s: Column, key: str) -> Column:
         body = permuted_word(t.substr(F.lit(5), F.length(t) - 4), "iban", key)
         return let(body, lambda b: F.concat(F.substring(t, 1, 2), padded(98 - rest97(F.concat(b, F.substring(t, 1, 2), F.lit("00"))), F.lit(2)), b))
 
-    return let(only(s, "A-Z0-9"), lambda t: F.when(rest97(F.concat(t.substr(F.lit(5), F.length(t) - 4), F.substring(t, 1, 4))) == 1, put_back(s, "A-Z0-9", new(t))).otherwise(s))
+    def valid(t: Column) -> Column:
+        return rest97(F.concat(t.substr(F.lit(5), F.length(t) - 4), F.substring(t, 1, 4))) == 1
+
+    # a country of unknown length: up to which space the check digits are right, the longest first
+    ends = F.filter(F.sequence(F.length(s), F.lit(15), F.lit(-1)), lambda i: (i == F.length(s)) | (s.substr(i + 1, F.lit(1)) == " "))
+    longest = F.filter(ends, lambda i: let(only(s.substr(F.lit(1), i), "A-Z0-9"), lambda t: (F.length(t) >= 12) & valid(t)))
+    return F.when(F.length(s) < 15, let(only(s, "A-Z0-9"), lambda t: F.when(valid(t), put_back(s, "A-Z0-9", new(t))).otherwise(s))).otherwise(
+        let(F.get(longest, 0), lambda i: F.when(i.isNull(), s).otherwise(F.concat(let(s.substr(F.lit(1), i), lambda p: put_back(p, "A-Z0-9", new(only(p, "A-Z0-9")))), s.substr(i + 1, F.length(s)))))
+    )
 
 
 def _hex(s: Column, key: str) -> Column:
