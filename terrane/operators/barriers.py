@@ -25,20 +25,30 @@ def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary one, which is then set."""
+    """The folder that the cluster shares, ``spark.checkpoint.dir``.
+
+    Only a local session may have none: it gets a temporary folder. On a cluster that would write to one machine's own disk, and
+    is refused.
+    """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    now = context._jsc.sc().getCheckpointDir()
     if now.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
-        now = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
+        now = context._jsc.sc().getCheckpointDir()
     return now.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, its lineage cut there.
 
-    A lost executor then costs a read of shared files, not a new computation.
+    A lost executor then costs a read of shared files, not a new computation. The files go when nothing refers to them any more.
     """
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
+    shared_folder(spark)
+    # read by Spark when a checkpoint is made; only its own files of checkpoints out of use are concerned
+    spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)

@@ -226,6 +226,15 @@ def i3_downstream_cyclic(spark, sf_dir):
     return G.downstream(G.edges_frame(spark, CYCLIC), "region", 12)
 
 
+#: Forty edges in a row, with a shorter way round some.
+DEEP = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"n{i}", f"n{i + 2}") for i in range(0, 40, 10)]
+
+
+@query("i3_downstream_deep", _closure_sql("n0", DEEP, depth=60))
+def i3_downstream_deep(spark, sf_dir):
+    return G.downstream(G.edges_frame(spark, DEEP), "n0")
+
+
 @query("i4_upstream", _closure_sql("lineitem", up=True))
 def i4_upstream(spark, sf_dir):
     return G.upstream(G.edges_frame(spark, EDGES), "lineitem")
@@ -266,6 +275,16 @@ def i8_paths(spark, sf_dir):
     return G.paths(G.edges_frame(spark, CYCLIC), "region", "lineitem")
 
 
+@query(
+    "i8_paths_deep",
+    f"""WITH RECURSIVE {_EDGE_SQL(DEEP)}, walk(node, path, d) AS (SELECT 'n0', ['n0'], 0
+        UNION ALL SELECT e.dst, list_append(path, e.dst), d + 1 FROM walk JOIN edges e ON e.src = walk.node WHERE NOT list_contains(path, e.dst))
+        SELECT array_to_string(path, ' > ') AS path, CAST(d AS INT) AS length FROM walk WHERE node = 'n40'""",
+)
+def i8_paths_deep(spark, sf_dir):
+    return G.paths(G.edges_frame(spark, DEEP), "n0", "n40")
+
+
 @query(
     "i9_roots_leaves_orphans",
     f"""WITH {_EDGE_SQL(EDGES)}, nodes(node) AS (VALUES {', '.join(f"('{t}')" for t in TABLES)})

@@ -36,13 +36,62 @@ def test_against_plain(spark, seed):
         assert {r["node"]: tuple(r)[1:] for r in G.downstream(e, start, depth).collect()} == walks[start]
         ups = {r["node"] for r in G.upstream(e, start, depth).collect()}
         assert ups == {n for n in nodes if start in walks[n]}
-    near = {(r["seed"], r["node"]): r["distance"] for r in G.reach(e, None, 9).collect()}
-    assert all(near.get((s, n), 0) == walks[s][n][0] for s in nodes for n in walks[s] if n != s)
-    assert {r["node"]: r["length"] for r in G.cycles(e, 9).collect()} == {n: w[n][0] for n, w in walks.items() if n in w} | {n: c for n, c in _cycles(plain, nodes).items()}
+    near = {(r["seed"], r["node"]): r["distance"] for r in G.reach(e).collect()}
+    assert near == {(s, n): d for s in nodes for n, d in _nearest(plain, s).items()}
+    assert {r["node"]: r["length"] for r in G.cycles(e).collect()} == _cycles(plain, nodes)
+    for start in nodes[:3]:
+        assert {r["node"]: tuple(r)[1:] for r in G.downstream(e, start).collect()} == _figures(plain, start)
     assert {r["node"] for r in G.roots(e).collect()} == {a for a, _ in plain} - {b for _, b in plain}
     assert {r["node"] for r in G.leaves(e).collect()} == {b for _, b in plain} - {a for a, _ in plain}
 
 
+def _nearest(edges, start):
+    found, level, d = {}, {start}, 0
+    while level:
+        d += 1
+        level = {b for a, b in edges if a in level} - found.keys()
+        found |= dict.fromkeys(level, d)
+    return found
+
+
+def _figures(edges, start):
+    """Nearest, furthest and number of ways by listing them all; the last two None on and behind cycles."""
+    near = _nearest(edges, start)
+    endless = {n for n in near if n in _nearest(edges, n)}
+    endless |= {b for n in endless for b in _nearest(edges, n)}
+    ways, level, d = {n: [] for n in near}, [start], 0
+    while level:
+        d += 1
+        level = [b for x in level for a, b in edges if a == x and b not in endless]
+        for b in level:
+            ways[b].append(d)
+    return {n: (near[n], None, None) if n in endless else (near[n], max(ways[n]), len(ways[n])) for n in near}
+
+
+@pytest.mark.parametrize(("nodes", "edges"), [(12, 14), (40, 46)])
+def test_unbounded_on_random_graphs(spark, nodes, edges):
+    rng = random.Random(nodes)
+    plain = sorted({(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(edges)} | {(f"n{i}", f"n{i + 1}") for i in range(nodes // 2)})
+    e = G.edges_frame(spark, plain)
+    for start in ("n0", f"n{nodes // 3}"):
+        assert {r["node"]: tuple(r)[1:] for r in G.downstream(e, start).collect()} == _figures(plain, start)
+
+
+def test_long_chain(spark):
+    """200 edges in a row, with a second way round every tenth node, and a cycle far off."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(200)]
+    e = G.edges_frame(spark, chain + [(f"c{i}", f"c{i + 2}") for i in range(0, 100, 10)] + [("c200", "r0"), ("r0", "r1"), ("r1", "r0")])
+    got = {r["node"]: tuple(r)[1:] for r in G.downstream(e, "c0").collect()}
+    assert len(got) == 202 and got["c200"] == (190, 200, 2**10) and got["r1"] == (192, None, None)
+    assert {r["node"]: r["length"] for r in G.cycles(G.edges_frame(spark, [*chain[:59], ("c59", "c0")])).collect()} == {f"c{i}": 60 for i in range(60)}
+
+
+def test_more_ways_than_a_long_holds(spark):
+    e = G.edges_frame(spark, [x for i in range(64) for x in ((f"a{i}", f"b{i}"), (f"a{i}", f"c{i}"), (f"b{i}", f"a{i + 1}"), (f"c{i}", f"a{i + 1}"))])
+    got = {r["node"]: r["paths"] for r in G.downstream(e, "a0").where("node like 'a%'").collect()}
+    assert got["a62"] == 2**62 and got["a64"] is None
+
+
 def _cycles(edges, nodes):
     out = {}
     for n in nodes:
