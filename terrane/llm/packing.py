@@ -3,18 +3,20 @@
 A document's vector of token counts, hashed by id, is projected to a few dimensions by random signs; its place on the
 Hilbert curve through that space is its key. Documents are range-sorted by key, so that neighbours
 on the curve, which are alike, are packed together. Full sequences are cut off a document's front and
-stand alone; what is left of each is packed, in windows along the curve, by best fit in
-decreasing length, and sequences that a window leaves open go on to the next. A rest is never
+stand alone; what is left of each is packed, in small windows along the curve, by best fit in
+decreasing length, and a few sequences that a window leaves open go on to the next. Windows are small so that what shares a
+sequence stood close together on the curve. A rest is never
 cut, so each cut point is known when a text is tokenized, and every text is tokenized once.
 
-Ties on the curve, such as a group of copies, are told apart by a hash of the doc_id in the range-sort, so that
-no partition has to take a whole group. Rows that are range-sorted hold lengths and checksums, no text.
+Ties on the curve, such as a group of copies, are told apart by a hash of the doc_id in the range-sort, and repeated rows by a
+number of the row, so that no partition has to take a whole group. Rows that are range-sorted hold lengths and checksums, no text.
 
 Tokenizing goes through a memo of words, split at ASCII white space, which the tokenizer drops and never joins over.
 The memo is emptied when it holds ``MEMO`` words.
 
 Defined cases: a null text is an empty text, of which the end token is left; rows repeated are further documents;
-a null doc_id stays null; an empty table gives an empty result.
+a null doc_id stays null; a very long text is cut into as many whole sequences as it fills; an empty table gives an empty result.
+Which of equal rows gets which place is not defined; they have the same ids.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -166,29 +168,35 @@ def curve_keys(ids: list[bytes], dims: int, bits: int, seed: int) -> np.ndarray:
 
 
 def measure(docs: DataFrame, tokenizer: str, end: int, length: int, dims: int, bits: int, seed: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, tie, curve_key, doc_tokens, and the checksums of the pieces, the rest last."""
+    """doc_id, text_hash, tie, curve_key, doc_tokens, and the checksums of the pieces, the rest last."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id)).alias("tie"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_hash"), F.xxhash64(F.col(doc_id)).alias("tie"), body.alias("text"))
     last, size = np.array([end], "<u4").tobytes(), 4 * length
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = Tokenize.at(tokenizer)
         for batch in it:
-            ids = tokenize(batch.column(2).to_pylist())
+            ids = tokenize(batch.column(3).to_pylist())
             keys = curve_keys(ids, dims, bits, seed)
             ids = [x + last for x in ids]
             sums = [[zlib.crc32(x[i : i + size]) for i in range(0, len(x), size)] for x in ids]
             tokens = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), tokens, pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "tie", "curve_key", "doc_tokens", "sums"])
+            columns = [*batch.columns[:3], pa.array(keys), tokens, pa.array(sums, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "tie", "curve_key", "doc_tokens", "sums"])
 
-    return rows.mapInArrow(batches, "doc_id long, tie long, curve_key long, doc_tokens long, sums array<long>")
+    return rows.mapInArrow(batches, "doc_id long, text_hash long, tie long, curve_key long, doc_tokens long, sums array<long>")
+
+
+def text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 class Packer:
-    """Packs rests along the curve; holds a window of rests and the sequences still open."""
+    """Packs rests along the curve; holds a window of rests and at most ``most`` sequences still open."""
 
-    def __init__(self, length: int, window: int, first: int) -> None:
-        self.length, self.window, self.next = length, window, first
+    def __init__(self, length: int, window: int, most: int, first: int) -> None:
+        self.length, self.window, self.most, self.next = length, window, most, first
         self.waiting: list[tuple[int, int, int]] = []  # size, order, row
         self.open: list[tuple[int, int]] = []  # room left, sequence
 
@@ -212,37 +220,49 @@ class Packer:
                 insort(room, (left - size, sequence))
         self.waiting = []
         # the emptiest go on; what is nearly full stays as it is
-        self.open = [x for x in room if x[0] * 64 >= self.length][-self.window :]
+        self.open = [x for x in room if x[0] * 64 >= self.length][-self.most :]
         return placed
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 2, length: int = 4096, window: int = 4096, per_partition: int = 32_768, dims: int = 4, bits: int = 8, seed: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key."""
-    measured = cut(measure(docs, tokenizer or public_tokenizer(), end, length, dims, bits, seed, text, doc_id))
+def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 2, length: int = 4096, window: int = 64, most_open: int = 16, per_partition: int = 32_768, dims: int = 4, bits: int = 8, seed: int = 10, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve_key, text_hash, copy.
+
+    ``copy`` numbers, in a task, the rows of one doc_id and text; with ``text_hash`` it serves :func:`sequences`.
+    """
+    measured = measure(docs, tokenizer or public_tokenizer(), end, length, dims, bits, seed, text, doc_id)
+    measured = cut(measured.withColumn("row", F.monotonically_increasing_id()))
     parts = max(1, min(20_000, -(-measured.count() // per_partition)))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key", "text_hash", "copy"]
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(length, window, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
+        packer = Packer(length, window, most_open, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
         rests: list[tuple] = []
+        last, copy = None, 0
         for batch in it:
             out = []
-            for doc, _, key, tokens, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text_hash, _, key, tokens, sums, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                copy = copy + 1 if last == (doc, text_hash) else 0  # equal rows follow each other
+                last = doc, text_hash
+                about = key, text_hash, copy
                 for k in range(tokens // length):
-                    out.append((doc, k * length, length, sums[k], tokens, packer.new(), 0, key))
+                    out.append((doc, k * length, length, sums[k], tokens, packer.new(), 0, *about))
                 if rest := tokens % length:
-                    rests.append((doc, tokens - rest, rest, sums[-1], tokens, key))
+                    rests.append((doc, tokens - rest, rest, sums[-1], tokens, *about))
                     if placed := packer.add(rest, len(rests) - 1):
-                        out += [(*rests[row][:5], sequence, offset, rests[row][5]) for row, sequence, offset in placed]
+                        out += _placed(rests, placed)
                         rests = []
             yield _batch(out, names)
-        yield _batch([(*rests[row][:5], sequence, offset, rests[row][5]) for row, sequence, offset in packer.place()], names)
+        yield _batch(_placed(rests, packer.place()), names)
 
-    order = ["curve_key", "tie", "doc_id", "doc_tokens"]
+    order = ["curve_key", "tie", "doc_id", "text_hash", "row"]
     sorted_ = measured.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return sorted_.mapInArrow(rows, ", ".join(f"`{n}` long" for n in names))
 
 
+def _placed(rests: list[tuple], placed: list[tuple[int, int, int]]) -> list[tuple]:
+    return [(*rests[row][:5], sequence, offset, *rests[row][5:]) for row, sequence, offset in placed]
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
@@ -251,12 +271,16 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 def sequences(docs: DataFrame, pieces: DataFrame, tokenizer: str | None = None, end: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The packed ids: sequence_id, ids array<int>, docs array<long> (the document of each piece), starts array<int>.
 
-    ``docs`` must have one row per doc_id. Pieces go to their documents, never a sequence to the driver.
+    ``docs`` are the rows that were packed. Rows of one doc_id and text have the same ids, so one of them serves the pieces of
+    all. Pieces go to their documents, never a sequence to the driver.
     """
     path = tokenizer or public_tokenizer()
     small_batches(docs.sparkSession)
-    wanted = pieces.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    rows = docs.join(wanted, docs[doc_id].eqNullSafe(wanted["__id"])).select("__id", F.col(text).cast("string"), "pieces")
+    # the pieces of at most 64 equal rows of a task at once, so that a row repeated without end is no single list
+    wanted = pieces.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.shiftright("copy", 6).alias("__part"))
+    wanted = wanted.agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_key(text).alias("hash"), F.col(text).cast("string").alias("text")).groupBy("id", "hash").agg(F.first("text").alias("text"))
+    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("hash") == F.col("__hash"))).select("id", "text", "pieces")
     last = np.array([end], "<u4").tobytes()
 
     def slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
