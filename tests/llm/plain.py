@@ -10,7 +10,8 @@ def plain_targets(sizes, weights=(5, 2, 1), most=3):
         free = [s for s in names if s not in capped]
         if not free:
             return capped
-        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        together = sum(weight[x] for x in free)
+        share = {s: left * weight[s] / together for s in free}
         over = [s for s in free if share[s] > most * sizes[s]]
         if not over:
             return capped | share

@@ -91,12 +91,44 @@ def test_mix_is_queue_order(docs):
     assert len(cut) <= len(weight)
 
 
-def test_mixed_documents(docs):
-    plan = {r["doc_id"]: r["full_copies"] + (2 * r["part_words"] > r["size"]) for r in mixing.mix_sources(docs).where("doc_id >= 100").collect()}
+def test_mixed_documents(docs, rows):
+    """All rows, null and repeated ids among them: each text as often as its places in the queue say."""
+    plan, texts = collections.Counter(), {}
+    for i, t, _, s, _ in rows:
+        texts.setdefault((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s), set()).add(t)
+    for r in mixing.mix_sources(docs).collect():
+        plan[r["doc_id"], r["size"], r["source"]] += r["full_copies"] + (2 * r["part_words"] > r["size"])
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    n = collections.Counter(r["doc_id"] for r in mixed.where("doc_id >= 100").collect())
+    got = mixed.collect()
+    n = collections.Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"]) for r in got)
     assert n == {k: v for k, v in plan.items() if v}
+    assert all(r["text"] in texts[k] for r in got for k in [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")), r["source"])])
+
+
+def test_mixed_documents_of_equal_ids(spark):
+    """Rows without an id, and rows that repeat one, are dealt their own copies and no more."""
+    rows = [(None, f"w{i} " * 20, "a") for i in range(40)] + [(7, "same text here", "b")] * 50 + [(i, "x y z", "c") for i in range(100, 110)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix, mixed = mixing.mix_sources(docs).collect(), mixing.mixed_documents(docs).collect()
+    for s in "abc":
+        target = next(r["target"] for r in mix if r["source"] == s)
+        longest = max(r["size"] for r in mix if r["source"] == s)
+        assert abs(sum(len(r["text"].split()) for r in mixed if r["source"] == s) - target) <= longest / 2 + 1
+    times = collections.Counter(r["text"] for r in mixed if r["doc_id"] is None)
+    assert max(times.values()) <= 3
+
+
+def test_mix_many_sources(spark):
+    """100,000 sources, ranked in ranges."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.xxhash64("id") % 5 + 6).cast("int")).alias("text"), F.concat(F.lit("site"), F.hex("id")).alias("source"))
+    sizes = {r["source"]: len(r["text"].split()) for r in docs.collect()}
+    assert mixing.ranked(docs.selectExpr("false no_source", "source source_key"), per_part=9_000).where("source_key = 'siteFF'").first()["turn"] == sorted(sizes).index("siteFF")
+    want, got = plain_targets(sizes), mixing.mix_sources(docs).select("source", "target", "taken").collect()
+    assert len(got) == len(want)
+    assert all(r["target"] == pytest.approx(want[r["source"]]) and abs(r["taken"] - r["target"]) <= 0.5 for r in got)
 
 
 # winnowing
@@ -539,6 +571,38 @@ def test_sequences(spark, sf):
         assert p["offset"] in r["starts"] and p["doc_id"] in r["docs"]
 
 
+def test_sequences_of_repeated_rows(docs):
+    """Null ids, repeated rows and mixed documents: every sequence has its pieces' ids and no more."""
+    for table in (docs, mixing.mixed_documents(docs)):
+        pieces = packing.pack(table)
+        got, whole = pieces.collect(), {r["sequence_id"]: r for r in packing.sequences(table, pieces).collect()}
+        for p in got:
+            ids = whole[p["sequence_id"]]["ids"][p["offset"] : p["offset"] + p["length"]]
+            assert zlib.crc32(np.array(ids, "<u4").tobytes()) == p["ids_crc32"]
+        assert sum(len(r["ids"]) for r in whole.values()) == sum(p["length"] for p in got)
+
+
+def test_neighbours_on_the_curve_are_packed_together(spark):
+    """How far apart on the curve the documents of a sequence stand: a tenth of what it would be in a shuffled order, at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pieces = packing.pack(docs).collect()
+    rank = {p["doc_id"]: n for n, p in enumerate(sorted({p["doc_id"]: p for p in pieces}.values(), key=lambda p: p["curve_key"]))}
+
+    def span(shuffled):
+        places = collections.defaultdict(list)
+        order = np.random.default_rng(1).permutation(len(rank))
+        for p in pieces:
+            if p["length"] < 4096:
+                places[p["sequence_id"]].append(order[rank[p["doc_id"]]] if shuffled else rank[p["doc_id"]])
+        return np.mean([max(x) - min(x) for x in places.values()])
+
+    assert span(False) < span(True) / 10
+    fill = collections.Counter()
+    for p in pieces:
+        fill[p["sequence_id"]] += p["length"]
+    assert sum(fill.values()) > 0.99 * 4096 * len(fill)
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_is_a_walk(dims, bits):
     side = 1 << bits
