@@ -3,18 +3,21 @@
 A document's 64-bit fingerprint is the majority vote, bit by bit, over the hashes of its word
 shingles. Fingerprints that differ in at most ``radius`` bits are linked. The search is exact: cut the
 64 bits into ``radius + extra`` blocks; two linked fingerprints agree on at least ``extra`` of them, so they
-meet in a shard named by the places and values of those blocks. Every shard holds a BK-tree, whose
-children are keyed by their integer Hamming distance to the parent; a search follows only edges whose
-distance lies within the radius of the query's. ``extra`` grows with the number of fingerprints so that a shard
-keeps a few members on average.
+meet in a shard named by the places and values of those blocks. ``extra`` grows with the number of fingerprints so that a shard
+keeps a few members on average. A shard that holds more than ``HOT`` is split in the same way: members that are linked agree on one of
+``radius + 1`` blocks of the bits not yet in its name, so these deal it into smaller shards, up to ``LEVELS`` times.
 
-What is dealt out are distinct fingerprints, each with the smallest doc_id that has it: a group of exact
-copies is one row before any shard is formed. A shard streams through its task in sorted
-order and reports a spanning forest, at most one edge a member, not its pairs.
+Every shard holds a BK-tree, whose children are keyed by their integer Hamming distance to the parent; a search follows only
+edges whose distance lies within the radius of the query's. Trees are not broadcast: a broadcast tree of everything grows with the
+data, and a tree of one shard is wanted only where the shard's members are.
+
+What is dealt out are distinct fingerprints: a group of exact copies is one row before any shard is formed. A shard reports a
+spanning forest, at most one edge a member, not its pairs.
 
 Defined cases: a null text is an empty text; a text without words has fingerprint zero; shorter texts than a
-shingle are one shingle; a null doc_id is never a component's smallest, and a fingerprint that only null ids have
-stands alone, its component null; an empty table gives an empty result.
+shingle are one shingle; a very long text is hashed shingle by shingle and voted in parts; rows repeated, and equal fingerprints, share
+a component; a null doc_id links like any other, but is never a component's smallest: a component of null ids alone is null;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +27,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .components import components
+from .wordarrays import mix
 
 #: The seed of the shingles' XXH64.
 SEED = 42
-#: Values in a leaf before it becomes a node, and those up to which a leaf is scanned one by one.
-LEAF, SCAN = 1024, 24
+#: Values up to which a part of a tree is a leaf, which is scanned, and members up to which a shard is one leaf.
+LEAF, FEW = 32, 24
+#: Members of a shard that is split, and how often a shard is split at most.
+HOT, LEVELS = 4096, 3
+#: Names of hot shards up to which they are broadcast.
+SOME = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
@@ -49,9 +57,9 @@ def shingle_hashes(text: str | None, words: int = 3) -> list[int]:
     return [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """The unsigned fingerprint: a bit is 1 if it is set in over half of the hashes."""
-    if not hashes:
+    if not len(hashes):
         return 0
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
@@ -60,102 +68,103 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp), fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
+    """(doc_id, key, fp), fp the fingerprint as a signed long, key a long to carry along (0 unless given)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.lit(0).cast("long") if key is None else key).alias("key"), F.col(text).cast("string").alias("text"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
-
-    return rows.mapInArrow(batches, "doc_id long, fp long")
-
-
-class Leaf:
-    """Values that all have one distance to the node above; scanned, at once when there are many."""
-
-    __slots__ = ("array", "places", "room", "values")
-
-    def __init__(self, room: int) -> None:
-        self.values: list[int] = []
-        self.places: list[int] = []
-        self.array = np.zeros(0, np.uint64)
-        self.room = room
-
-    def add(self, value: int, place: int) -> None:
-        n = len(self.values)
-        self.values.append(value)
-        self.places.append(place)
-        if n >= SCAN:
-            if n >= len(self.array):
-                grown = np.zeros(2 * n + 2, np.uint64)
-                grown[:n] = self.array[:n] if len(self.array) else self.values[:n]
-                self.array = grown
-            self.array[n] = value
+            fps = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc_id", "key", "fp"])
 
-    def within(self, value: int, radius: int) -> list[int]:
-        if len(self.values) <= SCAN:
-            return [p for v, p in zip(self.values, self.places, strict=True) if (v ^ value).bit_count() <= radius]
-        near = np.bitwise_count(self.array[: len(self.values)] ^ np.uint64(value)) <= radius
-        return [self.places[i] for i in np.flatnonzero(near).tolist()]
-
-
-class Node:
-    """A value with its children, keyed by their distance to it: further nodes, or leaves that may become nodes."""
-
-    __slots__ = ("children", "place", "value")
-
-    def __init__(self, value: int, place: int) -> None:
-        self.value, self.place = value, place
-        self.children: dict[int, Node | Leaf] = {}
-
-    def put(self, distance: int, value: int, place: int, room: int) -> None:
-        """Adds a value whose child here is none or a leaf."""
-        leaf = self.children.get(distance)
-        if leaf is None:
-            leaf = self.children[distance] = Leaf(room)
-        leaf.add(value, place)
-        if len(leaf.values) > leaf.room:
-            node = self.children[distance] = Node(leaf.values[0], leaf.places[0])
-            for v, p in zip(leaf.values[1:], leaf.places[1:], strict=True):
-                # children get twice the room, so that values of one distance to each other don't make a long thread
-                node.put((v ^ node.value).bit_count(), v, p, 2 * leaf.room)
+    return rows.mapInArrow(batches, "doc_id long, key long, fp long")
 
 
 class BKTree:
-    """Values by Hamming distance. A leaf holds up to ``LEAF`` values before it becomes a node: in a shard full of near
-    copies most of a tree lies within the radius, and scanning leaves is then what takes the time."""
-
-    def __init__(self) -> None:
-        self.root: Node | None = None
-        self.size = 0
-
-    def add(self, value: int, radius: int) -> list[int]:
-        """Adds ``value``; the places, counted from 0, of the earlier values within ``radius``."""
-        place, found = self.size, []
-        self.size += 1
-        if self.root is None:
-            self.root = Node(value, place)
-            return found
-        stack = [self.root]
-        while stack:
-            node = stack.pop()
-            d = (node.value ^ value).bit_count()
-            if d <= radius:
-                found.append(node.place)
-            for edge, child in node.children.items():
-                if d - radius <= edge <= d + radius:
-                    if isinstance(child, Leaf):
-                        found += child.within(value, radius)
-                    else:
-                        stack.append(child)
-        node = self.root
-        while isinstance(child := node.children.get(d := (node.value ^ value).bit_count()), Node):
-            node = child
-        node.put(d, value, place, LEAF)
-        return found
+    """Distinct values by Hamming distance: a node has a value and its children by their distance to it; small parts are leaves."""
+
+    def __init__(self, values: np.ndarray, leaf: int = LEAF) -> None:
+        self.values, self.compared = values, 0
+        self.root: list = [None]
+        todo = [(np.arange(len(values)), self.root, 0)]
+        while todo:
+            places, parent, key = todo.pop()
+            if len(places) <= leaf:
+                parent[key] = places
+                continue
+            pivot, rest = int(places[0]), places[1:]
+            apart = np.bitwise_count(values[rest] ^ values[pivot])
+            children: dict[int, object] = {}
+            parent[key] = (pivot, children)
+            todo += [(rest[apart == d], children, int(d)) for d in np.unique(apart)]
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (place of a query, place of a value) that are at most ``radius`` apart."""
+        found_q, found_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(self.root[0], np.arange(len(queries)))]
+        while todo:
+            part, q = todo.pop()
+            if isinstance(part, tuple):
+                pivot, children = part
+                apart = np.bitwise_count(queries[q] ^ self.values[pivot]).astype(np.int64)
+                self.compared += len(q)
+                near = q[apart <= radius]
+                found_q.append(near)
+                found_v.append(np.full(len(near), pivot))
+                for edge, child in children.items():
+                    on = q[(apart >= edge - radius) & (apart <= edge + radius)]
+                    if len(on):
+                        todo.append((child, on))
+            else:
+                self.compared += len(q) * len(part)
+                a, b = np.nonzero(np.bitwise_count(queries[q][:, None] ^ self.values[part][None, :]) <= radius)
+                found_q.append(q[a])
+                found_v.append(part[b])
+        return np.concatenate(found_q), np.concatenate(found_v)
+
+
+def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges between places of ``values``, distinct, that connect what the radius links: one less than members a component."""
+    n, edges = len(values), []
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(a: int, b: int) -> None:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            edges.append((a, b))
+
+    if n <= FEW:
+        own = values.tolist()
+        for i in range(1, n):
+            for j in range(i):
+                if (own[i] ^ own[j]).bit_count() <= radius:
+                    join(i, j)
+        return edges
+    tree, label, at, step = BKTree(values), np.arange(n), 0, 1
+    while at < n:  # a few queries first: in a dense shard they join most of it
+        q, v = tree.within(values[at : at + step], radius)
+        q += at
+        apart = np.flatnonzero(label[q] != label[v])
+        if len(apart):
+            _, first = np.unique(label[q[apart]] * n + label[v[apart]], return_index=True)
+            for k in apart[first].tolist():
+                join(int(q[k]), int(v[k]))
+            label = np.fromiter(map(top, range(n)), np.int64, n) if len(first) > 8 or at + step >= n else _relabelled(label, top)
+        at, step = at + step, min(2 * step, 256)
+    return edges
+
+
+def _relabelled(label: np.ndarray, top) -> np.ndarray:
+    kinds, inverse = np.unique(label, return_inverse=True)
+    return np.array([top(k) for k in kinds.tolist()], np.int64)[inverse]
 
 
 def blocks(count: int) -> list[tuple[int, int]]:
@@ -172,58 +181,117 @@ def extra_blocks(distinct: int, radius: int, fill: int = 32) -> int:
     return extra
 
 
-def links(nodes: DataFrame, radius: int = 3, distinct: int | None = None) -> DataFrame:
-    """Nodes (fp, rep), fp distinct, to edges (a, b) of reps that connect what the radius links."""
-    small_batches(nodes.sparkSession)
-    extra = extra_blocks(nodes.count() if distinct is None else distinct, radius)
-    cells = blocks(radius + extra)
-    names = [F.xxhash64(F.lit(t), *[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in chosen]) for t, chosen in enumerate(combinations(cells, extra))]
-    dealt = nodes.select(F.explode(F.array(*names)).alias("shard"), "fp", "rep")
+def masks(count: int, radius: int, levels: int = LEVELS) -> list[list[list[tuple[int, int]]]]:
+    """By level and path, the (mask, next path) of the shards that a member goes to: at the first level by blocks of all
+    bits, then by blocks of the bits that the path has not used. A path is the number of a set of used bits."""
+    bits = [[b for b in range(a, a + w)] for a, w in blocks(radius + count)]
+    used = [set().union(*chosen) for chosen in combinations(bits, count)]
+    mask = lambda some: sum(1 << b for b in some)
+    out = [[[(mask(u), i) for i, u in enumerate(used)]]]
+    for _ in range(levels):
+        level, below = [], []
+        for u in used:
+            free = sorted(set(range(64)) - u)
+            parts = [free[len(free) * k // (radius + 1) : len(free) * (k + 1) // (radius + 1)] for k in range(radius + 1)]
+            level.append([(mask(p), len(below) + k) for k, p in enumerate(parts)])
+            below += [u | set(p) for p in parts]
+        out.append(level)
+        used = below
+    return out
+
+
+def dealt(rows: DataFrame, places: list[list[tuple[int, int]]]) -> DataFrame:
+    """Rows (shard, path, fp) to those of the shards below theirs."""
+    table = np.array([[m for m, _ in p] for p in places], np.uint64)
+    paths = np.array([[n for _, n in p] for p in places], np.int32)
+    spice = np.arange(1, table.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            shard, path, fp = (c.to_numpy() for c in batch.columns)
+            value = fp.view(np.uint64)[:, None] & table[path]
+            name = mix(mix(value + spice[None, :]) ^ (shard.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(name.reshape(-1).view(np.int64)), pa.array(paths[path].reshape(-1)), pa.array(np.repeat(fp, table.shape[1]))], names=["shard", "path", "fp"])
+
+    return rows.mapInArrow(deal, "shard long, path int, fp long")
+
+
+def links(nodes: DataFrame, radius: int = 3, distinct: int | None = None, hot: int = HOT) -> DataFrame:
+    """Nodes (fp), distinct, to edges (a, b) of fingerprints that connect what the radius links."""
+    small_batches(nodes.sparkSession, 20_000)
+    levels = masks(extra_blocks(nodes.count() if distinct is None else distinct, radius), radius)
+    rows = dealt(nodes.select(F.lit(0).cast("long").alias("shard"), F.lit(0).alias("path"), "fp"), levels[0])
+    whole: list[DataFrame] = []
+    for places in levels[1:]:
+        large = cut(rows.groupBy(F.col("shard").alias("of")).count().where(F.col("count") > hot).select("of"))
+        n = large.count()
+        if not n:
+            break
+        large = F.broadcast(large) if n <= SOME else large
+        whole.append(rows.join(large, F.col("shard") == F.col("of"), "left_anti"))
+        rows = cut(dealt(rows.join(large, F.col("shard") == F.col("of"), "left_semi"), places))
+    for part in whole:
+        rows = rows.unionByName(part)
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, reps, root = None, BKTree(), [], []
+        a, b = [], []
+        held: list[np.ndarray] = []  # of a shard that may go on in the next batch
+        last = None
 
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+        def take(parts: list[np.ndarray]) -> None:
+            own = np.unique(np.concatenate(parts))
+            for x, y in forest(own.view(np.uint64), radius):
+                a.append(own[x])
+                b.append(own[y])
 
         for batch in it:
-            shards, fps, ids = (batch.column(i).to_numpy() for i in range(3))
-            again = np.zeros(len(shards), bool)  # alone in its shard, as far as this batch shows
-            again[1:] |= shards[1:] == shards[:-1]
-            again[:-1] |= shards[1:] == shards[:-1]
-            if len(shards):
-                again[[0, -1]] = True
-            a, b = [], []
-            for shard, fp, rep in zip(shards[again].tolist(), fps.view(np.uint64)[again].tolist(), ids[again].tolist(), strict=True):
-                if shard != last:
-                    last, tree, reps, root = shard, BKTree(), [], []
-                found = tree.add(fp, radius)
-                me = len(reps)
-                reps.append(rep)
-                root.append(me)
-                for other in found:
-                    if (x := top(other)) != (y := top(me)):
-                        root[max(x, y)] = min(x, y)
-                        a.append(rep)
-                        b.append(reps[other])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(search, "a long, b long")
+            shard, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(shard):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).tolist()
+            for x, y in zip(starts[:-1], starts[1:], strict=True):
+                if held and shard[x] != last:
+                    if len(held) > 1 or len(held[0]) > 1:
+                        take(held)
+                    held = []
+                if y == len(shard) or held:
+                    held.append(fp[x:y])
+                    last = shard[x]
+                elif y - x > 1:
+                    take([fp[x:y]])
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        if held and (len(held) > 1 or len(held[0]) > 1):
+            take(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(search, "a long, b long")
+
+
+def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
+    """Rows (doc_id, fp) to (of, component_id): each fingerprint with the smallest doc_id of its component."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    found = components(links(nodes.select("fp"), radius))
+    joined = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    joined = cut(joined)
+    least = joined.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("component_id"))
+    return joined.join(least, F.col("component") == F.col("c")).select(F.col("fp").alias("of"), "component_id")
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = cut(fingerprints(docs, words, text, doc_id))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = cut(nodes.where("rep is not null"))
-    joined = known.join(components(links(known, radius)), F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(joined, F.col("fp") == F.col("of"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = fingerprint_components(prints, radius)
+    return prints.join(found, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, with all their columns, but those whose component has a smaller doc_id; a null doc_id stays."""
-    gone = near_groups(docs, words, radius, text, doc_id).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, with all their columns, but those whose component has a smaller doc_id; a null doc_id stays.
+
+    Rows are told apart by doc_id and text."""
+    key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    prints = cut(fingerprints(docs, words, text, doc_id, key))
+    found = fingerprint_components(prints, radius)
+    gone = prints.join(found, F.col("fp") == F.col("of")).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    return docs.join(gone, (docs[doc_id] == gone["__gone"]) & (key == gone["__key"]), "left_anti")

@@ -434,50 +434,97 @@ def test_squeeze():
 
 
 def test_simhash(docs, rows):
-    got = simhash.near_groups(docs).where("doc_id is not null").collect()
-    own = [(i, t) for i, t, *_ in rows if i is not None]
-    ids, fps = [i for i, _ in own], [plain_fingerprint(t) for _, t in own]
-    comp = plain_components(ids, fps)
-    assert by(got, "doc_id", "fingerprint", "component_id") == sorted(((i, f"{f:016x}", c) for i, f, c in zip(ids, fps, comp)), key=repr)
+    """All rows, null ids among them, which link like any other."""
+    got = simhash.near_groups(docs).collect()
+    fps = [plain_fingerprint(t) for _, t, *_ in rows]
+    places = plain_components(list(range(len(rows))), fps)
+    least = {}
+    for (i, *_), c in zip(rows, places):
+        least[c] = min((x for x in (i, least.get(c)) if x is not None), default=None)
+    want = [(i, f"{f:016x}", least[c]) for (i, *_), f, c in zip(rows, fps, places)]
+    assert by(got, "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
     kept = simhash.survivors(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {c for c in comp} | {None}
+    assert {r["doc_id"] for r in kept.collect()} == set(least.values()) | {None}
 
 
-@pytest.mark.parametrize("distinct", [10, 10**7, 10**13])
-def test_links_lose_nothing(spark, distinct):
-    """Random fingerprints with planted neighbours at distances 0 to 5, for every number of blocks in a shard's name."""
+def test_links_through_a_null_id(spark, monkeypatch):
+    """Two fingerprints six bits apart, each three from one that only a null id has."""
+    prints = spark.createDataFrame([(1, 0b111000), (3, 0b000111), (None, 0), (9, -1), (None, 2**40 - 1)], "doc_id long, fp long")
+    got = {r["of"]: r["component_id"] for r in simhash.fingerprint_components(prints, 3).collect()}
+    assert got == {0b111000: 1, 0b000111: 1, 0: 1, -1: 9, 2**40 - 1: None}
+
+
+def random_fingerprints(rng, free, n):
+    """Fingerprints that differ in their ``free`` lowest bits alone."""
+    return np.unique(rng.integers(0, 2**free, n, dtype=np.uint64) | np.uint64(0xABCDEF << 40))
+
+
+@pytest.mark.parametrize(("distinct", "hot"), [(10, 4096), (10**7, 4096), (10**13, 4096), (10, 30), (10, 3)])
+def test_links_lose_nothing(spark, distinct, hot):
+    """Random fingerprints with planted neighbours at distances 0 to 5, for numbers of blocks in a shard's name and splits of shards."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    fps = set(base.tolist())
+    fps = set(base.tolist()) | set(random_fingerprints(rng, 30, 300).tolist())
     for f in base.tolist():
         for d in (1, 2, 3, 4, 5):
             x = f
             for b in rng.choice(64, d, replace=False).tolist():
                 x ^= 1 << b
             fps.add(x)
-    fps = sorted(fps)
-    nodes = spark.createDataFrame([(f - (f >> 63 << 64), i) for i, f in enumerate(fps)], "fp long, rep long")
-    found = {r["node"]: r["component"] for r in components.components(simhash.links(nodes, 3, distinct)).collect()}
-    want = plain_components(list(range(len(fps))), fps)
-    assert [found.get(i, i) for i in range(len(fps))] == want
-
-
-@pytest.mark.parametrize(("leaf", "kind"), [(1024, "random"), (4, "random"), (4, "near"), (40, "near"), (2, "far"), (3, "equal")])
-def test_bk_tree(monkeypatch, leaf, kind):
-    monkeypatch.setattr(simhash, "LEAF", leaf)
+    fps = sorted(f - (f >> 63 << 64) for f in fps)
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = {r["node"]: r["component"] for r in components.components(simhash.links(nodes, 3, distinct, hot)).collect()}
+    want = plain_components(fps, [f % 2**64 for f in fps])
+    assert [found.get(f, f) for f in fps] == want
+
+
+def test_hot_shard_is_split(spark):
+    """100,000 fingerprints that agree on 36 bits: no task searches more than a small part, and components are right."""
+    rng = np.random.default_rng(3)
+    fps = random_fingerprints(rng, 28, 100_000).view(np.int64)
+    nodes = spark.createDataFrame([(f,) for f in fps.tolist()], "fp long").repartition(4)
+    found = {r["node"]: r["component"] for r in components.components(simhash.links(nodes, 3)).collect()}
+    # plainly: neighbours by flipping up to three of the free bits, one after the other
+    known, comp = set((fps & (2**28 - 1)).tolist()), {}
+    flips = [1 << a for a in range(28)] + [1 << a | 1 << b for a in range(28) for b in range(a)] + [1 << a | 1 << b | 1 << c for a in range(28) for b in range(a) for c in range(b)]
+    flips = np.array(flips)
+    for start in sorted(known)[:2000]:
+        if start not in comp:
+            todo, comp[start] = [start], start
+            while todo and len(comp) < 400:
+                for y in known.intersection((todo.pop() ^ flips).tolist()):
+                    if y not in comp:
+                        comp[y] = start
+                        todo.append(y)
+    high = int(fps[0]) >> 28 << 28
+    assert len(comp) >= 400
+    for x, start in comp.items():
+        assert found.get(high | x, high | x) == found.get(high | start, high | start)
+
+
+@pytest.mark.parametrize(("leaf", "kind"), [(32, "random"), (4, "random"), (4, "near"), (32, "near"), (2, "far"), (1, "far")])
+def test_bk_tree(leaf, kind):
     rng = np.random.default_rng(2)
     if kind == "random":
         values = [int(x) & 0xFFF for x in rng.integers(0, 2**63, 400)]
     elif kind == "near":  # all around one value
         values = [int(sum(1 << int(b) for b in rng.choice(64, 3, replace=False))) for _ in range(400)]
-    elif kind == "far":  # all equally far from each other
+    else:  # all equally far from each other
         values = [0b11 << 2 * i for i in range(32)]
-    else:
-        values = [5] * 50
-    tree = simhash.BKTree()
-    for n, v in enumerate(values):
-        assert sorted(tree.add(v, 3)) == [i for i in range(n) if (values[i] ^ v).bit_count() <= 3]
+    values = sorted(set(values))
+    array = np.array(values, np.uint64)
+    q, v = simhash.BKTree(array, leaf).within(array, 3)
+    assert sorted(zip(q.tolist(), v.tolist())) == [(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if (x ^ y).bit_count() <= 3]
+    edges, want = simhash.forest(array, 3), plain_components(list(range(len(values))), values)
+    assert len(edges) == len(values) - len(set(want)) and all(want[a] == want[b] for a, b in edges)
+
+
+def test_bk_tree_visits_a_part():
+    values = np.unique(np.random.default_rng(4).integers(0, 2**63, 20_000, dtype=np.uint64))
+    tree = simhash.BKTree(values)
+    tree.within(values[:500], 3)
+    assert isinstance(tree.root[0], tuple) and tree.compared < 0.5 * 500 * len(values)
 
 
 def test_components(spark):
