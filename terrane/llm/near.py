@@ -1,17 +1,19 @@
-"""Near-duplicate groups by exact Jaccard similarity of five-word shingles, found without loss.
+"""Near-duplicate groups of five-word Jaccard similarity 4/5 or more: SimHash links, each confirmed, then what they miss.
 
-Two texts are linked if the sets of their shingles have a Jaccard similarity of 4/5 or more. A SimHash radius that holds all
-such pairs (up to 11 of 64 bits at sf0.1) is too wide to be dealt by blocks of equal bits, so candidates come from the sets:
+Two texts are linked if the sets of their shingles have a Jaccard similarity of 4/5 or more. Fingerprints of such texts differ in up to
+11 of 64 bits at sf0.1, a radius that neither blocks of equal bits nor BK-trees can search without looking at most of the data. So
+:mod:`~terrane.llm.simhash` gives the first candidates, within its radius, and the sets themselves the rest:
 
+* *SimHash.* Fingerprints of five-word shingles are linked through sharded BK-trees, three bits apart at most.
+* *Minimum hashes* link each set to one likely copy a list, which joins large groups in linear time.
 * *Prefixes.* In any one order of all shingles, two linked sets share one among their first ``size // 5 + 1``. The order
-  puts shingles that a sample shows to be common last, so that boilerplate deals out few documents.
+  puts shingles that a sample shows to be common last, so that boilerplate deals out few documents. Only sets of different components
+  are compared.
 * *Parity bits.* Every shingle flips one of 512 bits. Two linked sets differ in at most a ninth of their summed sizes, hence in
-  no more bits; nearly all other pairs do.
-* *Confirmation.* What is left is decided by the shingles of the two texts themselves.
+  no more bits; nearly all other pairs do. They are a fingerprint whose radius loses nothing.
+* *Confirmation.* Every link, wherever it comes from, is decided by the shingles of the two texts themselves.
 
-Before that, minimum hashes link each set to one likely copy a list. These links, confirmed in the same way, join large groups in
-linear time; prefixes then compare only sets of different components. Neither step drops, caps or samples pairs: the
-sample fixes an order, and every order gives the same result.
+No step drops, caps or samples pairs: the sample fixes an order, and every order gives the same result.
 
 Sets are known by 64-bit digests, shingles by their XXH64 until they are confirmed.
 
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches, text_of
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint, links, shingle_hashes
 
 WORDS = 5
 #: Longs of parity bits a set, and lists of minimum hashes.
 BITS, LISTS = 8, 6
 #: Documents in the sample that tells common shingles, and common shingles at most.
-SAMPLE, COMMON = 20_000, 100_000
+SAMPLE, COMMON = 5_000, 100_000
 #: Up to so many eight-byte keys are broadcast.
 FEW = 2_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -89,7 +91,7 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
 
 
 def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, sha, node, size, bits, least, first) by row: the text's digest, the set's digest, size, parity bits, minimum hashes and prefix."""
+    """(doc_id, sha, node, fp, size, bits, least, first) by row: the text's digest, the set's digest, fingerprint, size, parity bits, minimum hashes and prefix."""
     small_batches(docs.sparkSession)
     common, counts = common_shingles(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text).alias("sha"), text_of(text).cast("string").alias("text"))
@@ -102,14 +104,16 @@ def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         from xxhash import xxh64_intdigest
 
         for batch in it:
-            sets = [hashes_of(t.as_py()) for t in batch.column(2)]
+            every = [np.array(shingle_hashes(t.as_py(), WORDS), np.uint64) for t in batch.column(2)]
+            fps = np.array([fingerprint(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             least = [np.array([(s * m).min() for m in ODD], np.uint64) if len(s) else np.zeros(0, np.uint64) for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(fps), pa.array([len(s) for s in sets], pa.int64())]
             columns += [lists([parity(s) for s in sets]), lists(least), lists([prefix(s, common, counts) if len(s) else s for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "node", "size", "bits", "least", "first"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "node", "fp", "size", "bits", "least", "first"])
 
-    return rows.mapInArrow(batches, "doc_id long, sha binary, node long, size long, bits array<long>, least array<long>, first array<long>")
+    return rows.mapInArrow(batches, "doc_id long, sha binary, node long, fp long, size long, bits array<long>, least array<long>, first array<long>")
 
 
 def digest(text: str) -> Column:
@@ -222,16 +226,26 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "key long, node long")
 
 
+def simhash_pairs(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Nodes (node, fp, ...) to pairs (a, b): of fingerprints that op8's search links, and of sets that share a fingerprint."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    linked = links(prints.select("fp"), radius)
+    x, y = (prints.select(F.col("fp").alias(f"f{i}"), F.col("rep").alias(f"r{i}")) for i in "xy")
+    between = linked.join(x, F.col("a") == F.col("fx")).join(y, F.col("b") == F.col("fy")).select("rx", "ry")
+    within = nodes.join(x, F.col("fp") == F.col("fx")).where("node <> rx").select("rx", F.col("node"))
+    return between.union(within).select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
+
+
 def node_components(rows: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Rows as described, and their distinct nodes (node, sha, size, bits), to (node, component); nodes without links have no row."""
+    """Rows as described, and their distinct nodes (node, sha, fp, size, bits), to (node, component); nodes without links have no row."""
     lists = rows.select("node", F.col("node").alias("component"), "size", "bits", F.posexplode("least").alias("i", "h"))
     lists = lists.withColumn("key", F.xxhash64("i", "h"))
-    links = confirmed(candidates(lists, every=False), nodes, docs, text)
-    found = cut(components(links)).select(F.col("node").alias("of"), "component")
+    linked = confirmed(candidates(lists, every=False).union(simhash_pairs(nodes)).distinct(), nodes, docs, text)
+    found = cut(components(linked)).select(F.col("node").alias("of"), "component")
     places = cut(shared(rows.select(F.explode("first").alias("key"), "node")))
     about = nodes.join(found, F.col("node") == F.col("of"), "left").select(F.col("node").alias("of"), F.coalesce("component", "node").alias("component"), "size", "bits")
     lists = places.join(about, F.col("node") == F.col("of")).select("key", "node", "component", "size", "bits")
-    return components(links.unionByName(confirmed(candidates(lists, every=True), nodes, docs, text)))
+    return components(linked.unionByName(confirmed(candidates(lists, every=True), nodes, docs, text)))
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -239,7 +253,7 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
     Rows are told apart by doc_id and text; of two texts of one group under its smallest doc_id one stays."""
     rows = cut(described(docs, text, doc_id)).where("doc_id is not null")
-    nodes = cut(rows.groupBy("node").agg(F.min("sha").alias("sha"), *[F.first(c).alias(c) for c in ("size", "bits")]))
+    nodes = cut(rows.groupBy("node").agg(F.min("sha").alias("sha"), *[F.first(c).alias(c) for c in ("fp", "size", "bits")]))
     found = node_components(rows, nodes, docs, text).select(F.col("node").alias("of"), "component")
     member = rows.join(found, F.col("node") == F.col("of"), "left").select(F.coalesce("component", "node").alias("component"), F.struct("doc_id", "sha").alias("row"))
     member = cut(member)

@@ -15,8 +15,8 @@ def plain_shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def plain_near(rows):
-    """(doc_id, text) of the rows that stay, for rows without repeated ids."""
+def plain_near_rows(rows):
+    """The rows that stay, for rows without repeated ids."""
     known = [r for r in rows if r["doc_id"] is not None]
     sets = [plain_shingles(r["text"]) for r in known]
     parent = list(range(len(known)))
@@ -35,7 +35,12 @@ def plain_near(rows):
     least = {}
     for i, r in enumerate(known):
         least[top(i)] = min(least.get(top(i), r["doc_id"]), r["doc_id"])
-    return sorted([(repr(r["doc_id"]), r["text"]) for r in rows if r["doc_id"] is None] + [(repr(r["doc_id"]), r["text"]) for i, r in enumerate(known) if r["doc_id"] == least[top(i)]], key=repr)
+    return [r for r in rows if r["doc_id"] is None] + [r for i, r in enumerate(known) if r["doc_id"] == least[top(i)]]
+
+
+def plain_near(rows):
+    """(doc_id, text) of the rows that stay."""
+    return sorted([(repr(r["doc_id"]), r["text"]) for r in plain_near_rows(rows)], key=repr)
 
 
 def stayed(df):

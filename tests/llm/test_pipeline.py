@@ -11,7 +11,8 @@ import pytest
 import corpus_pipeline as P
 from terrane.llm import langid, packing
 
-from .plain import plain_components, plain_fingerprint, plain_targets
+from .plain import plain_targets
+from .test_near import plain_near_rows
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -40,10 +41,7 @@ def plain_stages(rows):
     for r in first:
         groups[SPACE.sub(" ", r["text"])].append(r)
     second = [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
-    known = [r for r in second if r["doc_id"] is not None]
-    comp = plain_components([r["doc_id"] for r in known], [plain_fingerprint(r["text"]) for r in known])
-    third = [r for r in second if r["doc_id"] is None] + [r for r, c in zip(known, comp) if r["doc_id"] == c]
-    return first, second, third
+    return first, second, plain_near_rows(second)
 
 
 @pytest.fixture(scope="module", params=["cases", "table"])
@@ -91,6 +89,12 @@ def test_stages(spark, table):
         packed[p["doc_id"]] += p["length"]
         fill[p["sequence_id"]] += p["length"]
     assert packed == tokens and max(fill.values()) <= 4096
+    # and the pieces, put together, are token sequences
+    read = lambda n: spark.read.parquet(f"{table}/{P.STAGES[n][0]}")
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(read(3), read(4)).collect()}
+    for p in pieces:
+        assert zlib.crc32(np.array(whole[p["sequence_id"]][p["offset"] : p["offset"] + p["length"]], "<u4").tobytes()) == p["ids_crc32"]
+    assert {k: len(v) for k, v in whole.items()} == fill
     # run() is the same stages in one go
     whole = P.run(spark, table).collect()
     assert collections.Counter((p["doc_id"], p["start"], p["length"], p["ids_crc32"]) for p in whole) == collections.Counter((p["doc_id"], p["start"], p["length"], p["ids_crc32"]) for p in pieces)
