@@ -4,7 +4,8 @@ One pattern finds candidates; each is validated as its kind demands (Luhn, IBAN
 plan) and, if valid, its value is permuted within the set of valid values of its format: a card number becomes a card
 number of the same length and issuer digit with a right check digit, a date becomes a date. The permutation depends on the
 key and the kind alone, so equal values become equal pseudonyms in every document, however they are
-punctuated, and different values stay different. What is not valid stays as it is, and so does all other text.
+punctuated, and different values of a kind stay different. What is not valid stays as it is, and so does all other text; but a
+number in a phone's form that no numbering plan gives is somebody's mistyped phone, and is permuted among such numbers.
 
 The permutation of a number below a * b is an alternating Feistel network over (number / b, number % b) with modular addition,
 a bijection for any a and b; its round function is SHA-256. No table of pseudonyms exists and nothing is shuffled.
@@ -12,8 +13,15 @@ a bijection for any a and b; its round function is SHA-256. No table of pseudony
 Kinds: email (local part), card, iban, ipv4, ssn, phone, date (ISO, and day first with points or slashes), and secrets
 (access key ids, hexadecimal tokens, values of ``password=``).
 
-Defined cases: null text stays null with 0 replaced; an empty table gives an empty result; a match is at most some hundred
-characters long, and quantifiers are possessive or bounded, so that very long texts and words cost linear time.
+A date of two-digit day and month is permuted among the dates of its 200 years (of those that the calendar has, in the first and last span).
+With a day or month of one digit, it keeps the number of digits of each and the zeros before them, its century, and whether the day is above 28; a 29 February so
+written moves among the leap years of its century, but that of a year divisible by 100 stays.
+
+The key is a literal of the plan, as any parameter is: set ``spark.sql.redaction.string.regex`` where plans are logged.
+
+Defined cases: null text stays null with 0 replaced; an empty text is empty; rows that repeat get the same text; an empty table gives an
+empty result; secrets match as a whole however long they are; quantifiers are possessive or bounded, so that very long texts and words
+cost linear time; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import let
 
 ROUNDS = 8
-#: Dates are permuted within spans of so many days, counted from 1900-01-01.
-DAYS = 73_000
+#: Dates are permuted within spans of so many days, counted from 1900-01-01, and the first and last days there are.
+DAYS, FIRST_DAY, LAST_DAY = 73_000, -693_595, 2_958_463
 
 #: The lengths of IBANs by country.
 IBAN_LENGTHS = {
@@ -45,16 +53,16 @@ def _iban_of(length: int) -> str:
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "password": r"(?i:password|passwd|pwd)[=:][^\s\"']{4,64}",
+    "password": r"(?i:password|passwd|pwd)(?:[=:]|:[ ](?=[^\s\"']*[0-9]))[^\s\"']{4,}+",
     "akia": r"AKIA[0-9A-Z]{16}",
     "iban": "|".join(map(_iban_of, IBAN_LENGTHS)) + r"|[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
-    "hex": r"(?=[a-f]*[0-9])[0-9a-f]{32,64}+",
+    "hex": r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}+|[0-9]{32,64}+",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "ymd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "dmy": r"[0-9]{1,2}(?<sep>[./])[0-9]{1,2}\k<sep>[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9]{13,19}+|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>(?:[0-9]{4}\k<gap>[0-9]{1,3}+(?![._%+@/-]+[A-Za-z0-9])(?![A-Za-z0-9_])|[0-9]{1,7}+)|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}+",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+    "phone": r"\+1[ .-]?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 }
 #: A candidate starts where no longer word or number does, and ends likewise.
 PATTERN = r"(?<![A-Za-z0-9_+@])(?<![0-9]\.)(?:" + "|".join(PATTERNS.values()) + r")(?![A-Za-z0-9_])"
@@ -157,16 +165,24 @@ def _card(s: Column, key: str) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
+    def ten_digits(t: Column) -> Column:
+        """Area and exchange from 200 to 999; or an area below 200; or only the exchange: each among its own."""
+        plan = feistel((_number(t, 1, 3) - 200) * 8_000_000 + (_number(t, 4, 3) - 200) * 10_000 + _number(t, 7, 4), 800, 8_000_000, "phone", key)
+        area = feistel(t.cast("long"), 20_000, 100_000, "phone0", key)
+        exchange = feistel((_number(t, 1, 3) - 200) * 2_000_000 + _number(t, 4, 7), 1600, 1_000_000, "phone1", key)
+        return (
+            F.when(t.rlike("^[01]"), padded(area, F.lit(10)))
+            .when(t.rlike("^[0-9]{3}[01]"), let(exchange, lambda v: F.concat((div(v, 2_000_000) + 200).cast("string"), padded(v % 2_000_000, F.lit(7)))))
+            .otherwise(let(plan, lambda v: F.concat((div(v, 8_000_000) + 200).cast("string"), (div(v, 10_000) % 800 + 200).cast("string"), padded(v % 10_000, F.lit(4)))))
+        )
+
     def new(d: Column) -> Column:
-        n, ten = F.length(d), d.substr(F.greatest(F.length(d) - 9, F.lit(1)), F.lit(10))
-        # area and exchange from 200 to 999
+        n = F.length(d)
         home = (n == 10) & ~s.startswith("+") | (n == 11) & s.startswith("+1")
-        valid = home & ten.rlike("^[2-9][0-9]{2}[2-9]")
-        inside = feistel((_number(ten, 1, 3) - 200) * 8_000_000 + (_number(ten, 4, 3) - 200) * 10_000 + _number(ten, 7, 4), 800, 8_000_000, "phone", key)
-        as_ten = let(inside, lambda v: F.concat((div(v, 8_000_000) + 200).cast("string"), (div(v, 10_000) % 800 + 200).cast("string"), padded(v % 10_000, F.lit(4))))
-        country = F.when(s.startswith("+"), F.least(F.greatest(F.length(F.regexp_extract(s, r"^\+([0-9]{1,3})", 1)), F.lit(1)), n - 1)).otherwise(0)
-        country = F.when(home & (n == 11), 1).otherwise(country)
-        return F.when(valid, F.concat(d.substr(F.lit(1), n - 10), as_ten)).otherwise(F.concat(d.substr(F.lit(1), country), permuted_digits(d.substr(country + 1, n - country), "phone+", key)))
+        # by the digits alone, so that punctuation can't tell two writings of a number apart
+        country = F.when(d.rlike("^[17]"), 1).otherwise(2)
+        abroad = F.concat(d.substr(F.lit(1), country), permuted_digits(d.substr(country + 1, n - country), "phone+", key))
+        return F.when(home, F.concat(d.substr(F.lit(1), n - 10), let(d.substr(n - 9, F.lit(10)), ten_digits))).otherwise(abroad)
 
     return let(only(s, "0-9"), lambda d: F.when(F.length(d) <= 18, put_back(s, "0-9", new(d))).otherwise(s))
 
@@ -198,12 +214,17 @@ def _date(day: Column, s: Column, key: str, form: Callable[[Column], Column]) ->
     """``day``: the date, null if there is no such day."""
     epoch = F.lit("1900-01-01").cast("date")
 
-    def new(d: Column) -> Column:
-        since = F.datediff(d, epoch).cast("long")
-        inside = F.pmod(since, F.lit(DAYS).cast("long"))
-        return F.date_add(epoch, (since - inside + feistel(inside, 250, DAYS // 250, "date", key)).cast("int"))
+    def new(since: Column) -> Column:
+        span = F.floor(since / DAYS)
+        first, last = span == FIRST_DAY // DAYS, span == LAST_DAY // DAYS
+        start = F.when(first, FIRST_DAY).otherwise(span * DAYS)
+        # the spans' lengths: 65 * 563 days, 64 * 601, and else 250 * 292
+        a = F.when(first, 65).when(last, 64).otherwise(250).cast("long")
+        b = F.when(first, 563).when(last, 601).otherwise(DAYS // 250).cast("long")
+        return let(F.struct(start.cast("long").alias("at"), a.alias("a"), b.alias("b")), lambda p: F.date_add(epoch, (p["at"] + feistel(since - p["at"], p["a"], p["b"], "date", key)).cast("int")))
 
-    return let(day, lambda d: F.when(d.isNotNull(), let(new(d), form)).otherwise(s))
+    since = F.datediff(day, epoch).cast("long")
+    return let(since, lambda d: F.when(d.between(FIRST_DAY, LAST_DAY), let(new(d), form)).otherwise(s))
 
 
 def _ymd(s: Column, key: str) -> Column:
@@ -214,7 +235,38 @@ def _dmy(s: Column, key: str) -> Column:
     mark = F.regexp_extract(s, "[./]", 0)
     parts = F.split(s, "[./]")
     iso = F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0"))
-    return _date(iso.try_cast("date"), s, key, lambda d: F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy")))
+    whole = _date(iso.try_cast("date"), s, key, lambda d: F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy")))
+    return F.when(F.length(s) == 10, whole).when(iso.try_cast("date").isNull() | (parts[2] == "0000"), s).otherwise(let(parts, lambda p: _short_date(p, mark, key)))
+
+
+def _short_date(p: Column, mark: Column, key: str) -> Column:
+    """A date whose day or month has one digit, among those of its form; ``p``: day, month and year as written."""
+    day, month, year = (p[i].cast("long") for i in range(3))
+    days, months = F.length(p[0]), F.length(p[1])
+    century, years = year - year % 100, F.when(year < 100, 99).otherwise(100).cast("long")
+    place = F.when(year < 100, year - 1).otherwise(year % 100)
+    back = lambda y: century + y + F.when(year < 100, 1).otherwise(0)
+
+    def moved(kinds: int, number: Column, tweak: str, d: Callable[[Column], Column], m: Callable[[Column], Column]) -> Column:
+        value = feistel(place * kinds + number, years, kinds, f"date{tweak}", key)
+        return let(value, lambda v: let(F.struct((v % kinds).alias("k"), back(div(v, kinds)).alias("y")), lambda x: written(d(x["k"]), m(x["k"]), x["y"])))
+
+    def written(d: Column, m: Column, y: Column) -> Column:
+        return F.concat(padded(d, days), mark, padded(m, months), mark, padded(y, F.lit(4)))
+
+    long_months = [1, 3, 5, 7, 8]
+    leap = let(feistel(div(year % 100, 4) - 1, 4, 6, "date29", key), lambda v: written(day, month, century + 4 * (v + 1)))
+    return (
+        F.when((days == 1) & (months == 1), moved(81, (month - 1) * 9 + day - 1, "11", lambda k: k % 9 + 1, lambda k: div(k, 9) + 1))
+        .when((days == 1) & (month <= 9), moved(81, (month - 1) * 9 + day - 1, "12", lambda k: k % 9 + 1, lambda k: div(k, 9) + 1))
+        .when(days == 1, moved(27, (month - 10) * 9 + day - 1, "1x", lambda k: k % 9 + 1, lambda k: div(k, 9) + 10))
+        .when(day <= 9, moved(81, (month - 1) * 9 + day - 1, "21", lambda k: k % 9 + 1, lambda k: div(k, 9) + 1))
+        .when(day <= 28, moved(171, (month - 1) * 19 + day - 10, "x1", lambda k: k % 19 + 10, lambda k: div(k, 19) + 1))
+        .when(day == 31, moved(5, F.array_position(F.array(*[F.lit(m).cast("long") for m in long_months]), month) - 1, "31", lambda k: day, lambda k: F.get(F.array(*[F.lit(m).cast("long") for m in long_months]), k.cast("int"))))
+        .when(month != 2, moved(16, F.when(month == 1, 0).otherwise(month - 2) * 2 + day - 29, "30", lambda k: k % 2 + 29, lambda k: F.when(k < 2, 1).otherwise(div(k, 2) + 2)))
+        .when(year % 100 != 0, leap)
+        .otherwise(written(day, month, year))
+    )
 
 
 def _iban(s: Column, key: str) -> Column:
@@ -244,7 +296,8 @@ def _hex(s: Column, key: str) -> Column:
         return F.lpad(F.lower(F.hex(value)), n, F.lit("0"))
 
     starts = F.sequence(F.lit(0), div(F.length(s).cast("long") - 1, 12))
-    return F.array_join(F.transform(starts, lambda k: let(s.substr((k * 12 + 1).cast("int"), F.lit(12)), block)), "")
+    new = F.array_join(F.transform(starts, lambda k: let(s.substr((k * 12 + 1).cast("int"), F.lit(12)), block)), "")
+    return F.when(s.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
 def _after(s: Column, head: str, tweak: str, key: str) -> Column:
@@ -259,7 +312,7 @@ def pseudonym(s: Column, key: str) -> Column:
     at = F.instr(s, "@")
     return (
         F.when(whole("email"), F.concat(permuted_word(s.substr(F.lit(1), at - 1), "email", key), s.substr(at, F.length(s))))
-        .when(whole("password"), _after(s, "^[A-Za-z]+[=:]", "password", key))
+        .when(whole("password"), _after(s, "^[A-Za-z]+[=:][ ]?", "password", key))
         .when(whole("akia"), _after(s, "^AKIA", "akia", key))
         .when(whole("hex"), _hex(s, key))
         .when(whole("ipv4"), _ipv4(s, key))
