@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import xxh64_sql as X
+from .winnowing import BASE, PLACE, PRIME
 
 _VOTES = ", ".join(f"sum(CAST((h >> {b}) & 1 AS BIGINT)) AS b{b}" for b in range(64))
 _BITS = " + ".join(f"CASE WHEN 2 * b{b} > n THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
@@ -25,13 +26,9 @@ SIMHASH = rf"""
 def winnowing(k: int = 3, w: int = 4) -> str:
     """Fingerprints of texts and edited texts, window minima taken as they are defined."""
     unspaced = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-    start = (42 + X.P5 + 8) % X.TWO64
-    steps, last = [], "grams_0"
-    for j in range(k):  # the hash so far is the seed of the next long
-        seed = f"{start}::UBIGINT" if not j else X.add("h", (X.P5 + 8) % X.TWO64)
-        steps.append(f"chain_{j} AS (SELECT * EXCLUDE (h), {X.long_step(seed, f'u{j}')} AS h FROM {last})")
-        steps.append(X.finish(f"chain_{j}", f"chained_{j}"))
-        last = f"chained_{j}"
+    gram = "u0"
+    for j in range(1, k):
+        gram = f"(({gram} * {BASE} + u{j}) % {PRIME})"
     grams = ", ".join(f"lead(u, {j}) OVER g AS u{j}" for j in range(k))
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next,
@@ -41,18 +38,15 @@ def winnowing(k: int = 3, w: int = 4) -> str:
     unit AS (SELECT DISTINCT s FROM (SELECT unnest(units) AS s FROM listed)),
     {X.of_text("unit", "s", "known")},
     placed AS (SELECT doc_id, edited, unnest(units) AS s, unnest(range(len(units))) AS i, len(units) AS n FROM listed),
-    hashed AS (SELECT doc_id, edited, i, n, h AS u FROM placed JOIN known USING (s)),
-    grams_0 AS (SELECT doc_id, edited, i, 0::UBIGINT AS h, {grams} FROM hashed WHERE n >= {k} WINDOW g AS (PARTITION BY doc_id, edited ORDER BY i) QUALIFY u{k - 1} IS NOT NULL),
-    {", ".join(steps)},
+    hashed AS (SELECT doc_id, edited, i, n, CAST((h >> 1) % {PRIME} AS BIGINT) AS u FROM placed JOIN known USING (s)),
+    rolled AS (SELECT doc_id, edited, i, {grams} FROM hashed WHERE n >= {k} WINDOW g AS (PARTITION BY doc_id, edited ORDER BY i) QUALIFY u{k - 1} IS NOT NULL),
     -- texts of fewer units than a gram: one gram of them all
     short AS (SELECT doc_id, edited, list(u ORDER BY i) AS us FROM hashed WHERE n < {k} GROUP BY doc_id, edited),
-    short_0 AS (SELECT doc_id, edited, us, {X.long_step(f"{start}::UBIGINT", "us[1]")} AS h FROM short), {X.finish("short_0", "short_1")},
-    short_2 AS (SELECT * EXCLUDE (h), CASE WHEN len(us) > 1 THEN {X.long_step(X.add("h", (X.P5 + 8) % X.TWO64), "us[2]")} ELSE h END AS h, h AS one FROM short_1), {X.finish("short_2", "short_3")},
-    gram AS (SELECT doc_id, edited, i, h FROM {last} UNION ALL SELECT doc_id, edited, 0, CASE WHEN len(us) > 1 THEN h ELSE one END FROM short_3),
-    packed AS (SELECT doc_id, edited, i, (CAST(h >> 25 AS BIGINT) << 24) + 16777215 - i % 16777216 AS g, count(*) OVER (PARTITION BY doc_id, edited) AS n FROM gram),
+    gram AS (SELECT doc_id, edited, i, {gram} AS h FROM rolled UNION ALL SELECT doc_id, edited, 0, list_reduce(list_prepend(0::BIGINT, us), lambda x, u: (x * {BASE} + u) % {PRIME}) FROM short),
+    packed AS (SELECT doc_id, edited, i, (h << {PLACE}) + {2**PLACE - 1} - i AS g, count(*) OVER (PARTITION BY doc_id, edited) AS n FROM gram),
     minima AS (SELECT doc_id, edited, i, n, min(g) OVER (PARTITION BY doc_id, edited ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS g FROM packed),
     selected AS (SELECT DISTINCT doc_id, edited, g FROM minima WHERE i <= greatest(n - {w}, 0)),
-    prints AS (SELECT doc_id, edited, string_agg(lower(hex(g >> 24)) || ':' || CAST(16777215 - g & 16777215 AS VARCHAR), ' ' ORDER BY 16777215 - g & 16777215) AS line, list_distinct(list(g >> 24)) AS hashes FROM selected GROUP BY doc_id, edited),
+    prints AS (SELECT doc_id, edited, string_agg(lower(hex(g >> {PLACE})) || ':' || CAST({2**PLACE - 1} - (g & {2**PLACE - 1}) AS VARCHAR), ' ' ORDER BY {2**PLACE - 1} - (g & {2**PLACE - 1})) AS line, list_distinct(list(g >> {PLACE})) AS hashes FROM selected GROUP BY doc_id, edited),
     near AS (SELECT d.doc_id, length(d.text) AS n_chars, sha256(left(d.text, length(d.text) - length(d.text) // 2) || left(d.next, length(d.text) // 2)) AS edited_sha256,
                     coalesce(a.line, '') AS fingerprint, coalesce(b.line, '') AS edited_fingerprint, coalesce(a.hashes, []) AS ah, coalesce(b.hashes, []) AS bh, coalesce(c.hashes, []) AS ch
              FROM d LEFT JOIN prints a ON a.doc_id = d.doc_id AND a.edited = 0 LEFT JOIN prints b ON b.doc_id = d.doc_id AND b.edited = 1 LEFT JOIN prints c ON c.doc_id = d.next_id AND c.edited = 0),

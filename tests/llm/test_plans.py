@@ -44,3 +44,18 @@ def test_bounds_are_one_literal(spark):
 
 def test_columns_are_pruned(table):
     assert re.search(r"ReadSchema: struct<doc_id:bigint,text:string>", plan(pii.pseudonymise(table, "k")))
+
+
+def test_ranges_come_from_a_bounded_sample(spark, monkeypatch):
+    """Next documents with ranges from some 50 ids of 3,000, negative, repeated and null ones among them."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(winnowing, "SAMPLE", 50)
+    ids = [None, -7, *range(0, 3000, 1), 2999, 10**15]
+    docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    rows, _ = winnowing.with_next(docs, per_bucket=20, most_buckets=10)
+    assert rows.where("tail").count() < 20
+    got = {r["text"]: r["next_text"] for r in rows.where(~F.col("tail")).collect()}
+    for n, i in enumerate(ids[:-3]):
+        assert got[f"t{n}"] == f"t{n + 1}" or i == 2999
+    assert got[f"t{len(ids) - 1}"] == "t0" and len(got) == len(ids)
