@@ -10,7 +10,8 @@ Two texts are linked if the sets of their shingles have a Jaccard similarity of
   puts shingles that a sample shows to be common last, so that boilerplate deals out few documents. Only sets of different components
   are compared.
 * *Parity bits.* Every shingle flips one of 512 bits. Two linked sets differ in at most a ninth of their summed sizes, hence in
-  no more bits; nearly all other pairs do. They are a fingerprint whose radius loses nothing.
+  no more bits; nearly all other pairs do. They are a fingerprint whose radius loses nothing. Pairs of larger sets are looked at again
+  with as many bits as they have shingles, before a text is fetched.
 * *Confirmation.* Every link, wherever it comes from, is decided by the shingles of the two texts themselves.
 
 No step drops, caps or samples pairs: the sample fixes an order, and every order gives the same result.
@@ -65,6 +66,21 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """Parity bits, a power of two of them, as many as shingles or more. Halves that are XORed give those of half the number."""
+    bits = max(64 * BITS, 1 << max(0, len(hashes) - 1).bit_length())
+    flips = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_wide(a: bytes, b: bytes, sizes: int) -> bool:
+    """Whether sets of these parity bits can be linked."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= sizes
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare ones before common ones; ``common`` is sorted."""
     often = np.zeros(len(hashes), np.int64)
@@ -91,7 +107,7 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
 
 
 def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, sha, node, fp, size, bits, least, first) by row: the text's digest, the set's digest, fingerprint, size, parity bits, minimum hashes and prefix."""
+    """(doc_id, sha, node, fp, size, wide, bits, least, first) by row: the text's digest, the set's digest, fingerprint, size, parity bits, minimum hashes and prefix."""
     small_batches(docs.sparkSession)
     common, counts = common_shingles(docs, text)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest(text).alias("sha"), text_of(text).cast("string").alias("text"))
@@ -109,11 +125,11 @@ def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             sets = [np.unique(h) for h in every]
             node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             least = [np.array([(s * m).min() for m in ODD], np.uint64) if len(s) else np.zeros(0, np.uint64) for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(fps), pa.array([len(s) for s in sets], pa.int64())]
+            columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_parity(s) for s in sets], pa.binary())]
             columns += [lists([parity(s) for s in sets]), lists(least), lists([prefix(s, common, counts) if len(s) else s for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "node", "fp", "size", "bits", "least", "first"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "node", "fp", "size", "wide", "bits", "least", "first"])
 
-    return rows.mapInArrow(batches, "doc_id long, sha binary, node long, fp long, size long, bits array<long>, least array<long>, first array<long>")
+    return rows.mapInArrow(batches, "doc_id long, sha binary, node long, fp long, size long, wide binary, bits array<long>, least array<long>, first array<long>")
 
 
 def digest(text: str) -> Column:
@@ -193,7 +209,15 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs of ``pairs`` whose texts are similar."""
-    pairs = cut(pairs)
+    a, b = (nodes.select(F.col("node").alias(i), F.col("size").alias(f"s{i}"), F.col("wide").alias(f"w{i}")) for i in "ab")
+
+    def sieve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            stay = [near_wide(x, y, n) for x, y, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb", (F.col("sa") + F.col("sb")).alias("n"))
+    pairs = cut(pairs.mapInArrow(sieve, "a long, b long"))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sha"), "node"))
     texts = docs.select(digest(text).alias("sha"), text_of(text).cast("string").alias("text"))
     if wanted.count() <= FEW:  # then only texts that are needed are shuffled
@@ -237,7 +261,7 @@ def simhash_pairs(nodes: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def node_components(rows: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Rows as described, and their distinct nodes (node, sha, fp, size, bits), to (node, component); nodes without links have no row."""
+    """Rows as described, and their distinct nodes (node, sha, fp, size, wide, bits), to (node, component); nodes without links have no row."""
     lists = rows.select("node", F.col("node").alias("component"), "size", "bits", F.posexplode("least").alias("i", "h"))
     lists = lists.withColumn("key", F.xxhash64("i", "h"))
     linked = confirmed(candidates(lists, every=False).union(simhash_pairs(nodes)).distinct(), nodes, docs, text)
@@ -253,7 +277,7 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
     Rows are told apart by doc_id and text; of two texts of one group under its smallest doc_id one stays."""
     rows = cut(described(docs, text, doc_id)).where("doc_id is not null")
-    nodes = cut(rows.groupBy("node").agg(F.min("sha").alias("sha"), *[F.first(c).alias(c) for c in ("fp", "size", "bits")]))
+    nodes = cut(rows.groupBy("node").agg(F.min("sha").alias("sha"), *[F.first(c).alias(c) for c in ("fp", "size", "wide", "bits")]))
     found = node_components(rows, nodes, docs, text).select(F.col("node").alias("of"), "component")
     member = rows.join(found, F.col("node") == F.col("of"), "left").select(F.coalesce("component", "node").alias("component"), F.struct("doc_id", "sha").alias("row"))
     member = cut(member)

@@ -90,3 +90,18 @@ def test_repeated_ids(spark):
 
 def test_empty(spark, empty):
     assert near.survivors(empty).collect() == []
+
+
+def test_wide_parity_loses_nothing():
+    """Similar sets pass at whatever sizes, those well below the threshold don't."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 300, 513, 2000, 9000):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for share, linked in ((0.0, True), (0.2, True), (0.5, None)):
+            other = np.unique(np.concatenate([base[int(share * n) :], rng.integers(0, 2**63, 0 if linked else n // 2, dtype=np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            similar = 9 * both >= 4 * (len(base) + len(other))
+            passed = near.near_wide(near.wide_parity(base), near.wide_parity(other), len(base) + len(other))
+            assert passed if similar else (n < 100 or not passed)
