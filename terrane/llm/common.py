@@ -104,13 +104,14 @@ def held_out_of(doc_id: Column, modulus: int, held_out: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == held_out, F.lit(False))
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str, total: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str, out: str, total: str, about: DataFrame | None = None) -> DataFrame:
     """Adds ``out``, the sum of ``value`` over the rows before in the group, and ``total``, the group's sum.
 
     A group may hold a third of all rows, so no task ever sees a whole one: rows are dealt by
     (group, bucket), summed up inside the bucket, and shifted by the sum of the buckets before.
     ``bucket`` numbers the buckets of a group in the wanted order; ``order`` holds inside a bucket.
-    ``group`` columns must not be null. Only per-bucket sums meet per group.
+    ``group`` columns must not be null. Only per-bucket sums meet per group. ``about``: one row a group, with
+    columns to add, which meets the sums, so that no join deals all rows of a group to one task.
     """
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("__sum"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
@@ -119,6 +120,8 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Colu
         F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift"),
         F.sum("__sum").over(Window.partitionBy(*group)).alias(total),
     )
+    if about is not None:
+        shifts = shifts.join(about.withColumnsRenamed({c: f"__{c}" for c in group}), [f"__{c}" for c in group])
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     match = [F.col(c) == F.col(f"__{c}") for c in (*group, bucket)]

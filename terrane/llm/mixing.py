@@ -76,10 +76,9 @@ def queue(docs: DataFrame, weights: Sequence[float], max_epochs: int, seed: int,
         shuffle_hash(seed, doc_id, text).alias("shuffle_hash"),
     ).withColumn("bucket", F.substring("shuffle_hash", 1, digits))
     rows = cut(rows)  # numbers only: the texts are read once
-    queued = running_total(rows, GROUP, "bucket", [F.col("shuffle_hash"), F.col("doc_id"), F.col("size")], "size", "words_before", "__size")
     targets = source_targets(rows.groupBy(*GROUP).agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    targets = targets.select(*[F.col(c).alias(f"__{c}") for c in GROUP], "source_size", "weight", "target", "cut_time")
-    mixed = queued.join(targets, [F.col(c) == F.col(f"__{c}") for c in GROUP]).withColumn("virtual_finish", (F.col("words_before") + F.col("size")) / F.col("weight"))
+    mixed = running_total(rows, GROUP, "bucket", [F.col("shuffle_hash"), F.col("doc_id"), F.col("size")], "size", "words_before", "__size", targets)
+    mixed = mixed.withColumn("virtual_finish", (F.col("words_before") + F.col("size")) / F.col("weight"))
 
     def served(epoch: int):
         """Words of the copy of an epoch that are served by the cut."""
