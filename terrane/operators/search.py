@@ -109,8 +109,8 @@ class Index:
     def dictionary(self, corpus: str, field: str) -> DataFrame:
         return self._read("dictionary", corpus, field)
 
-    def search(self, corpus: str, field: str, any: Sequence[str] = (), all: Sequence[str] = (), none: Sequence[str] = (), k: int = 10, score: str = "bm25", where: DataFrame | None = None) -> DataFrame:
-        """The ``k`` best documents with a term of ``any`` and each of ``all`` but none of ``none``: doc_id, score.
+    def search(self, corpus: str, field: str, any: Sequence[str] = (), all: Sequence[str] = (), none: Sequence[str] = (), k: int | None = 10, score: str = "bm25", where: DataFrame | None = None) -> DataFrame:
+        """The ``k`` best documents, or all if None, with a term of ``any`` and each of ``all`` but none of ``none``: doc_id, score.
 
         ``where``: a table with a doc_id; only those documents count as hits. Document frequencies stay those of the corpus.
         """
@@ -141,6 +141,25 @@ class Index:
             starts = mine.withColumnRenamed("p0", "p") if starts is None else starts.join(mine, "doc_id").select("doc_id", F.array_intersect("p", f"p{i}").alias("p"))
         return starts.where(F.size("p") > 0).select("doc_id", F.size("p").cast("long").alias("hits"))
 
+    def near(self, corpus: str, field: str, a: str, b: str, distance: int) -> DataFrame:
+        """doc_id, pairs: places of ``a`` and ``b`` at most ``distance`` words apart."""
+        rows = self.rows(corpus, field, [a, b])
+        pa, pb = (rows.where(F.col("term") == t).select("doc_id", F.col("positions").alias(n)) for t, n in ((a, "pa"), (b, "pb")))
+        pairs = F.aggregate("pa", F.lit(0).cast("long"), lambda n, p: n + F.size(F.filter("pb", lambda q: F.abs(p - q) <= distance)))
+        return computed(pa.join(pb, "doc_id"), ["doc_id"], pairs=pairs).where("pairs > 0")
+
+    def with_terms(self, corpus: str, field: str, terms: DataFrame) -> DataFrame:
+        """doc_id, n_terms, tf of the documents with any of some rows of the dictionary, as :func:`like` and :func:`fuzzy` choose them."""
+        return self.rows(corpus, field).join(terms.select("bucket", "term"), ["bucket", "term"], "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("tf"))
+
+    def wildcard(self, corpus: str, field: str, pattern: str) -> DataFrame:
+        """Documents with a term of a pattern in which * stands for any characters and ? for one."""
+        return self.with_terms(corpus, field, self.terms_like(corpus, field, pattern))
+
+    def fuzzy(self, corpus: str, field: str, word: str, distance: int) -> DataFrame:
+        """Documents with a term within an edit distance of a word."""
+        return self.with_terms(corpus, field, fuzzy(self.dictionary(corpus, field), word, distance))
+
     def terms_like(self, corpus: str, field: str, pattern: str) -> DataFrame:
         """Dictionary terms by a pattern in which * stands for any characters and ? for one."""
         return like(self.dictionary(corpus, field), pattern)
@@ -183,8 +202,10 @@ def suggest(terms: DataFrame, prefix: str, k: int) -> DataFrame:
     return terms.where(F.col("term").startswith(prefix)).select("term", "df").orderBy(F.desc("df"), "term").limit(k)
 
 
-def top(hits: DataFrame, k: int, digits: int = 4) -> DataFrame:
-    return hits.select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+def top(hits: DataFrame, k: int | None, digits: int = 4) -> DataFrame:
+    """The ``k`` best hits in order; all of them, in no order, if None."""
+    rounded = hits.select("doc_id", F.round("score", digits).alias("score"))
+    return rounded if k is None else rounded.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 # without an index
