@@ -85,15 +85,25 @@ class Index:
         self.spark, self.path, self.buckets = spark, path, buckets
 
     def add(self, docs: DataFrame, id: str, text_cols: Sequence[str], corpus: str) -> None:
-        """Indexes text columns of a table as the fields of a corpus, which must be new to the index."""
+        """Indexes text columns of a table as the fields of a corpus; a field of a corpus that is there already is refused.
+
+        A field's figures are written last and make it known. What an addition that failed half-way has left is overwritten by the next.
+        """
         for field in text_cols:
+            if self.knows(corpus, field):
+                raise ValueError(f"{corpus}.{field} is in the index already")
             rows = term_rows(docs, id, field, corpus, field, self.buckets)
             # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
-            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/terms")
-            dictionary(self.rows(corpus, field)).hint("rebalance", "bucket").write.mode("append").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/dictionary")
+            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/terms")
+            dictionary(self.rows(corpus, field)).hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/dictionary")
             size = self.rows(corpus, field).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).withColumn("n_docs", F.lit(docs.count()))
             size.select(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avg_dl")).write.mode("append").partitionBy("corpus", "field").parquet(f"{self.path}/stats")
 
+    def knows(self, corpus: str, field: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/stats")
+        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return there and not self._read("stats", corpus, field).isEmpty()
+
     def _read(self, table: str, corpus: str, field: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}").where((F.col("corpus") == corpus) & (F.col("field") == field))
 

@@ -77,6 +77,13 @@ def test_index(spark, corpus, tmp_path):
         assert {r["doc_id"]: r["hits"] for r in index.phrase("c", "body", p).collect()} == {i: n for i, w in words.items() if (n := phrase(w, p))}
     assert {r["term"] for r in index.terms_like("c", "body", "?at").collect()} == {"cat", "sat", "mat"} & set().union(*words.values())
     assert index.search("other", "kind", any=["a", "b"], k=100).count() == 5
+    assert ids(index.search("c", "body", any=["cat"], k=None)) == sorted(i for i, w in words.items() if "cat" in w)
+    assert ids(index.wildcard("c", "body", "?at")) == sorted(i for i, w in words.items() if {"cat", "sat", "mat"} & set(w))
+    assert ids(index.fuzzy("c", "body", "dig", 1)) == sorted(i for i, w in words.items() if "dog" in w)
+    want = {i: sum(abs(p - q) <= 3 for p, a in enumerate(w) for q, b in enumerate(w) if a == "cat" and b == "mat") for i, w in words.items()}
+    assert {r["doc_id"]: r["pairs"] for r in index.near("c", "body", "cat", "mat", 3).collect()} == {i: n for i, n in want.items() if n}
+    with pytest.raises(ValueError, match="already"):
+        index.add(docs, "id", ["body"], "c")
     plan = index.rows("c", "body", ["cat"])._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1]
 
