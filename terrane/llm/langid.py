@@ -6,12 +6,12 @@ sum, of its n-grams' vectors; a language is the bundle of its texts. A text is c
 languages by cosine. Words are bracketed by blanks and cased down; anything but letters only
 separates words.
 
-A batch of texts is bundled as (texts x n-grams seen) counts times (n-grams seen x dimensions) vectors, the latter made from the
-letter vectors when needed, so that no table of all n-grams exists. Learning sums integer bundles by
+A batch of texts is bundled as (texts x n-grams seen) counts times (n-grams seen x dimensions) vectors, a slice of the n-grams at a time
+and their vectors made from the letter vectors when needed: memory is bounded whatever the script. Learning sums integer bundles by
 language inside each task and then over tasks; only one vector a language reaches the driver, and their number
 is checked against ``max_languages`` before it is.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text when nothing was learned;
+Defined cases: a very long text is bundled whole, by itself; a null text, or one without a letter, is ``und`` with score 0, and so is every text when nothing was learned;
 ties go to the language first by code point; an empty table gives an empty result; repeated rows are judged alike.
 """
 
@@ -32,6 +32,8 @@ UNDETERMINED = "und"
 SYMBOLS = 128
 #: Texts are bundled in groups of at most so many symbols, or one text.
 GROUP = 400_000
+#: Vectors of so many kinds of n-grams exist at once.
+KINDS = 8192
 
 
 @functools.cache
@@ -92,14 +94,27 @@ def _bundle(streams: list[np.ndarray], n: int, dims: int, seed: int) -> np.ndarr
     kinds = np.flatnonzero(seen)
     place = np.empty(SYMBOLS**n, np.int32)
     place[kinds] = np.arange(len(kinds), dtype=np.int32)
-    owner = np.repeat(np.arange(len(streams), dtype=np.int64), grams)
-    counts = np.bincount(owner * len(kinds) + place[codes], minlength=len(streams) * len(kinds)).reshape(len(streams), -1).astype(np.float32)
-    vectors, rest = None, kinds
+    places, owner = place[codes], np.repeat(np.arange(len(streams), dtype=np.int64), grams)
+    if len(kinds) > KINDS:
+        order = np.argsort((places // KINDS).astype(np.uint16), kind="stable")
+        places, owner = places[order], owner[order]
+    out, at = np.zeros((len(streams), dims), np.float32), 0
+    for first in range(0, len(kinds), KINDS):
+        here = kinds[first : first + KINDS]
+        end = int(np.searchsorted(places // KINDS, first // KINDS, "right")) if len(kinds) > KINDS else total
+        counts = np.bincount(owner[at:end] * len(here) + (places[at:end] - first), minlength=len(streams) * len(here))
+        out += counts.reshape(len(streams), -1).astype(np.float32) @ _bound(here, n, dims, seed)
+        at = end
+    return out
+
+
+def _bound(kinds: np.ndarray, n: int, dims: int, seed: int) -> np.ndarray:
+    """The vectors of n-grams, bound from those of their letters."""
+    vectors = None
     for letters in reversed(_letters(dims, n, seed)):
-        bound = letters[rest % SYMBOLS]
-        vectors = bound if vectors is None else vectors * bound
-        rest = rest // SYMBOLS
-    return counts @ vectors
+        vectors = letters[kinds % SYMBOLS] if vectors is None else vectors * letters[kinds % SYMBOLS]
+        kinds = kinds // SYMBOLS
+    return vectors
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", n: int = 3, dims: int = 512, seed: int = 6, max_languages: int = 4096) -> tuple[list[str], np.ndarray]:
