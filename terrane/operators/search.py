@@ -3,8 +3,8 @@
 Two ways to the same results:
 
 * :class:`Index` is built once and stored. One row per (term, document) holds the term's frequency, its positions and the
-  document's length, so that ranking joins nothing but the few dictionary rows of the query's terms. Rows are partitioned by
-  corpus and by a hash of the term: a search reads only the folders that its terms hash to.
+  document's length, so that ranking joins nothing but the few dictionary rows of the query's terms. A field of a corpus has a
+  folder, partitioned by a hash of the term: a search reads only the parts that its terms hash to.
 * ``scan_*`` functions search text that has no index in one pass, with a count per query term and document and no shuffle
   but that of the answer.
 
@@ -13,10 +13,12 @@ Ranks end in the document id, so that ties have one order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,38 +80,83 @@ def tf_idf(tf: Column, df: Column, dl: Column, n_docs: Column, avg_dl: Column) -
 SCORES = {"bm25": bm25, "tfidf": tf_idf}
 
 
+#: Columns of the stored tables; ``id_type`` is the type of the documents' ids.
+TERM_ROWS = "term string, doc_id {id_type}, tf int, dl int, positions array<int>, bucket int"
+DICTIONARY = "term string, df long, cf long, bucket int"
+FIGURES = "corpus string, field string, part string, id_type string, n_docs long, n_tokens long, avg_dl double, stored_at timestamp"
+
+
+def _named(rows: DataFrame, corpus: str, field: str) -> DataFrame:
+    return rows.select(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), "*")
+
+
 class Index:
-    """A stored index; :meth:`add` writes a corpus, the searches read it."""
+    """A stored index; :meth:`add` writes a corpus, the searches read it. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 256) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
 
-    def add(self, docs: DataFrame, id: str, text_cols: Sequence[str], corpus: str) -> None:
-        """Indexes text columns of a table as the fields of a corpus; a field of a corpus that is there already is refused.
+    def add(self, docs: DataFrame, id: str, text_cols: Sequence[str], corpus: str, tokenizer=tokens, replace: bool = False) -> None:
+        """Indexes text columns of a table as the fields of a corpus; a field of a corpus that is there already is refused, or replaced.
 
-        A field's figures are written last and make it known. What an addition that failed half-way has left is overwritten by the next.
+        ``tokenizer``: a function from a column to its tokens, such as ``bigrams`` for scripts that don't space words.
         """
         for field in text_cols:
-            if self.knows(corpus, field):
+            if not replace and self.knows(corpus, field):
                 raise ValueError(f"{corpus}.{field} is in the index already")
-            rows = term_rows(docs, id, field, corpus, field, self.buckets)
-            # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
-            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/terms")
-            dictionary(self.rows(corpus, field)).hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "field", "bucket").parquet(f"{self.path}/dictionary")
-            size = self.rows(corpus, field).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens")).withColumn("n_docs", F.lit(docs.count()))
-            size.select(F.lit(corpus).alias("corpus"), F.lit(field).alias("field"), "n_docs", "n_tokens", (F.col("n_tokens") / F.col("n_docs")).alias("avg_dl")).write.mode("append").partitionBy("corpus", "field").parquet(f"{self.path}/stats")
+            self.store(term_rows(docs, id, field, corpus, field, self.buckets, tokenizer), corpus, field, docs.count())
+
+    def store(self, rows: DataFrame, corpus: str, field: str, n_docs: int) -> None:
+        """Puts :func:`term_rows` of ``n_docs`` documents in the place of what the field of the corpus has held.
+
+        They get folders of their own, and the row of figures that names these is written last: until then, or if that fails, searches
+        find the earlier state. :meth:`vacuum` deletes what is not named any more.
+        """
+        part = uuid.uuid4().hex
+        terms, known = f"{self.path}/terms/{part}", f"{self.path}/dictionary/{part}"
+        # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
+        rows.drop("corpus", "field").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(terms)
+        id_type = rows.schema["doc_id"].dataType.simpleString()
+        written = self.spark.read.schema(TERM_ROWS.format(id_type=id_type)).parquet(terms)
+        dictionary(_named(written, corpus, field)).drop("corpus", "field").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(known)
+        n_tokens = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        figures = [(corpus, field, part, id_type, n_docs, n_tokens, n_tokens / n_docs if n_docs else 0.0, datetime.now(UTC))]
+        self.spark.createDataFrame(figures, FIGURES).coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
 
     def knows(self, corpus: str, field: str) -> bool:
+        return not self._figures().where((F.col("corpus") == corpus) & (F.col("field") == field)).isEmpty()
+
+    def _figures(self) -> DataFrame:
+        """A row for each field of a corpus, as stored last."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/stats")
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return there and not self._read("stats", corpus, field).isEmpty()
-
-    def _read(self, table: str, corpus: str, field: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}").where((F.col("corpus") == corpus) & (F.col("field") == field))
+        rows = self.spark.read.schema(FIGURES).parquet(f"{self.path}/stats") if there else self.spark.createDataFrame([], FIGURES)
+        last = F.row_number().over(Window.partitionBy("corpus", "field").orderBy(F.desc("stored_at")))
+        return rows.withColumn("last", last).where("last = 1").drop("last")
+
+    def figures(self, corpus: str, field: str) -> Row:
+        found = self._figures().where((F.col("corpus") == corpus) & (F.col("field") == field)).first()
+        if found is None:
+            raise KeyError(f"{corpus}.{field} is not in the index")
+        return found
+
+    def vacuum(self) -> None:
+        """Deletes what replaced or failed additions have left. No addition or search may run meanwhile."""
+        live = {r["part"] for r in self._figures().select("part").collect()}
+        for table in ("terms", "dictionary"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for status in files.listStatus(path) if files.exists(path) else []:
+                if status.getPath().getName() not in live:
+                    files.delete(status.getPath(), True)
+
+    def _read(self, table: str, columns: str, corpus: str, field: str) -> DataFrame:
+        figures = self.figures(corpus, field)
+        return _named(self.spark.read.schema(columns.format(**figures.asDict())).parquet(f"{self.path}/{table}/{figures['part']}"), corpus, field)
 
     def rows(self, corpus: str, field: str, terms: Sequence[str] | None = None) -> DataFrame:
         """Rows of some terms, or of all; only the folders of the terms' buckets are read."""
-        rows = self._read("terms", corpus, field)
+        rows = self._read("terms", TERM_ROWS, corpus, field)
         return rows if terms is None else rows.where(self._buckets(terms) & F.col("term").isin(*terms))
 
     def _buckets(self, terms: Sequence[str]) -> Column:
@@ -117,7 +164,7 @@ class Index:
         return F.col("bucket").isin(*sorted(set(numbers)))
 
     def dictionary(self, corpus: str, field: str) -> DataFrame:
-        return self._read("dictionary", corpus, field)
+        return self._read("dictionary", DICTIONARY, corpus, field)
 
     def search(self, corpus: str, field: str, any: Sequence[str] = (), all: Sequence[str] = (), none: Sequence[str] = (), k: int | None = 10, score: str = "bm25", where: DataFrame | None = None) -> DataFrame:
         """The ``k`` best documents, or all if None, with a term of ``any`` and each of ``all`` but none of ``none``: doc_id, score.
@@ -128,7 +175,7 @@ class Index:
         wanted = list(dict.fromkeys([*any, *all]))
         if not wanted:
             raise ValueError("a search needs a term in any or all")
-        stats = self._read("stats", corpus, field).first()
+        stats = self.figures(corpus, field)
         known = self.dictionary(corpus, field).where(self._buckets(wanted) & F.col("term").isin(*wanted)).select("term", "df")
         rows = self.rows(corpus, field, wanted).select("term", "doc_id", "tf", "dl")
         if where is not None:

@@ -204,6 +204,12 @@ def r1_register(spark, sf_dir):
     return spark.createDataFrame(rows, "subject string, version int, n_columns int")
 
 
+@query("r4_fields_registered", f"WITH {_FIELDS_SQL} SELECT subject, 1 AS version, ordinal, path, parent_path, name, type, true AS nullable FROM fields WHERE subject IN ('region', 'nation') UNION ALL SELECT 'orders', 2, ordinal, path, parent_path, name, type, true FROM (SELECT * FROM fields WHERE subject = 'orders' UNION ALL SELECT 'orders', 6, 'o_comment', NULL, 'o_comment', 'string')")
+def r4_fields_registered(spark, sf_dir):
+    """Fields of the latest versions, as they were stored when registered."""
+    return _registry(spark, sf_dir).fields().drop("comment")
+
+
 # I: impact analysis
 
 _EDGE_SQL = lambda edges: f"edges(src, dst) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in edges)})"
@@ -265,6 +271,29 @@ def i6_field_impact(spark, sf_dir):
     return G.field_impact(changes, "nation", edges)
 
 
+@query(
+    "i7_declared",
+    f"""WITH RECURSIVE e(src, dst) AS (VALUES {', '.join(f"('{a}.{b}', '{c}.{d}')" for a, b, c, d in FOREIGN_KEYS)}, ('orders.o_totalprice', 'spending.spent'), ('orders.o_custkey', 'spending.o_custkey')),
+        walk(seed, node, d) AS (SELECT src, dst, 1 FROM e UNION ALL SELECT seed, e.dst, d + 1 FROM walk JOIN e ON e.src = walk.node)
+        SELECT seed, node, CAST(min(d) AS INT) AS distance FROM walk WHERE seed IN ('customer.c_custkey', 'nation.n_nationkey', 'orders.o_totalprice') GROUP BY seed, node""",
+)
+def i7_declared(spark, sf_dir):
+    """Foreign keys and a query, kept in a registry: what depends on three columns."""
+    import uuid
+
+    from terrane.operators.registry import Registry
+
+    registry = Registry(spark, f"{shared_folder(spark)}/terrane_registry_{uuid.uuid4().hex}")
+    registry.declare_edges(FOREIGN_KEYS)
+    registry.register("orders", IO.infer(spark, f"{sf_dir}/orders.parquet"))
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    registry.register_query("spending", spark.sql("SELECT o_custkey, o_orderdate AS spent FROM orders"))
+    registry.register_query("spending", spark.sql("SELECT o_custkey, o_totalprice AS spent FROM orders"))
+    edges = registry.edges().select(F.concat_ws(".", "src_dataset", "src_field").alias("src"), F.concat_ws(".", "dst_dataset", "dst_field").alias("dst"))
+    seeds = spark.createDataFrame([("customer.c_custkey",), ("nation.n_nationkey",), ("orders.o_totalprice",)], "node string")
+    return G.reach(edges, seeds)
+
+
 @query(
     "i8_paths",
     f"""WITH RECURSIVE {_EDGE_SQL(CYCLIC)}, walk(node, path, d) AS (SELECT 'region', ['region'], 0
@@ -551,6 +580,21 @@ def f18_cjk_bigrams(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, text string").select("id", F.explode(X.bigrams("text")).alias("gram"))
 
 
+@query(
+    "f18_cjk_search",
+    r"""WITH s AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS s FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(s)), lambda i: substr(s, i, 2)) AS grams FROM s)
+        SELECT doc_id, CAST(len(list_filter(range(1, len(grams)), lambda i: grams[i] = 'qu' AND grams[i + 1] = 'ui')) AS BIGINT) AS hits FROM g
+        WHERE len(list_filter(range(1, len(grams)), lambda i: grams[i] = 'qu' AND grams[i + 1] = 'ui')) > 0""",
+)
+def f18_cjk_search(spark, sf_dir):
+    """An index of pairs of characters, as scripts without spaces need it: a run of characters is a phrase of its pairs."""
+    import uuid
+
+    index = Q.Index(spark, f"{shared_folder(spark)}/terrane_index_{uuid.uuid4().hex}", buckets=16)
+    index.add(_docs(spark, sf_dir), "doc_id", ["text"], "documents", tokenizer=X.bigrams)
+    return index.phrase("documents", "text", ["qu", "ui"])
+
+
 @query("f19_index_stream", f"WITH {_TOKENS_SQL} SELECT term, doc_id, CAST(count(*) AS INT) AS tf FROM tok GROUP BY term, doc_id")
 def f19_index_stream(spark, sf_dir):
     """The documents as a stream, indexed until all are in."""
@@ -563,6 +607,20 @@ def f19_index_stream(spark, sf_dir):
     return current(spark, f"{path}/index").select("term", "doc_id", "tf")
 
 
+@query("f19_stream_search", f"WITH {_scores_sql('bm25')} SELECT doc_id, round(score, 4) AS score FROM scored ORDER BY round(score, 4) DESC, doc_id LIMIT 20")
+def f19_stream_search(spark, sf_dir):
+    """A search of an index that a stream has filled."""
+    import uuid
+
+    from terrane.streaming.index_stream import index_stream, publish
+
+    path = f"{shared_folder(spark)}/terrane_stream_{uuid.uuid4().hex}"
+    index_stream(IO.stream(spark, sf_dir, "documents"), "doc_id", "text", f"{path}/batches", f"{path}/state").awaitTermination()
+    index = Q.Index(spark, f"{path}/index", buckets=16)
+    publish(spark, f"{path}/batches", index, "documents", "text")
+    return index.search("documents", "text", any=TERMS, k=20)
+
+
 @query("f20_search_catalog", f"WITH {_FIELDS_SQL} SELECT subject, path FROM fields WHERE list_has_any(regexp_extract_all(lower(name), '[a-z0-9]+'), ['comment', 'text', 'name'])")
 def f20_search_catalog(spark, sf_dir):
     """Fields whose names hold a word: the catalog searched like any text."""

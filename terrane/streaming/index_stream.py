@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
-from terrane.operators.search import term_rows
+from terrane.functions.text import tokens
+from terrane.operators.search import Index, bucket_of, term_rows
 
 
-def index_stream(docs: DataFrame, id: str, text: str, path: str, checkpoint: str, corpus: str = "default", buckets: int = 256) -> StreamingQuery:
+def index_stream(docs: DataFrame, id: str, text: str, path: str, checkpoint: str, corpus: str = "default", buckets: int = 256, order: Sequence[str] = (), tokenizer=tokens) -> StreamingQuery:
     """Writes the term rows of each micro-batch under ``path``, one folder a batch; a batch that is tried again replaces its own.
 
-    A document that comes again replaces its earlier rows when read by :func:`current`. Starts at once and ends when what is there now is
+    A document that comes again replaces its earlier rows when read by :func:`current`; of several rows in one batch the one with the
+    greatest ``order`` columns counts, and among equals the greatest text. Starts at once and ends when what is there now is
     indexed; call again with the same ``checkpoint`` for what has come since.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest = batch.dropDuplicates([id])
-        rows = term_rows(latest, id, text, corpus, None, buckets)
+        last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(text).alias("text")))
+        latest = batch.groupBy(id).agg(last.alias("last")).select(id, F.col("last.text").alias(text))
+        rows = term_rows(latest, id, text, corpus, None, buckets, tokenizer)
         # a document without a token still replaces its rows: it leaves one without a term
         blank = latest.select(F.lit(corpus).alias("corpus"), F.lit(text).alias("field"), F.lit(0).alias("bucket"), F.lit(None).cast("string").alias("term"), F.col(id).alias("doc_id"), F.lit(0).alias("tf"), F.lit(0).alias("dl"), F.array().cast("array<int>").alias("positions"))
         rows.unionByName(blank).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -32,3 +37,13 @@ def current(spark, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     last = F.max("batch").over(Window.partitionBy("doc_id"))
     return rows.withColumn("__last", last).where((F.col("batch") == F.col("__last")) & F.col("term").isNotNull()).drop("batch", "__last")
+
+
+def publish(spark, path: str, index: Index, corpus: str, field: str) -> None:
+    """Puts what a stream has indexed under ``path`` into an index, in place of what the field of the corpus held there.
+
+    Batches are merged once here, not by each search.
+    """
+    rows = current(spark, path).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    n_docs = spark.read.parquet(path).select("doc_id").distinct().count()
+    index.store(rows.select("bucket", "term", "doc_id", "tf", "dl", "positions"), corpus, field, n_docs)

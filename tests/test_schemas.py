@@ -131,3 +131,28 @@ def test_fields_of_all(registry):
     assert [tuple(r) for r in registry.shared_fields().collect()] == [("id", "bigint", 2, "t,u")]
     assert {tuple(r) for r in registry.type_summary().where("type is null").collect()} == {(None, None, 4), ("t", None, 2), ("u", None, 2)}
     assert {(r["path"], r["change"]) for r in registry.diff("t", 1, 1).collect()} == set()
+
+
+def test_fields_are_stored(registry):
+    registry.register("t", ALL_TYPES)
+    registry.register("t", "a int")
+    assert [r["path"] for r in registry.fields("t", 1).orderBy("path").collect()] == sorted(f[1] for f in S.flatten(T.StructType.fromDDL(ALL_TYPES)))
+    assert [tuple(r)[:4] for r in registry.fields("t").collect()] == [("t", 2, 0, "a")] and registry.fields("nothing").count() == 0
+    registry.deprecate("t", 2)
+    assert registry.fields().count() == registry.fields("t", 1).count() > 1
+    with pytest.raises(KeyError):
+        registry.fields("t", 2)
+
+
+def test_stored_edges(registry, spark):
+    assert registry.edges().count() == 0
+    registry.declare_edge("a", "x", "b", "y")
+    registry.declare_edge("a", "x", "b", "y")
+    registry.register("a_table", "x int, z int")
+    spark.createDataFrame([], "x int, z int").createOrReplaceTempView("a_table")
+    registry.register_query("job", spark.sql("SELECT x AS v FROM a_table WHERE z > 1"), "c")
+    got = {tuple(r) for r in registry.edges().collect()}
+    assert got == {("a", "x", "b", "y", "declared", None), ("a_table", "x", "c", "v", "value", "job"), ("a_table", "z", "c", "v", "influence", "job")}
+    assert {tuple(r) for r in registry.table_edges().collect()} == {("a", "b"), ("a_table", "c")}
+    registry.register_query("job", spark.sql("SELECT 1 AS v"), "c")
+    assert {tuple(r) for r in registry.edges().collect()} == {("a", "x", "b", "y", "declared", None)}

@@ -84,6 +84,19 @@ def test_index(spark, corpus, tmp_path):
     assert {r["doc_id"]: r["pairs"] for r in index.near("c", "body", "cat", "mat", 3).collect()} == {i: n for i, n in want.items() if n}
     with pytest.raises(ValueError, match="already"):
         index.add(docs, "id", ["body"], "c")
+    before = [tuple(r) for r in index.search("other", "body", any=["cat"], k=99).collect()]
+    index.add(docs.where("id >= 5"), "id", ["body"], "c", replace=True)
+    assert ids(index.search("c", "body", any=["cat"], k=None)) == sorted(i for i, w in words.items() if "cat" in w and i >= 5)
+    assert index.figures("c", "body")["n_docs"] == sum(i >= 5 for i in words)
+    index.vacuum()
+    assert [tuple(r) for r in index.search("other", "body", any=["cat"], k=99).collect()] == before
+    assert sum(1 for _ in (tmp_path / "index/terms").iterdir()) == 3
+    index.add(docs.where("1 = 0"), "id", ["body"], "none")
+    assert index.search("none", "body", any=["cat"]).count() == 0
+    with pytest.raises(KeyError, match="not in the index"):
+        index.search("nothing", "body", any=["cat"])
+    index.add(spark.createDataFrame([(1, "元数据目录与检索服务"), (2, "检查索引")], "id int, text string"), "id", ["text"], "cjk", tokenizer=X.bigrams)
+    assert ids(index.search("cjk", "text", any=["检索"])) == [1] and ids(index.phrase("cjk", "text", ["目录", "录与"])) == [1]
     plan = index.rows("c", "body", ["cat"])._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1]
 
@@ -107,7 +120,7 @@ def test_text_functions(spark):
 
 
 def test_stream(spark, tmp_path):
-    from terrane.streaming.index_stream import current, index_stream
+    from terrane.streaming.index_stream import current, index_stream, publish
 
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     def add(*rows):
@@ -119,3 +132,9 @@ def test_stream(spark, tmp_path):
     assert add((1, "a b a"), (2, "c")) == {(1, "a", 2), (1, "b", 1), (2, "c", 1)}
     assert add((1, "z"), (3, "q")) == {(1, "z", 1), (2, "c", 1), (3, "q", 1)}
     assert add((2, "...")) == {(1, "z", 1), (3, "q", 1)}
+    assert add((4, "a"), (4, "b b"), (5, "x"), (5, None)) == {(1, "z", 1), (3, "q", 1), (4, "b", 2), (5, "x", 1)}
+    index = Q.Index(spark, str(tmp_path / "index"), buckets=4)
+    publish(spark, out, index, "c", "body")
+    assert index.figures("c", "body")["n_docs"] == 5 and [r["doc_id"] for r in index.search("c", "body", any=["q", "b"], k=None).orderBy("doc_id").collect()] == [3, 4]
+    assert add((4, "q")) and publish(spark, out, index, "c", "body") is None
+    assert [r["doc_id"] for r in index.search("c", "body", any=["q", "b"], k=None).orderBy("doc_id").collect()] == [3, 4]
