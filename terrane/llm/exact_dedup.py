@@ -8,6 +8,7 @@ of their text together, so that no text is shuffled a second time.
 
 Defined cases: a null text is an empty text; rows repeated under one doc_id with equal texts are
 one document, of which each row is reported; a null doc_id stays only if its whole group has none;
+a very long text is grouped whole, like any other; of rows that tie for the smallest doc_id all have the same text;
 an empty table gives an empty result; further columns are ignored.
 """
 

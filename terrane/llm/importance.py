@@ -9,7 +9,7 @@ The target model is fitted on at most ``max_labelled`` labelled documents, those
 else covers all documents. Counts are summed inside tasks, so that at most two rows a bucket leave each. The k-th largest key is
 found exactly by its bits, 16 at a time, from counts by bits; no document is collected.
 
-Defined cases: a null text is an empty text, which has log weight 0; documents whose key equals the k-th
+Defined cases: a null text is an empty text, which has log weight 0; a very long text is weighed whole; documents whose key equals the k-th
 largest all stay; labels without a document, or null labels, count for nothing; without a target document all
 log weights are 0; an empty table gives an empty result; rows repeated are weighed alike and share their noise.
 """

@@ -16,7 +16,9 @@ What is passed on are written tables in the shared folder, so a lost executor co
 
 Defined cases: a null text is an empty text, which is one end token; a null doc_id is learned from; without training documents
 every token is the unknown word with probability 1; counts on which Good-Turing estimates fail (too few data)
-are discounted by a constant instead; an empty table gives an empty result.
+are discounted by a constant instead; a very long text lies whole in one batch, which is the larger for it; rows repeated are learned from
+and scored one by one, alike; words tied in a count are told apart by number, which shows in no result; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations

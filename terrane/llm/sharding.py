@@ -6,8 +6,8 @@ proportion to its weight. Keys and shard numbers alone decide, so the placement
 state. Only slots, gapless numbers inside a shard, need one: they come from a
 running count over buckets of a shard, so that no shard is ever one task.
 
-Defined cases: a null text has no bytes; a null key is the key '' ; equal keys share a shard;
-an empty table gives an empty result.
+Defined cases: a null text has no bytes, a very long one has all of its; a null key is the key '' ; equal keys share a shard, and
+rows repeated have a slot each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
