@@ -10,6 +10,10 @@
 5. ``curve_packing`` packs what was taken into sequences of 4096 tokens; it returns their pieces.
 
 All but the last return the columns of ``documents``. No stage before the fourth repeats or changes a row.
+
+Defined cases: a null or empty text goes in the first stage, which can't tell its language; a very long text is judged, linked and packed
+whole; of rows that repeat, the second stage keeps one a text; a null doc_id never makes another document go; ties are settled as the operators
+say; an empty table gives an empty result; further columns stay until the last stage.
 """
 
 from __future__ import annotations
