@@ -11,6 +11,10 @@ numbers back; then the same with distinct word pairs, which are owned by context
 model's tables and answer. An answer on a context is all that its backoff weight needs: how many
 successors were seen once, twice, ... and the unigram mass they hold. A context with more than a set share of all
 tokens is dealt over several owners by successor; such contexts are of bounded number, and their sums meet at the driver.
+A very common word or pair is asked for by every batch. Where batches are many, their questions to an owner meet in parts first, and the
+parts' answers are handed back to the batches, so that no group holds more than about the square root of the batches.
+
+A kept model scores further tables (:func:`scores_from`): its tables take part in the same exchange as one more sender to each owner.
 
 What is passed on are written tables in the shared folder, so a lost executor costs its tasks and nothing else.
 
@@ -23,7 +27,8 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +51,10 @@ BATCH = 1_500_000
 OWNED = 3_000_000
 #: A context with over 1/HOT of all tokens has several owners.
 HOT = 512
+#: Rows that a group may hold, the square root of the batches where that is more.
+FAN_IN = 1024
+#: The sender, in place of a batch, of a kept model's tables.
+MODEL = -1
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -151,10 +160,11 @@ def _batch_row(number: int, ids: list, held: list, texts: list) -> dict:
     }
 
 
-def batches_of(docs: DataFrame, modulus: int, text: str, doc_id: str) -> DataFrame:
-    """Rows of word numbers, each for some whole documents; see :data:`BATCHES`."""
+def batches_of(docs: DataFrame, modulus: int | None, text: str, doc_id: str) -> DataFrame:
+    """Rows of word numbers, each for some whole documents; see :data:`BATCHES`. Without a modulus, no document is learned from."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out_of(F.col(doc_id), modulus).alias("held"), F.col(text).cast("string").alias("text"))
+    held = held_out_of(F.col(doc_id), modulus) if modulus else F.lit(True)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), F.col(text).cast("string").alias("text"))
     schema = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in BATCHES.split(", "))])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +186,139 @@ def batches_of(docs: DataFrame, modulus: int, text: str, doc_id: str) -> DataFra
 
 
 #: kind 0 answers a batch, kind 1 is the model's table of an owner; stats go with kind 1.
-ANSWERS = "kind int, batch long, owner int, a binary, b binary, c binary, d binary, stats array<long>"
+ANSWERS = "kind int, batch long, owner int, a binary, b binary, c binary, d binary, e binary, f binary, stats array<long>"
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    names = [x.split()[0] for x in ANSWERS.split(", ")]
+    frame = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
+    frame["batch"] = frame["batch"].astype("Int64")
+    return frame
+
+
+class Words:
+    """What several senders ask of one owner: their words once each, with training counts summed."""
+
+    FIELDS = "words binary, counts binary"
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("batch")
+        self.owner, self.senders = int(rows["owner"].iloc[0]), rows["batch"].tolist()
+        words = [np.frombuffer(x, "<u8") for x in rows["words"]]
+        self.sizes = list(map(len, words))
+        self.keys, self.at = np.unique(np.concatenate(words), return_inverse=True)
+        self.counts = np.bincount(self.at, np.concatenate([unsqueeze(x) for x in rows["counts"]]), len(self.keys)).astype(np.int64)
+
+    def merged(self) -> dict:
+        """All that is asked, as one sender would ask it."""
+        return {"words": self.keys.tobytes(), "counts": squeeze(self.counts)}
+
+    def _answer(self, ranks: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
+        start = 0
+        for sender, size in zip(self.senders, self.sizes, strict=True):
+            mine, start = self.at[start : start + size], start + size
+            if sender != MODEL:
+                yield {"kind": 0, "batch": sender, "owner": self.owner, "a": squeeze(ranks[mine]), "b": squeeze(counts[mine])}
+
+    def relay(self, given: pd.Series) -> list[dict]:
+        """The senders' answers from the one to :meth:`merged`."""
+        return list(self._answer(unsqueeze(given["a"]), unsqueeze(given["b"])))
+
+    def own(self) -> list[dict]:
+        order = np.argsort(-self.counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        seen = order[: int((self.counts > 0).sum())]
+        of = np.bincount(np.minimum(self.counts[seen], K + 2), minlength=K + 3)[1 : K + 2].tolist()
+        table = {"kind": 1, "owner": self.owner, "a": self.keys[seen].tobytes(), "b": squeeze(self.counts[seen]), "stats": [int(self.counts.sum()), len(seen), *of]}
+        return [*self._answer(rank, self.counts), table]
+
+
+class Pairs:
+    """What several senders ask of one owner: their contexts and pairs once each, with training counts summed."""
+
+    FIELDS = "contexts binary, hot binary, per binary, successors binary, counts binary, trained binary"
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("batch")
+        self.owner, self.senders = int(rows["owner"].iloc[0]), rows["batch"].tolist()
+        of = lambda column: np.concatenate([unsqueeze(x) for x in rows[column]])
+        contexts, per = [unsqueeze(x) for x in rows["contexts"]], [unsqueeze(x).astype(np.int64) for x in rows["per"]]
+        self.sizes = [(len(c), int(p.sum())) for c, p in zip(contexts, per, strict=True)]
+        self.names, self.context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+        self.hot = np.zeros(len(self.names), bool)
+        self.hot[self.context_at] = of("hot").astype(bool)
+        context, word = np.repeat(self.context_at, np.concatenate(per)), of("successors")
+        order = np.lexsort((word, context))
+        new = np.ones(len(word), bool)
+        new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
+        self.pair_at = np.empty(len(word), np.int64)
+        self.pair_at[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.context, self.word, self.word_count = context[first], word[first], of("counts")[first]
+        self.count = np.bincount(self.pair_at, of("trained"), len(first)).astype(np.int64)
+
+    def merged(self) -> dict:
+        """All that is asked, as one sender would ask it."""
+        per = np.bincount(self.context, minlength=len(self.names))
+        return {"contexts": squeeze(self.names), "hot": squeeze(self.hot), "per": squeeze(per), "successors": squeeze(self.word), "counts": squeeze(self.word_count), "trained": squeeze(self.count)}
+
+    def _answer(self, count: np.ndarray, sums: np.ndarray, mass: np.ndarray) -> Iterator[dict]:
+        c0 = p0 = 0
+        for sender, (contexts, pairs) in zip(self.senders, self.sizes, strict=True):
+            c, p, c0, p0 = self.context_at[c0 : c0 + contexts], self.pair_at[p0 : p0 + pairs], c0 + contexts, p0 + pairs
+            if sender != MODEL:
+                yield {"kind": 0, "batch": sender, "owner": self.owner, "a": squeeze(count[p]), "b": squeeze(sums[c].reshape(-1)), "c": mass[c].tobytes()}
+
+    def relay(self, given: pd.Series) -> list[dict]:
+        """The senders' answers from the one to :meth:`merged`."""
+        return list(self._answer(unsqueeze(given["a"]), unsqueeze(given["b"]).reshape(-1, K + 1), np.frombuffer(given["c"], np.float64)))
+
+    def own(self, unigrams: Unigrams, keep: bool) -> list[dict]:
+        size, seen = len(self.names), self.count > 0
+        sums = np.zeros((size, K + 1), np.int64)
+        for r in range(1, K + 1):
+            sums[:, r - 1] = np.bincount(self.context[self.count == r], minlength=size)
+        per = sums[:, K] = np.bincount(self.context[seen], minlength=size)
+        mass = np.bincount(self.context, np.where(seen, unigrams.p(self.word_count.astype(np.int64)), 0.0), size)
+        stats = np.bincount(np.minimum(self.count[seen], K + 2), minlength=K + 3)[1 : K + 2].tolist()
+        table = {"kind": 1, "owner": self.owner, "a": squeeze(self.names[per > 0]), "b": squeeze(per[per > 0]), "c": squeeze(self.word[seen]), "d": squeeze(self.count[seen]), "stats": stats}
+        if keep:
+            table |= {"e": squeeze(self.word_count[seen]), "f": squeeze(self.hot[per > 0])}
+        out = [*self._answer(self.count, sums, mass), table]
+        if self.hot.any():
+            out.append({"kind": 2, "owner": self.owner, "a": self.names[self.hot].tobytes(), "b": squeeze(sums[self.hot].reshape(-1)), "c": mass[self.hot].tobytes()})
+        return out
+
+
+def through_owners(space: Workspace, name: str, asked: DataFrame, parts: int, pool: type, own: Callable[..., list[dict]], model: DataFrame | None) -> DataFrame:
+    """The table of what owners answer to ``asked`` (owner, batch and the pool's fields), by kind.
+
+    With several ``parts``, batches are dealt over them; a part asks an owner once for all of its batches and hands the answer back.
+    """
+    met = lambda rows: _frame(own(pool(rows)))
+    with_model = lambda df: df.unionByName(model) if model is not None else df
+    if parts == 1:
+        return space.table(with_model(asked).groupBy("owner").applyInPandas(met, ANSWERS), name, "kind")
+    asked = space.write(asked.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(parts))), f"{name}_asked")
+    by_part = asked.groupBy("owner", "part")
+
+    def combine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"owner": key[0], "batch": key[1], **pool(rows).merged()}])
+
+    def relay(key: tuple, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        return _frame(pool(rows).relay(given.iloc[0]))
+
+    combined = by_part.applyInPandas(combine, f"owner int, batch long, {pool.FIELDS}")
+    owned = space.table(with_model(combined).groupBy("owner").applyInPandas(met, ANSWERS), f"{name}_met", "kind")
+    back = by_part.cogroup(owned.where("kind = 0").groupBy("owner", "batch")).applyInPandas(relay, ANSWERS)
+    return space.table(back.unionByName(owned.where("kind <> 0")), name, "kind")
 
 
-def word_answers(batches: DataFrame, owners: int) -> DataFrame:
-    """Global counts and numbers of each batch's words, and the table of words.
+def words_asked(batches: DataFrame, owners: int) -> DataFrame:
+    """What each batch asks of the owners of its words.
 
-    kind 0: a the words' ranks, b their counts. kind 1: a the words' hashes by rank, b their counts; stats tokens, types
+    Answers, kind 0: a the words' ranks, b their counts. kind 1: a the words' hashes by rank, b their counts; stats tokens, types
     and types seen 1 to K + 1 times. The number of a word is rank * owners + owner.
     """
 
@@ -193,32 +329,7 @@ def word_answers(batches: DataFrame, owners: int) -> DataFrame:
                 rows = [(o, number, words[at].tobytes(), squeeze(counts[at])) for o, at in _by_owner((words % np.uint64(owners)).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["owner", "batch", "words", "counts"])
 
-    def own(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("batch")
-        words = [np.frombuffer(x, "<u8") for x in rows["words"]]
-        keys, at = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([unsqueeze(x) for x in rows["counts"]]), len(keys)).astype(np.int64)
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        owner, out, start = int(rows["owner"].iloc[0]), [], 0
-        for number, w in zip(rows["batch"], words, strict=True):
-            mine = at[start : start + len(w)]
-            start += len(w)
-            out.append((0, number, owner, squeeze(rank[mine]), squeeze(counts[mine]), None, None, None))
-        seen = order[: int((counts > 0).sum())]
-        of = np.bincount(np.minimum(counts[seen], K + 2), minlength=K + 3)[1 : K + 2].tolist()
-        out.append((1, None, owner, keys[seen].tobytes(), squeeze(counts[seen]), None, None, [int(counts.sum()), len(seen), *of]))
-        return _frame(out)
-
-    asked = batches.select("batch", "vocab", "trained").mapInArrow(ask, "owner int, batch long, words binary, counts binary")
-    return asked.groupBy("owner").applyInPandas(own, ANSWERS)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWERS.split(", ")])
-    frame["batch"] = frame["batch"].astype("Int64")
-    return frame
+    return batches.select("batch", "vocab", "trained").mapInArrow(ask, f"owner int, batch long, {Words.FIELDS}")
 
 
 class Batch:
@@ -269,59 +380,25 @@ class Batch:
             yield o, np.union1d(alone[contexts[o]] if o in contexts else alone[:0], self.pair_context[mine]), mine
 
 
-def pair_answers(batches: DataFrame, words: DataFrame, unigrams: Unigrams, owners: int, word_owners: int, hot: int, start_count: int) -> DataFrame:
-    """Global counts of each batch's pairs and sums of its contexts, and the table of pairs.
+def pairs_asked(batches: DataFrame, words: DataFrame, owners: int, hot: int, start_count: int) -> DataFrame:
+    """What each batch asks of the owners of its pairs.
 
-    kind 0: a the pairs' counts, b the contexts' successors seen 1 to K times and at all (row by row), c the unigram mass
+    Answers, kind 0: a the pairs' counts, b the contexts' successors seen 1 to K times and at all (row by row), c the unigram mass
     that the successors hold. kind 1: a contexts' numbers, b their numbers of successors, c successors' numbers, d
-    counts; stats pairs seen 1 to K + 1 times. kind 2: the same sums as b and c of contexts, in a, with several owners.
+    counts, and, of a model that is kept, e the successors' counts as words, f which contexts have several owners; stats pairs seen 1 to
+    K + 1 times. kind 2: the same sums as b and c of contexts, in a, with several owners.
     """
 
     def ask(key: tuple, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        b, out = Batch(row.iloc[0], answers, word_owners, start_count), []
+        b, out = Batch(row.iloc[0], answers, owners, start_count), []
         for o, contexts, pairs in b.deal(owners, hot):
             per = np.bincount(np.searchsorted(contexts, b.pair_context[pairs]), minlength=len(contexts))
             w = b.pair_word[pairs]
             out.append((o, key[0], squeeze(b.number[contexts]), squeeze(b.count[contexts] >= hot), squeeze(per), squeeze(b.number[w]), squeeze(b.count[w]), squeeze(b.pair_trained[pairs])))
         return pd.DataFrame(out, columns=["owner", "batch", "contexts", "hot", "per", "successors", "counts", "trained"])
 
-    def own(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("batch")
-        contexts, per = [unsqueeze(x) for x in rows["contexts"]], [unsqueeze(x).astype(np.int64) for x in rows["per"]]
-        names, context_at = np.unique(np.concatenate(contexts), return_inverse=True)
-        is_hot = np.zeros(len(names), bool)
-        is_hot[context_at] = np.concatenate([unsqueeze(x) for x in rows["hot"]]).astype(bool)
-        of = np.repeat(context_at, np.concatenate(per))
-        w = np.concatenate([unsqueeze(x) for x in rows["successors"]])
-        order = np.lexsort((w, of))
-        new = np.ones(len(w), bool)
-        new[1:] = (of[order][1:] != of[order][:-1]) | (w[order][1:] != w[order][:-1])
-        pair_of = np.empty(len(w), np.int64)
-        pair_of[order] = np.cumsum(new) - 1
-        count = np.bincount(pair_of, np.concatenate([unsqueeze(x) for x in rows["trained"]]), int(new.sum())).astype(np.int64)
-        first = order[new]
-        context, word = of[first], w[first]
-        mass = np.where(count > 0, unigrams.p(np.concatenate([unsqueeze(x) for x in rows["counts"]])[first].astype(np.int64)), 0.0)
-        sums = np.zeros((len(names), K + 1), np.int64)
-        for r in range(1, K + 1):
-            sums[:, r - 1] = np.bincount(context[count == r], minlength=len(names))
-        sums[:, K] = np.bincount(context[count > 0], minlength=len(names))
-        held = np.bincount(context, mass, len(names))
-        owner, out, c0, p0 = int(rows["owner"].iloc[0]), [], 0, 0
-        for number, names_here, per_here in zip(rows["batch"], contexts, per, strict=True):
-            c1, p1 = c0 + len(names_here), p0 + int(per_here.sum())
-            out.append((0, number, owner, squeeze(count[pair_of[p0:p1]]), squeeze(sums[context_at[c0:c1]].reshape(-1)), held[context_at[c0:c1]].tobytes(), None, None))
-            c0, p0 = c1, p1
-        seen = count > 0
-        per_name = np.bincount(context[seen], minlength=len(names))
-        stats = np.bincount(np.minimum(count[seen], K + 2), minlength=K + 3)[1 : K + 2].tolist()
-        out.append((1, None, owner, squeeze(names[per_name > 0]), squeeze(per_name[per_name > 0]), squeeze(word[seen]), squeeze(count[seen]), stats))
-        if is_hot.any():
-            out.append((2, None, owner, names[is_hot].tobytes(), squeeze(sums[is_hot].reshape(-1)), held[is_hot].tobytes(), None, None))
-        return _frame(out)
-
-    asked = batches.select("batch", "docs", "sizes", "tokens", "vocab").groupBy("batch").cogroup(words.groupBy("batch")).applyInPandas(ask, "owner int, batch long, contexts binary, hot binary, per binary, successors binary, counts binary, trained binary")
-    return asked.groupBy("owner").applyInPandas(own, ANSWERS)
+    rows = batches.select("batch", "docs", "sizes", "tokens", "vocab").groupBy("batch").cogroup(words.groupBy("batch"))
+    return rows.applyInPandas(ask, f"owner int, batch long, {Pairs.FIELDS}")
 
 
 class Bigrams:
@@ -340,12 +417,12 @@ class Bigrams:
         return divisor, np.where(freed > 0, freed, 1.0) / divisor / (1 - held)
 
 
-def scores(batches: DataFrame, words: DataFrame, pairs: DataFrame, model: Bigrams, owners: int, word_owners: int, hot: int, start_count: int) -> DataFrame:
+def scores(batches: DataFrame, words: DataFrame, pairs: DataFrame, model: Bigrams, owners: int, hot: int, start_count: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     unigrams = model.unigrams
 
     def evaluate(key: tuple, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        b = Batch(row.iloc[0], answers[answers["of"] == "word"], word_owners, start_count)
+        b = Batch(row.iloc[0], answers[answers["of"] == "word"], owners, start_count)
         given = answers[answers["of"] == "pair"].set_index("owner")
         size = len(b.count)
         divisor, weight, count = np.ones(size), np.ones(size), np.zeros(len(b.pairs), np.int64)
@@ -375,38 +452,62 @@ def scores(batches: DataFrame, words: DataFrame, pairs: DataFrame, model: Bigram
             }
         )
 
-    answers = words.withColumn("of", F.lit("word")).unionByName(pairs.withColumn("of", F.lit("pair"))).drop("d", "stats", "kind")
+    answers = words.withColumn("of", F.lit("word")).unionByName(pairs.withColumn("of", F.lit("pair"))).drop("d", "e", "f", "stats", "kind")
     rows = batches.select("batch", "docs", "sizes", "tokens", "vocab").groupBy("batch").cogroup(answers.groupBy("batch"))
     return rows.applyInPandas(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def katz_scores(docs: DataFrame, modulus: int = 7, owned: int = OWNED, text: str = "text", doc_id: str = "doc_id", keep_model: str | None = None) -> DataFrame:
+def _exchange(space: Workspace, batches: DataFrame, owners: int, hot: int, start_count: int, parts: int, keep: str | None = None, model: str | None = None) -> DataFrame:
+    spark = batches.sparkSession
+    sent = lambda name, **columns: spark.read.parquet(f"{model}/{name}").select(F.col("owner").cast("int").alias("owner"), F.lit(MODEL).cast("long").alias("batch"), *[F.col(c).alias(n) for n, c in columns.items()]) if model else None
+    stats = lambda t, n: [int(x or 0) for x in t.where("kind = 1").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(n)]).first()]
+    words = through_owners(space, "words", words_asked(batches, owners), parts, Words, Words.own, sent("words", words="words", counts="counts"))
+    tokens, types, *of = stats(words, K + 3)
+    unigrams = Unigrams(tokens, types, [0, *of])
+    words_given = words.where("kind = 0")
+    kept = sent("pairs", contexts="contexts", hot="hot", per="successors_each", successors="successors", counts="word_counts", trained="counts")
+    own = lambda pool: pool.own(unigrams, keep is not None)
+    pairs = through_owners(space, "pairs", pairs_asked(batches, words_given, owners, hot, start_count), parts, Pairs, own, kept)
+    shared: dict[int, tuple[np.ndarray, float]] = {}
+    # contexts with at least ``hot`` of the tokens: at most HOT, each in at most count // hot + 1 rows' arrays
+    for r in pairs.where("kind = 2").select("a", "b", "c").orderBy("owner").collect():
+        for name, sums, held in zip(np.frombuffer(r["a"], "<u8").tolist(), unsqueeze(bytes(r["b"])).astype(np.int64).reshape(-1, K + 1), np.frombuffer(r["c"], np.float64).tolist(), strict=True):
+            old = shared.get(name, (0, 0.0))
+            shared[name] = (old[0] + sums, old[1] + held)
+    if keep:
+        words.where("kind = 1").select("owner", F.col("a").alias("words"), F.col("b").alias("counts")).write.partitionBy("owner").parquet(f"{keep}/words")
+        names = {"a": "contexts", "b": "successors_each", "c": "successors", "d": "counts", "e": "word_counts", "f": "hot"}
+        pairs.where("kind = 1").select("owner", *[F.col(c).alias(n) for c, n in names.items()]).write.partitionBy("owner").parquet(f"{keep}/pairs")
+        # last, so that a model without it is known to be unfinished
+        spark.range(1).select(F.lit(owners).alias("owners"), F.lit(hot).cast("long").alias("hot"), F.lit(start_count).cast("long").alias("start_count")).write.parquet(f"{keep}/about")
+    bigrams = Bigrams(unigrams, [0, *stats(pairs, K + 1)], shared)
+    return cut(scores(batches, words_given, pairs.where("kind = 0"), bigrams, owners, hot, start_count))
+
+
+def _parts(batches: int, fan_in: int) -> int:
+    return max(1, -(-batches // max(fan_in, math.isqrt(batches))))
+
+
+def katz_scores(docs: DataFrame, modulus: int = 7, owned: int = OWNED, text: str = "text", doc_id: str = "doc_id", keep_model: str | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """Learns from the documents that are not held out and scores all; see :func:`scores`.
 
-    ``keep_model``: a folder that the tables of words and pairs, partitioned by owner, are copied to.
+    ``keep_model``: a new folder for the tables of words and pairs, partitioned by owner, from which :func:`scores_from` scores further documents.
     """
     space = Workspace(docs.sparkSession)
     try:
         batches = space.bucketed(batches_of(docs, modulus, text, doc_id), "batches", "batch")
-        n_tokens, n_learned, start_count = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_learned", "learned_docs")]).first()
-        owners = max(1, -(-n_tokens // owned))
-        hot = max(owned // 8, n_learned // HOT)
-        words = space.table(word_answers(batches, owners), "words", "kind")
-        stats = lambda t, n: [int(x or 0) for x in t.where("kind = 1").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(n)]).first()]
-        tokens, types, *of = stats(words, K + 3)
-        unigrams = Unigrams(tokens, types, [0, *of])
-        words_given = words.where("kind = 0")
-        pairs = space.table(pair_answers(batches, words_given, unigrams, owners, owners, hot, start_count), "pairs", "kind")
-        shared: dict[int, tuple[np.ndarray, float]] = {}
-        # contexts with at least ``hot`` of the tokens: at most HOT, each in at most count // hot + 1 rows' arrays
-        for r in pairs.where("kind = 2").select("a", "b", "c").orderBy("owner").collect():
-            for name, sums, held in zip(np.frombuffer(r["a"], "<u8").tolist(), unsqueeze(bytes(r["b"])).astype(np.int64).reshape(-1, K + 1), np.frombuffer(r["c"], np.float64).tolist(), strict=True):
-                old = shared.get(name, (0, 0.0))
-                shared[name] = (old[0] + sums, old[1] + held)
-        model = Bigrams(unigrams, [0, *stats(pairs, K + 1)], shared)
-        if keep_model:
-            words.where("kind = 1").select("owner", F.col("a").alias("words"), F.col("b").alias("counts")).write.partitionBy("owner").parquet(f"{keep_model}/words")
-            pairs.where("kind = 1").select("owner", F.col("a").alias("contexts"), F.col("b").alias("successors_each"), F.col("c").alias("successors"), F.col("d").alias("counts")).write.partitionBy("owner").parquet(f"{keep_model}/pairs")
-        return cut(scores(batches, words_given, pairs.where("kind = 0"), model, owners, owners, hot, start_count))
+        n_tokens, n_learned, start_count, number = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_learned", "learned_docs")], F.count("batch")).first()
+        return _exchange(space, batches, max(1, -(-n_tokens // owned)), max(owned // 8, n_learned // HOT), start_count, _parts(number, fan_in), keep=keep_model)
+    finally:
+        space.drop()
+
+
+def scores_from(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", fan_in: int = FAN_IN) -> DataFrame:
+    """Scores ``docs`` by a model that :func:`katz_scores` kept, learning nothing: every row is held out. Columns as of :func:`scores`."""
+    spark = docs.sparkSession
+    about, space = spark.read.parquet(f"{model}/about").first(), Workspace(spark)
+    try:
+        batches = space.bucketed(batches_of(docs, None, text, doc_id), "batches", "batch")
+        return _exchange(space, batches, about["owners"], about["hot"], about["start_count"], _parts(batches.count(), fan_in), model=model)
     finally:
         space.drop()
