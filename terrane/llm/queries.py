@@ -98,7 +98,7 @@ ORACLE = {
                   lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS text_crc32 FROM d),
         bids AS (SELECT row, i, -ln((CAST('0x' || substr(md5(key || ':' || i), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE) AS bid FROM d, range(25) t(i)),
         won AS (SELECT row, CAST(arg_min(i, bid) FILTER (i < 24) AS INT) AS shard, CAST(arg_min(i, bid) AS INT) AS grown_shard FROM bids GROUP BY row),
-        placed AS (SELECT *, md5('slot:' || key) AS slot_hash, CAST('0x' || substr(md5('slot:' || key), 1, 8) AS BIGINT) % 4096 AS bucket FROM c JOIN won USING (row))
+        placed AS (SELECT *, md5('slot:' || key || ':' || text_crc32) AS slot_hash, CAST('0x' || substr(md5('slot:' || key || ':' || text_crc32), 1, 8) AS BIGINT) % 4096 AS bucket FROM c JOIN won USING (row))
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, slot_hash, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM placed
     """,
     "op2_mix_sources": r"""

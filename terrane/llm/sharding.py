@@ -4,7 +4,7 @@ Every shard bids for a key with ``-ln(u) / weight``, u a hash of (key, shard) in
 bid wins. A further shard only wins keys, it never moves one between the others, and a shard wins in
 proportion to its weight. Keys and shard numbers alone decide, so the placement needs no shuffle and no
 state. Only slots, gapless numbers inside a shard, need one: they come from a
-running count over buckets of a shard, so that no shard is ever one task.
+running count over buckets of a shard, named by key and text, so that no shard and no key that many different texts bear is ever one task.
 
 Defined cases: a null text has no bytes, a very long one has all of its; a null key is the key '' ; equal keys share a shard, and
 rows repeated have a slot each; an empty table gives an empty result; further columns are ignored.
@@ -50,7 +50,7 @@ def place(docs: DataFrame, weights: Sequence[float] = (1.0,) * 24, more: float =
         F.lit("key").alias("law"),
         rendezvous(F.col(key), weights).alias("shard"),
         rendezvous(F.col(key), [*weights, more]).alias("grown_shard"),
-        F.md5(F.concat(F.lit("slot:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")).alias("slot_hash"),
+        F.md5(F.concat_ws(":", F.lit("slot"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.crc32(body.cast("binary"))).cast("binary")).alias("slot_hash"),
         F.lit(1).alias("one"),
     ).withColumn("bucket", F.conv(F.substring("slot_hash", 1, 8), 16, 10).cast("long") % buckets)
     placed = running_total(rows, ["shard"], "bucket", [F.col("slot_hash"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], "one", "slot", "shard_rows")

@@ -584,6 +584,15 @@ def test_shards(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_slots_of_one_key(spark):
+    """Different texts under one key share a shard, and are counted in many buckets of it."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    got = sharding.place(rows).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(3000))
+
+
 def test_shard_weights(spark):
     from pyspark.sql import functions as F
 
