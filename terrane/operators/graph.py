@@ -197,7 +197,7 @@ def impact(changes: DataFrame, subject: str, edges: DataFrame, shares: int = 16)
     for ``shares`` shares of the datasets, so that no task has to make all of it.
     """
     reached = reach(edges, _seeds(edges, [subject])).select("node", "distance", F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share"))
-    each = changes.select("path", "change", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long").alias("share"))
+    each = changes.select("path", "change", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
     return each.join(reached, "share").select("path", "change", "node", "distance")
 
 

@@ -123,3 +123,6 @@ def test_common_orphans_and_impact(spark):
     assert top == [("region", 5, 1), ("nation", 4, 2), ("customer", 2, 3)]
     for a, b in itertools.combinations(["region", "part"], 2):
         assert names(G.common(e, a, b, "either")) == names(G.downstream(e, a)) | names(G.downstream(e, b))
+    changes = spark.createDataFrame([("a", "removed"), ("b", "retyped")], "path string, change string")
+    got = sorted(tuple(r) for r in G.impact(changes, "customer", e).collect())
+    assert got == [("a", "removed", "lineitem", 2), ("a", "removed", "orders", 1), ("b", "retyped", "lineitem", 2), ("b", "retyped", "orders", 1)]
