@@ -56,3 +56,25 @@ def winnowing(k: int = 3, w: int = 4) -> str:
            CASE WHEN len(ah) + len(ch) = 0 THEN 1.0 ELSE ac / CAST(len(ah) + len(ch) - ac AS DOUBLE) END AS near_next
     FROM counted
     """
+
+
+#: Every group's p of every kept word written out, and pairs of groups joined word by word.
+DIVERGENCE = r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+         tok AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+         kept AS (SELECT lang, term, count(*) AS n FROM tok GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+         counts AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+         pairs_of AS (SELECT DISTINCT lang, source FROM d),
+         size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+         sums AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM pairs_of LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+         dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // CAST(g.total + s.v AS HUGEINT) AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // CAST(s.total + s.v AS HUGEINT) AS lang_p
+                   FROM sums g JOIN kept k ON k.lang = g.lang JOIN size s ON s.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+         between_ AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+         pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM pairs_of a JOIN pairs_of b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN between_ x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+         term AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - lang_p) * (p - lang_p) // lang_p AS BIGINT) AS value FROM dense WHERE n > 0 AND p > lang_p),
+         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pair UNION ALL FROM term))
+    SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .importance import resample
 from .katz import katz_scores
 from .langid import identify
 from .mixing import mix_sources
-from .oracles import SIMHASH
+from .oracles import DIVERGENCE, SIMHASH
 from .oracles import winnowing as winnowing_sql
 from .packing import pack
 from .pii import pseudonymise
@@ -69,6 +70,10 @@ def op10_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_groups": op8_simhash_groups,
         "op9_rendezvous_shards": op9_rendezvous_shards,
         "op10_curve_packing": op10_curve_packing,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
@@ -153,4 +159,4 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {"op3_winnowing": winnowing_sql(), "op8_simhash_groups": SIMHASH}
+    return ORACLE | {"op3_winnowing": winnowing_sql(), "op8_simhash_groups": SIMHASH, "op11_source_divergence": DIVERGENCE}
