@@ -78,3 +78,32 @@ DIVERGENCE = r"""
          ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pair UNION ALL FROM term))
     SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+#: Neighbours through what is left of words when a letter is taken out; forms followed one by one.
+SPELLING = r"""
+    WITH RECURSIVE run AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents) GROUP BY doc_id, run),
+         bytes AS (SELECT doc_id, run, times, list_transform(regexp_extract_all(hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM run),
+         hashed AS (SELECT doc_id, run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+                      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS h FROM bytes),
+         damaged AS (SELECT times, CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed),
+         words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+         less AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM words, range((SELECT coalesce(max(length(word)), 0) FROM words)) t(i) WHERE i < length(word)),
+         pairs AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                   UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word),
+         ranked AS (SELECT p.word, p.near, w.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.near) AS rank FROM pairs p JOIN words w ON w.word = p.near),
+         known AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.near_n >= 5 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 5 * w.n THEN r.near_n END AS form_n
+                   FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.rank = 1),
+         walk(word, root, onward) AS (SELECT word, word, form FROM known UNION ALL SELECT walk.word, known.word, known.form FROM walk JOIN known ON known.word = walk.onward)
+    SELECT k.word, k.form, w.root, k.n, k.n_near, k.form_n FROM known k JOIN walk w ON w.word = k.word AND w.onward IS NULL
+"""
+
+#: Digests in base 32 from five bits of SHA-1 at a time.
+WARC = r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+         g AS (SELECT page_id, html, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+               (16 * (strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS INT), 1)) - 1) + strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS INT), 1)) - 1)
+               // CAST(pow(2, 3 - 5 * i % 4) AS BIGINT) % 32 AS INT), 1)), '') AS payload_digest,
+           CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to FROM g
+"""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources.tables import spread
+
 from .common import documents
 from .divergence import divergence
 from .exact_dedup import exact_dedup
@@ -14,13 +16,14 @@ from .importance import resample
 from .katz import katz_scores
 from .langid import identify
 from .mixing import mix_sources
-from .oracles import DIVERGENCE, SIMHASH
+from .oracles import DIVERGENCE, SIMHASH, SPELLING, WARC
 from .oracles import winnowing as winnowing_sql
 from .packing import pack
 from .pii import pseudonymise
 from .sharding import place
 from .simhash import near_groups
-
+from .spelling import corpus_words, spelling_variants
+from .warc import archived_pages
 from .winnowing import edited_fingerprints
 
 #: A key for test data; a real one comes from the caller.
@@ -74,6 +77,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(corpus_words(documents(spark, sf_dir), every=199))
+
+
+def op13_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -87,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_rendezvous_shards": op9_rendezvous_shards,
         "op10_curve_packing": op10_curve_packing,
         "op11_source_divergence": op11_source_divergence,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_warc_records": op13_warc_records,
     }
 
 
@@ -159,4 +172,4 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {"op3_winnowing": winnowing_sql(), "op8_simhash_groups": SIMHASH, "op11_source_divergence": DIVERGENCE}
+    return ORACLE | {"op3_winnowing": winnowing_sql(), "op8_simhash_groups": SIMHASH, "op11_source_divergence": DIVERGENCE, "op12_spelling_variants": SPELLING, "op13_warc_records": WARC}
