@@ -13,9 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .barriers import cut
+from .cyclic import cycles, strong_components, top_impact
+
+__all__ = ["common", "cycles", "downstream", "edges_frame", "field_impact", "impact", "leaves", "nodes_of", "orphans", "paths", "reach", "reverse", "roots", "strong_components", "top_impact", "upstream"]
 
 #: Tables of levels that are read one by one before they are put into one.
 PARTS = 16
@@ -168,22 +170,6 @@ def orphans(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(nodes_of(edges), "node", "left_anti")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """node, length: nodes that reach themselves, with the shortest way round."""
-    e = edges.select("src", "dst").distinct()
-    # only nodes between a source and a target can be on a cycle
-    inner = e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")), "node", "left_semi")
-    return reach(e, inner).where("seed = node").select("node", F.col("distance").alias("length"))
-
-
-def top_impact(edges: DataFrame, k: int) -> DataFrame:
-    """node, n_affected, rank: the ``k`` nodes that most nodes depend on; equal numbers share a rank."""
-    counts = reach(edges).groupBy(F.col("seed").alias("node")).agg(F.count(F.lit(1)).alias("n_affected"))
-    best = counts.orderBy(F.desc("n_affected"), "node").limit(k)
-    # at most k rows are ranked
-    return best.select("node", "n_affected", F.rank().over(Window.orderBy(F.desc("n_affected"))).alias("rank"))
-
-
 def common(edges: DataFrame, a: str, b: str, how: str = "both") -> DataFrame:
     """Nodes downstream of both, of either, or of only the first of two nodes."""
     of_a, of_b = (reach(edges, _seeds(edges, [x])).select("node") for x in (a, b))
