@@ -7,20 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from terrane.functions import text as X
 from terrane.operators import graph as G
+from terrane.operators import inclusion as K
 from terrane.operators import schemas as S
 from terrane.operators import search as Q
-from terrane.operators.barriers import computed, shared_folder
+from terrane.operators.barriers import computed, cut, shared_folder
 from terrane.plans import lineage as L
 from terrane.sources import tables as IO
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Dependencies along the key columns of the tables, and the same with a way back.
-EDGES = [("region", "nation"), ("nation", "customer"), ("nation", "supplier"), ("customer", "orders"), ("orders", "lineitem"), ("part", "lineitem"), ("supplier", "lineitem")]
-CYCLIC = [*EDGES, ("lineitem", "region")]
-#: Declared foreign keys, column to column.
+#: Foreign keys as a person would declare them, column to column.
 FOREIGN_KEYS = [
     ("region", "r_regionkey", "nation", "n_regionkey"),
     ("nation", "n_nationkey", "customer", "c_nationkey"),
@@ -113,46 +112,58 @@ def _values(schema: T.StructType) -> str:
     return f"(VALUES {', '.join(f"('{path}', '{kind}', {str(nullable).lower()})" for _, path, _, _, kind, nullable, _ in S.flatten(schema))})"
 
 
+#: A summary of the lines, whose columns are not quite theirs.
+SUMMARY = """
+    SELECT CAST(l_orderkey AS INT) AS l_orderkey, l_partkey, CAST(max(l_linenumber) AS BIGINT) AS l_linenumber, CAST(sum(l_extendedprice) AS DECIMAL(20, 2)) AS l_extendedprice, count(*) AS n_lines
+    FROM lineitem GROUP BY l_orderkey, l_partkey
+"""
+_SUMMARY_SQL = "(VALUES ('l_orderkey', 'int', true), ('l_partkey', 'bigint', true), ('l_linenumber', 'bigint', true), ('l_extendedprice', 'decimal(20,2)', true), ('n_lines', 'bigint', false))"
 _DIFF_SQL = f"""
+    {_FIELDS_SQL},
+    olds AS (SELECT 'example' AS subject, * FROM {_values(OLD)} AS a(path, type, nullable) UNION ALL SELECT 'lineitem_summary', path, type, true FROM fields WHERE subject = 'lineitem'),
+    news AS (SELECT 'example' AS subject, * FROM {_values(NEW)} AS a(path, type, nullable) UNION ALL SELECT 'lineitem_summary', * FROM {_SUMMARY_SQL} AS b(path, type, nullable)),
     pairs AS (
-        SELECT coalesce(a.path, b.path) AS path, a.path AS a_path, b.path AS b_path, a.type AS old_type, b.type AS new_type, a.nullable AS old_nullable, b.nullable AS new_nullable
-        FROM {_values(OLD)} AS a(path, type, nullable) FULL JOIN {_values(NEW)} AS b(path, type, nullable) ON a.path = b.path),
+        SELECT coalesce(a.subject, b.subject) AS subject, coalesce(a.path, b.path) AS path, a.path AS a_path, b.path AS b_path, a.type AS old_type, b.type AS new_type, a.nullable AS old_nullable, b.nullable AS new_nullable
+        FROM olds a FULL JOIN news b ON a.path = b.path AND a.subject = b.subject),
     changes AS (
-        SELECT path, 'added' AS change, old_type, new_type, old_nullable, new_nullable FROM pairs WHERE a_path IS NULL
-        UNION ALL SELECT path, 'removed', old_type, new_type, old_nullable, new_nullable FROM pairs WHERE b_path IS NULL
-        UNION ALL SELECT path, 'retyped', old_type, new_type, old_nullable, new_nullable FROM pairs
+        SELECT subject, path, 'added' AS change, old_type, new_type, old_nullable, new_nullable FROM pairs WHERE a_path IS NULL
+        UNION ALL SELECT subject, path, 'removed', old_type, new_type, old_nullable, new_nullable FROM pairs WHERE b_path IS NULL
+        UNION ALL SELECT subject, path, 'retyped', old_type, new_type, old_nullable, new_nullable FROM pairs
             WHERE CASE WHEN old_type LIKE '%<%' THEN split_part(old_type, '<', 1) ELSE old_type END <> CASE WHEN new_type LIKE '%<%' THEN split_part(new_type, '<', 1) ELSE new_type END
-        UNION ALL SELECT path, 'nullability', old_type, new_type, old_nullable, new_nullable FROM pairs WHERE old_nullable <> new_nullable)
+        UNION ALL SELECT subject, path, 'nullability', old_type, new_type, old_nullable, new_nullable FROM pairs WHERE old_nullable <> new_nullable)
 """
 
 
-def _diff(spark: SparkSession) -> DataFrame:
-    old, new = (S.fields_frame(spark, [("example", v, schema)]) for v, schema in ((1, OLD), (2, NEW)))
-    return S.diff(old, new)
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An example with every kind of change, and the lines' own schema against that of their summary."""
+    IO.register_views(spark, sf_dir, ["lineitem"])
+    schemas = {"example": (OLD, NEW), "lineitem_summary": (IO.infer(spark, f"{sf_dir}/lineitem.parquet"), spark.sql(SUMMARY).schema)}
+    a, b = (S.diff(*(S.fields_frame(spark, [(subject, v, schema)]) for v, schema in enumerate(both, 1))).withColumn("subject", F.lit(subject)) for subject, both in schemas.items())
+    return a.union(b)
 
 
 @query("r6_diff", f"WITH {_DIFF_SQL} SELECT * FROM changes")
 def r6_diff(spark, sf_dir):
-    return _diff(spark)
+    return _diff(spark, sf_dir)
 
 
 #: The retyped fields of the example whose new type holds every old value, and the reverse.
 _OK_SQL = """
     CASE change WHEN 'added' THEN new_nullable WHEN 'removed' THEN true
         WHEN 'retyped' THEN (old_type, new_type) IN (('int', 'bigint'), ('decimal(10,2)', 'decimal(12,2)'), ('date', 'timestamp')) ELSE new_nullable END AS backward,
-    CASE change WHEN 'added' THEN true WHEN 'removed' THEN old_nullable WHEN 'retyped' THEN false ELSE old_nullable END AS forward
+    CASE change WHEN 'added' THEN true WHEN 'removed' THEN old_nullable WHEN 'retyped' THEN (new_type, old_type) IN (('int', 'bigint')) ELSE old_nullable END AS forward
 """
 
 
 @query(
     "r7_compatible",
     f"""WITH {_DIFF_SQL}, judged AS (SELECT *, {_OK_SQL} FROM changes)
-        SELECT path, change, 'BACKWARD' AS mode, backward AS ok FROM judged UNION ALL SELECT path, change, 'FORWARD', forward FROM judged
-        UNION ALL SELECT path, change, 'FULL', backward AND forward FROM judged UNION ALL SELECT path, change, 'NONE', true FROM judged""",
+        SELECT subject, path, change, 'BACKWARD' AS mode, backward AS ok FROM judged UNION ALL SELECT subject, path, change, 'FORWARD', forward FROM judged
+        UNION ALL SELECT subject, path, change, 'FULL', backward AND forward FROM judged UNION ALL SELECT subject, path, change, 'NONE', true FROM judged""",
 )
 def r7_compatible(spark, sf_dir):
-    changes = _diff(spark)
-    a, b, c, d = (S.compatibility(changes, m).select("path", "change", "mode", "ok") for m in S.MODES)
+    changes = _diff(spark, sf_dir)
+    a, b, c, d = (S.compatibility(changes, m).select("subject", "path", "change", "mode", "ok") for m in S.MODES)
     return a.union(b).union(c).union(d)
 
 
@@ -212,48 +223,125 @@ def r4_fields_registered(spark, sf_dir):
 
 # I: impact analysis
 
-_EDGE_SQL = lambda edges: f"edges(src, dst) AS (VALUES {', '.join(f'''('{a}', '{b}')''' for a, b in edges)})"
+#: Columns of the tables that share kind and bare name with one of another table.
+_ALIKE = [
+    [("region", "r_regionkey"), ("nation", "n_regionkey")], [("nation", "n_nationkey"), ("customer", "c_nationkey"), ("supplier", "s_nationkey")],
+    [("customer", "c_custkey"), ("orders", "o_custkey")], [("orders", "o_orderkey"), ("lineitem", "l_orderkey")], [("part", "p_partkey"), ("lineitem", "l_partkey")],
+    [("supplier", "s_suppkey"), ("lineitem", "l_suppkey")], [("documents", "doc_id"), ("labels", "doc_id")], [("documents", "text"), ("benchmark", "text"), ("conversations", "text")],
+    [("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name")],
+]
+
+
+def _distinct_sql(columns) -> str:
+    return " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, '{kind}' AS kind, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c, kind in columns)
+
+
+#: Foreign keys found by comparing all values of columns of one name, and the dependencies between tables that they make.
+_KEYS_SQL = f"""
+    vals AS ({_distinct_sql((t, c, i) for i, group in enumerate(_ALIKE) for t, c in group)}),
+    sizes AS (SELECT t, c, count(*) AS n FROM vals GROUP BY t, c),
+    counts AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n_rows FROM {t}" for t in sorted({t for group in _ALIKE for t, _ in group}))}),
+    keys AS (SELECT a.t AS src_dataset, a.c AS src_field, b.t AS dst_dataset, b.c AS dst_field
+        FROM (SELECT x.t AS t1, x.c AS c1, y.t AS t2, y.c AS c2, count(*) AS n FROM vals x JOIN vals y ON x.kind = y.kind AND x.v = y.v AND x.t <> y.t GROUP BY ALL) m
+        JOIN sizes a ON a.t = t1 AND a.c = c1 JOIN sizes b ON b.t = t2 AND b.c = c2 JOIN counts ON counts.t = t1 WHERE m.n = b.n AND a.n = n_rows)"""
+_EDGE_SQL = _KEYS_SQL + ", edges(src, dst) AS (SELECT DISTINCT src_dataset, dst_dataset FROM keys)"
+#: The same with a way back.
+_CYCLIC_SQL = _KEYS_SQL + ", edges(src, dst) AS (SELECT DISTINCT src_dataset, dst_dataset FROM keys UNION SELECT 'lineitem', 'region')"
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys among all the tables, found in their values."""
+    return K.foreign_keys({t: IO.spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES})
+
+
+def _edges(spark: SparkSession, sf_dir: str, *more: tuple[str, str]) -> DataFrame:
+    """Dependencies between tables by the foreign keys in their data, and further ones."""
+    found = _keys(spark, sf_dir).select(F.col("src_dataset").alias("src"), F.col("dst_dataset").alias("dst"))
+    return cut((found.union(G.edges_frame(spark, list(more))) if more else found).distinct())
+
+
+@query("i7_foreign_keys", f"WITH {_KEYS_SQL} SELECT * FROM keys")
+def i7_foreign_keys(spark, sf_dir):
+    return _keys(spark, sf_dir)
+
+
+#: Columns with a kind, all tables.
+_KINDS = {
+    "whole": "region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey supplier.s_suppkey supplier.s_nationkey part.p_partkey part.p_size orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber events.event_id events.user_id documents.doc_id documents.n_chars embeddings.vec_id embeddings.label pages.page_id benchmark.item_id labels.doc_id labels.quality labels.toxic conversations.conv_id conversations.turn",
+    "text": "region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus events.event_type events.props documents.text documents.lang documents.source pages.url pages.html benchmark.text conversations.role conversations.text",
+    "moment": "orders.o_orderdate lineitem.l_shipdate events.ts",
+}
+
+
+@query(
+    "i7_inclusions",
+    f"""WITH vals AS ({_distinct_sql((*name.split("."), kind) for kind, names in _KINDS.items() for name in names.split())}),
+        sizes AS (SELECT t, c, count(*) AS n FROM vals GROUP BY t, c),
+        both_hold AS (SELECT x.t AS t1, x.c AS c1, y.t AS t2, y.c AS c2, count(*) AS n FROM vals x JOIN vals y ON x.kind = y.kind AND x.v = y.v AND (x.t <> y.t OR x.c <> y.c) GROUP BY ALL)
+        SELECT t1 AS src_dataset, c1 AS src_field, t2 AS dst_dataset, c2 AS dst_field, b.n AS "values", a.n AS src_values
+        FROM both_hold m JOIN sizes a ON a.t = t1 AND a.c = c1 JOIN sizes b ON b.t = t2 AND b.c = c2 WHERE m.n = b.n""",
+)
+def i7_inclusions(spark, sf_dir):
+    """Each column of the tables with each that holds all its values."""
+    return K.inclusions({t: IO.spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES})
 
 
-def _closure_sql(start: str, edges=EDGES, up: bool = False, depth: int = 20) -> str:
+def _closure_sql(start: str, edges: str = _EDGE_SQL, up: bool = False, depth: int = 20) -> str:
     a, b = ("dst", "src") if up else ("src", "dst")
-    return f"""WITH RECURSIVE {_EDGE_SQL(edges)}, walk(node, d) AS (
-        SELECT '{start}', 0 UNION ALL SELECT e.{b}, w.d + 1 FROM walk w JOIN edges e ON e.{a} = w.node WHERE w.d < {depth})
+    return f"""WITH RECURSIVE {edges}, walk(node, d) AS (
+        SELECT {start}, 0 UNION ALL SELECT e.{b}, w.d + 1 FROM walk w JOIN edges e ON e.{a} = w.node WHERE w.d < {depth})
         SELECT node, CAST(min(d) AS INT) AS min_distance, CAST(max(d) AS INT) AS max_distance, count(*) AS paths FROM walk WHERE d > 0 GROUP BY node"""
 
 
-@query("i3_downstream", _closure_sql("region"))
+@query("i3_downstream", _closure_sql("'region'"))
 def i3_downstream(spark, sf_dir):
-    return G.downstream(G.edges_frame(spark, EDGES), "region")
+    return G.downstream(_edges(spark, sf_dir), "region")
 
 
-@query("i3_downstream_cyclic", _closure_sql("region", CYCLIC, depth=12))
+@query("i3_downstream_cyclic", _closure_sql("'region'", _CYCLIC_SQL, depth=12))
 def i3_downstream_cyclic(spark, sf_dir):
-    return G.downstream(G.edges_frame(spark, CYCLIC), "region", 12)
+    return G.downstream(_edges(spark, sf_dir, ("lineitem", "region")), "region", 12)
 
 
-#: Forty edges in a row, with a shorter way round some.
-DEEP = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"n{i}", f"n{i + 2}") for i in range(0, 40, 10)]
+#: Each order with its customer's next one, an urgent one with the one after that too; the first order and the last of the customer who has most.
+_CHAIN_SQL = """
+    o AS (SELECT 'o' || o_orderkey AS src, o_orderpriority AS priority, 'o' || lead(o_orderkey) OVER w AS next, 'o' || lead(o_orderkey, 2) OVER w AS far FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+    edges(src, dst) AS (SELECT src, next FROM o WHERE next IS NOT NULL UNION SELECT src, far FROM o WHERE far IS NOT NULL AND priority = '1-URGENT'),
+    most AS (SELECT 'o' || min(o_orderkey) AS first, 'o' || max(o_orderkey) AS last FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1)"""
 
 
-@query("i3_downstream_deep", _closure_sql("n0", DEEP, depth=60))
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str]:
+    orders = IO.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority"))
+    name = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    far = F.when(F.col("o_orderpriority") == "1-URGENT", F.lead("o_orderkey", 2).over(own))
+    rows = orders.select(name(F.col("o_orderkey")).alias("src"), F.array_compact(F.array(F.lead("o_orderkey").over(own), far)).alias("next"))
+    edges = rows.select("src", F.explode("next").alias("dst")).select("src", name(F.col("dst")).alias("dst")).distinct()
+    of = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), name(F.min("o_orderkey")).alias("first"), name(F.max("o_orderkey")).alias("last"))
+    most = of.orderBy(F.desc("n"), "o_custkey").first()
+    return edges, most["first"], most["last"]
+
+
+@query("i3_downstream_deep", _closure_sql("(SELECT first FROM most)", _CHAIN_SQL, depth=1000))
 def i3_downstream_deep(spark, sf_dir):
-    return G.downstream(G.edges_frame(spark, DEEP), "n0")
+    """All later orders of the customer who has most, in a graph of all orders."""
+    edges, first, _ = _chain(spark, sf_dir)
+    return G.downstream(edges, first)
 
 
-@query("i4_upstream", _closure_sql("lineitem", up=True))
+@query("i4_upstream", _closure_sql("'lineitem'", up=True))
 def i4_upstream(spark, sf_dir):
-    return G.upstream(G.edges_frame(spark, EDGES), "lineitem")
+    return G.upstream(_edges(spark, sf_dir), "lineitem")
 
 
 @query(
     "i6_impact",
-    f"""WITH RECURSIVE {_EDGE_SQL(EDGES)}, {_DIFF_SQL}, walk(node, d) AS (SELECT 'customer', 0 UNION ALL SELECT e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.node),
+    f"""WITH RECURSIVE {_EDGE_SQL}, {_DIFF_SQL}, walk(node, d) AS (SELECT 'customer', 0 UNION ALL SELECT e.dst, w.d + 1 FROM walk w JOIN edges e ON e.src = w.node),
         near AS (SELECT node, CAST(min(d) AS INT) AS distance FROM walk WHERE d > 0 GROUP BY node)
-        SELECT path, change, node, distance FROM changes, near""",
+        SELECT path, change, node, distance FROM changes, near WHERE subject = 'lineitem_summary'""",
 )
 def i6_impact(spark, sf_dir):
-    return G.impact(_diff(spark), "customer", G.edges_frame(spark, EDGES))
+    return G.impact(_diff(spark, sf_dir).where("subject = 'lineitem_summary'").drop("subject"), "customer", _edges(spark, sf_dir))
 
 
 @query(
@@ -296,33 +384,34 @@ def i7_declared(spark, sf_dir):
 
 @query(
     "i8_paths",
-    f"""WITH RECURSIVE {_EDGE_SQL(CYCLIC)}, walk(node, path, d) AS (SELECT 'region', ['region'], 0
+    f"""WITH RECURSIVE {_CYCLIC_SQL}, walk(node, path, d) AS (SELECT 'region', ['region'], 0
         UNION ALL SELECT e.dst, list_append(path, e.dst), d + 1 FROM walk JOIN edges e ON e.src = walk.node WHERE NOT list_contains(path, e.dst) AND walk.node <> 'lineitem')
         SELECT array_to_string(path, ' > ') AS path, CAST(d AS INT) AS length FROM walk WHERE node = 'lineitem'""",
 )
 def i8_paths(spark, sf_dir):
-    return G.paths(G.edges_frame(spark, CYCLIC), "region", "lineitem")
+    return G.paths(_edges(spark, sf_dir, ("lineitem", "region")), "region", "lineitem")
 
 
 @query(
     "i8_paths_deep",
-    f"""WITH RECURSIVE {_EDGE_SQL(DEEP)}, walk(node, path, d) AS (SELECT 'n0', ['n0'], 0
+    f"""WITH RECURSIVE {_CHAIN_SQL}, walk(node, path, d) AS (SELECT first, [first], 0 FROM most
         UNION ALL SELECT e.dst, list_append(path, e.dst), d + 1 FROM walk JOIN edges e ON e.src = walk.node WHERE NOT list_contains(path, e.dst))
-        SELECT array_to_string(path, ' > ') AS path, CAST(d AS INT) AS length FROM walk WHERE node = 'n40'""",
+        SELECT array_to_string(path, ' > ') AS path, CAST(d AS INT) AS length FROM walk WHERE node = (SELECT last FROM most)""",
 )
 def i8_paths_deep(spark, sf_dir):
-    return G.paths(G.edges_frame(spark, DEEP), "n0", "n40")
+    edges, first, last = _chain(spark, sf_dir)
+    return G.paths(edges, first, last)
 
 
 @query(
     "i9_roots_leaves_orphans",
-    f"""WITH {_EDGE_SQL(EDGES)}, nodes(node) AS (VALUES {', '.join(f"('{t}')" for t in TABLES)})
+    f"""WITH {_EDGE_SQL}, nodes(node) AS (VALUES {', '.join(f"('{t}')" for t in TABLES)})
         SELECT DISTINCT 'root' AS kind, src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)
         UNION ALL SELECT DISTINCT 'leaf', dst FROM edges WHERE dst NOT IN (SELECT src FROM edges)
         UNION ALL SELECT 'orphan', node FROM nodes WHERE node NOT IN (SELECT src FROM edges UNION ALL SELECT dst FROM edges)""",
 )
 def i9_roots(spark, sf_dir):
-    e = G.edges_frame(spark, EDGES)
+    e = _edges(spark, sf_dir)
     every = spark.createDataFrame([(t,) for t in TABLES], "node string")
     kinds = [("root", G.roots(e)), ("leaf", G.leaves(e)), ("orphan", G.orphans(e, every))]
     a, b, c = (d.select(F.lit(k).alias("kind"), "node") for k, d in kinds)
@@ -331,33 +420,80 @@ def i9_roots(spark, sf_dir):
 
 @query(
     "i10_cycles",
-    f"""WITH RECURSIVE {_EDGE_SQL([*CYCLIC, ('part', 'part')])}, walk(seed, node, d) AS (SELECT src, dst, 1 FROM edges
+    f"""WITH RECURSIVE {_CYCLIC_SQL.removesuffix(")")} UNION SELECT 'part', 'part'), walk(seed, node, d) AS (SELECT src, dst, 1 FROM edges
         UNION ALL SELECT seed, e.dst, d + 1 FROM walk JOIN edges e ON e.src = walk.node WHERE walk.node <> seed AND d < 12)
         SELECT seed AS node, CAST(min(d) AS INT) AS length FROM walk WHERE node = seed GROUP BY seed""",
 )
 def i10_cycles(spark, sf_dir):
-    return G.cycles(G.edges_frame(spark, [*CYCLIC, ("part", "part")]))
+    return G.cycles(_edges(spark, sf_dir, ("lineitem", "region"), ("part", "part")))
 
 
 @query(
     "i11_top_impact",
-    f"""WITH RECURSIVE {_EDGE_SQL(EDGES)}, walk(seed, node) AS (SELECT src, dst FROM edges UNION SELECT seed, e.dst FROM walk JOIN edges e ON e.src = walk.node),
+    f"""WITH RECURSIVE {_EDGE_SQL}, walk(seed, node) AS (SELECT src, dst FROM edges UNION SELECT seed, e.dst FROM walk JOIN edges e ON e.src = walk.node),
         n AS (SELECT seed AS node, count(DISTINCT node) AS n_affected FROM walk GROUP BY seed ORDER BY n_affected DESC, node LIMIT 5)
         SELECT node, n_affected, CAST(rank() OVER (ORDER BY n_affected DESC) AS INT) AS rank FROM n""",
 )
 def i11_top_impact(spark, sf_dir):
-    return G.top_impact(G.edges_frame(spark, EDGES), 5)
+    return G.top_impact(_edges(spark, sf_dir), 5)
+
+
+#: Parts and suppliers by the lines of large quantity: a supplier of a line that came back depends on its part, the part of a line accepted on its supplier.
+_ROWS_SQL = """
+    edges(src, dst) AS (SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN 'p' || l_partkey ELSE 's' || l_suppkey END, CASE l_returnflag WHEN 'R' THEN 's' || l_suppkey ELSE 'p' || l_partkey END
+        FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 46)"""
+
+
+def _row_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = IO.spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag in ('A', 'R') and l_quantity >= 46").select("l_partkey", "l_suppkey", "l_returnflag"))
+    part, supplier, back = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), F.col("l_returnflag") == "R"
+    return cut(lines.select(F.when(back, part).otherwise(supplier).alias("src"), F.when(back, supplier).otherwise(part).alias("dst")).distinct())
+
+
+@query(
+    "i10_components",
+    f"""WITH RECURSIVE {_ROWS_SQL}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+        walk(seed, node) AS (SELECT src, dst FROM edges WHERE src LIKE 's%' UNION SELECT seed, e.dst FROM walk JOIN edges e ON e.src = walk.node),
+        -- every cycle has a supplier; a part is on it if one of its suppliers leads back
+        members AS (SELECT a.seed, a.node FROM walk a JOIN walk b ON b.seed = a.node AND b.node = a.seed
+            UNION SELECT a.seed, a.node FROM walk a JOIN edges e ON e.src = a.node AND e.dst = a.seed
+            UNION SELECT a.seed, a.node FROM walk a JOIN edges e ON e.src = a.node JOIN walk w ON w.seed = e.dst AND w.node = a.seed),
+        own AS (SELECT seed, min(node) AS component FROM members GROUP BY seed),
+        part AS (SELECT n.node, coalesce(min(o.component), n.node) AS component FROM nodes n LEFT JOIN members m ON m.node = n.node LEFT JOIN own o ON o.seed = m.seed GROUP BY n.node)
+        SELECT node, component, count(*) OVER (PARTITION BY component) AS size, count(*) OVER (PARTITION BY component) > 1 AS cyclic FROM part""",
+)
+def i10_components(spark, sf_dir):
+    return G.strong_components(_row_edges(spark, sf_dir))
+
+
+#: Nations with their customers, those with their orders.
+_TREE_SQL = """
+    edges(src, dst) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+
+
+@query(
+    "i11_top_rows",
+    f"""WITH RECURSIVE {_TREE_SQL}, walk(seed, node) AS (SELECT src, dst FROM edges UNION ALL SELECT e.src, walk.node FROM walk JOIN edges e ON e.dst = walk.seed),
+        n AS (SELECT seed AS node, count(DISTINCT node) AS n_affected FROM walk GROUP BY seed ORDER BY n_affected DESC, node LIMIT 12)
+        SELECT node, n_affected, CAST(rank() OVER (ORDER BY n_affected DESC) AS INT) AS rank FROM n""",
+)
+def i11_top_rows(spark, sf_dir):
+    """The rows on which most rows depend, from regions down to orders."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    steps = [("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey")]
+    a, b, c = (IO.spread(spark.read.parquet(f"{sf_dir}/{t}.parquet").select(name(x, of).alias("src"), name(y, key).alias("dst"))) for t, x, of, y, key in steps)
+    return G.top_impact(a.union(b).union(c), 12)
 
 
 @query(
     "i12_common",
-    f"""WITH RECURSIVE {_EDGE_SQL(EDGES)}, walk(seed, node) AS (SELECT src, dst FROM edges UNION SELECT seed, e.dst FROM walk JOIN edges e ON e.src = walk.node),
+    f"""WITH RECURSIVE {_EDGE_SQL}, walk(seed, node) AS (SELECT src, dst FROM edges UNION SELECT seed, e.dst FROM walk JOIN edges e ON e.src = walk.node),
         a AS (SELECT node FROM walk WHERE seed = 'nation'), b AS (SELECT node FROM walk WHERE seed = 'customer')
         SELECT 'both' AS how, node FROM (SELECT node FROM a INTERSECT SELECT node FROM b) UNION ALL SELECT 'either', node FROM (SELECT node FROM a UNION SELECT node FROM b)
         UNION ALL SELECT 'first', node FROM (SELECT node FROM a EXCEPT SELECT node FROM b)""",
 )
 def i12_common(spark, sf_dir):
-    e = G.edges_frame(spark, EDGES)
+    e = _edges(spark, sf_dir)
     a, b, c = (G.common(e, "nation", "customer", how).select(F.lit(how).alias("how"), "node") for how in ("both", "either", "first"))
     return a.union(b).union(c)
 
