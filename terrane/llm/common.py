@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from terrane.operators.barriers import cut, let, shared_folder
 from terrane.sources.tables import spread
 
-__all__ = ["SPACE", "WORD", "Workspace", "cut", "documents", "held_out_of", "learns", "let", "running_total", "small_batches", "text_of", "word_count"]
+__all__ = ["SPACE", "WORD", "Workspace", "cut", "documents", "enclosed", "held_out_of", "learns", "let", "running_total", "small_batches", "text_of", "word_count"]
 
 #: White space as the contracts define it: the space and the five ASCII control characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -86,8 +87,22 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def text_of(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def text_of(column: str | Column = "text") -> Column:
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def enclosed(docs: DataFrame) -> tuple[DataFrame, Callable[[str], Column], Callable[[DataFrame], DataFrame]]:
+    """The rows of ``docs``, each in one column ``row``; what gives a column of them by its name; and what lays the rows out again.
+
+    So an operator that keeps rows can add columns of any name, and the input's may have any: those of the operator, dots, backticks.
+    """
+    names = docs.columns
+    places = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return (
+        places.select(F.struct(*places.columns).alias("row")),
+        lambda name: F.col(f"row.c{names.index(name)}"),
+        lambda rows: rows.select("row.*").toDF(*names),
+    )
 
 
 def word_count(text: Column) -> Column:

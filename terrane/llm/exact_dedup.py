@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, text_of
+from .common import SPACE, enclosed, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -65,8 +65,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay: one of each group, and one of rows repeated under its doc_id."""
     key = lambda sha, id_: F.concat(sha, F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")))
-    keep = exact_groups(docs, text, doc_id).select(key(F.col("sha"), F.col("keep_id")).alias("__keep"))
-    rows = docs.withColumn("__row", key(F.sha2(normalised(text_of(text)).cast("binary"), 256), docs[doc_id]))
-    stay = rows.join(keep, rows["__row"] == keep["__keep"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    return stay.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+    keep = exact_groups(docs, text, doc_id).select(key(F.col("sha"), F.col("keep_id")).alias("keep"))
+    rows, column, laid_out = enclosed(docs)
+    rows = rows.withColumn("key", key(F.sha2(normalised(text_of(column(text))).cast("binary"), 256), column(doc_id)))
+    stay = rows.join(keep, rows["key"] == keep["keep"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return laid_out(stay.withColumn("first", first).where("first = 1"))

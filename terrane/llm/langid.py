@@ -189,7 +189,9 @@ def keep_identified(docs: DataFrame, languages: list[str], prototypes: np.ndarra
             langs, scores = predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([name != UNDETERMINED and score >= least for name, score in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    # by place, as names may be of any kind
+    places = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return places.mapInArrow(batches, places.schema).toDF(*docs.columns)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", modulus: int = 4, **how) -> DataFrame:

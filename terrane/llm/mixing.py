@@ -23,11 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, running_total, text_of, word_count
+from .common import cut, enclosed, running_total, text_of, word_count
 
 GROUP = ["no_source", "source_key"]
 
@@ -73,7 +73,7 @@ def queue(docs: DataFrame, weights: Sequence[float], max_epochs: int, seed: int,
         F.col(source).isNull().alias("no_source"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_key"),
         word_count(text_of(text)).alias("size"),
-        shuffle_hash(seed, doc_id, text).alias("shuffle_hash"),
+        shuffle_hash(seed, F.col(doc_id), F.col(text)).alias("shuffle_hash"),
     ).withColumn("bucket", F.substring("shuffle_hash", 1, digits))
     rows = cut(rows)  # numbers only: the texts are read once
     targets = source_targets(rows.groupBy(*GROUP).agg(F.sum("size").alias("source_size")), weights, max_epochs)
@@ -92,8 +92,8 @@ def queue(docs: DataFrame, weights: Sequence[float], max_epochs: int, seed: int,
     return mixed.withColumn("taken", sum(words, F.lit(0)).cast("long")).withColumn("full_copies", whole).withColumn("part_words", F.col("taken") - F.col("full_copies") * F.col("size"))
 
 
-def shuffle_hash(seed: int, doc_id: str, text: str):
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), text_of(text)).cast("binary"))
+def shuffle_hash(seed: int, doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), text_of(text)).cast("binary"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 20, digits: int = 3, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -113,10 +113,11 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_e
     """
     mix = queue(docs, weights, max_epochs, seed, digits, text, source, doc_id)
     copies = F.col("full_copies") + F.when(F.col("part_words") * 2 > F.col("size"), 1).otherwise(0)
-    plan = mix.groupBy("shuffle_hash", *GROUP).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
-    plan = plan.select(F.col("shuffle_hash").alias("__of"), *[F.col(c).alias(f"__of_{c}") for c in GROUP], "__copies", "__rows")
-    keyed = docs.withColumns({"__hash": shuffle_hash(seed, doc_id, text), "__no_source": F.col(source).isNull(), "__source_key": F.coalesce(F.col(source).cast("string"), F.lit(""))})
-    taken = keyed.join(plan, (F.col("__hash") == F.col("__of")) & (F.col("__no_source") == F.col("__of_no_source")) & (F.col("__source_key") == F.col("__of_source_key")))
-    number = F.row_number().over(Window.partitionBy("__hash", "__no_source", "__source_key").orderBy(F.lit(0)))
-    times = F.expr("__copies div __rows").cast("int") + F.when(number <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return taken.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = mix.groupBy("shuffle_hash", *GROUP).agg(F.sum(copies).alias("copies"), F.count(F.lit(1)).alias("places")).where("copies > 0")
+    of = {"shuffle_hash": "of_hash", "no_source": "of_no_source", "source_key": "of_source_key"}
+    rows, column, laid_out = enclosed(docs)
+    keyed = rows.withColumns({"shuffle_hash": shuffle_hash(seed, column(doc_id), column(text)), "no_source": column(source).isNull(), "source_key": F.coalesce(column(source).cast("string"), F.lit(""))})
+    taken = keyed.join(plan.withColumnsRenamed(of), [F.col(a) == F.col(b) for a, b in of.items()])
+    number = F.row_number().over(Window.partitionBy(*of).orderBy(F.lit(0)))
+    times = F.expr("copies div places").cast("int") + F.when(number <= F.col("copies") % F.col("places"), 1).otherwise(0)
+    return laid_out(taken.withColumn("times", times).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_of
+from .common import cut, enclosed, small_batches, text_of
 from .components import components
 from .simhash import SEED, fingerprint, links, shingle_hashes
 
@@ -132,7 +132,7 @@ def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, sha binary, node long, fp long, size long, wide binary, bits array<long>, least array<long>, first array<long>")
 
 
-def digest(text: str) -> Column:
+def digest(text: str | Column) -> Column:
     return F.unhex(F.sha2(text_of(text).cast("string").cast("binary"), 256))
 
 
@@ -282,5 +282,6 @@ def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     member = rows.join(found, F.col("node") == F.col("of"), "left").select(F.coalesce("component", "node").alias("component"), F.struct("doc_id", "sha").alias("row"))
     member = cut(member)
     kept = member.groupBy(F.col("component").alias("group")).agg(F.min("row").alias("kept"))
-    gone = member.join(kept, F.col("component") == F.col("group")).where("row <> kept").select(F.col("row.doc_id").alias("__gone"), F.col("row.sha").alias("__sha")).distinct()
-    return docs.join(gone, (docs[doc_id] == gone["__gone"]) & (digest(text) == gone["__sha"]), "left_anti")
+    gone = member.join(kept, F.col("component") == F.col("group")).where("row <> kept").select(F.col("row.doc_id").alias("gone"), F.col("row.sha").alias("sha")).distinct()
+    rows, column, laid_out = enclosed(docs)
+    return laid_out(rows.join(gone, (column(doc_id) == F.col("gone")) & (digest(column(text)) == F.col("sha")), "left_anti"))

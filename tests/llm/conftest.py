@@ -52,7 +52,7 @@ def rows():
 def docs(spark, rows):
     """The cases, with columns whose names operators might use for themselves."""
     plain = spark.createDataFrame(rows, SCHEMA)
-    clashing = ("h", "body", "sha", "fp", "rep", "size", "bucket", "b", "tail", "key", "keep_id", "kept", "shard", "slot", "score", "lang_pred", "tokens", "batch", "taken", "component", "id", "place", "replaced", "grams", "ids", "owner", "held", "k", "m", "n", "v", "x")
+    clashing = ("h", "body", "sha", "fp", "rep", "size", "bucket", "b", "tail", "key", "keep_id", "kept", "shard", "slot", "score", "lang_pred", "tokens", "batch", "taken", "component", "id", "place", "replaced", "grams", "ids", "owner", "held", "k", "m", "n", "v", "x", "row", "keep", "first", "gone", "copies", "places", "times", "of_hash", "c0", "c1", "__row", "__first", "__hash", "__times", "__copies", "__of", "__text", "a.b", "x`y", "two words")
     from pyspark.sql import functions as F
 
     return plain.repartition(3).withColumns({c: F.lit(7) for c in clashing})
