@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
+BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -14,7 +15,8 @@ def _col(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case runs of letters and digits, in order; null stays null."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
+    # what splitting leaves are the words that matching would find, at a fraction of the cost; the ends can be empty
+    return F.array_remove(F.split(F.lower(_col(text)), BETWEEN), "")
 
 
 def identifier_tokens(name: Column | str) -> Column:

@@ -128,7 +128,10 @@ class Registry:
     def bind(self, name: str, location: str, format: str, subject: str, version: int | None = None) -> None:
         """Says that a physical table has a registered schema; of bindings of one name the last holds."""
         if version is None:
-            version = self.latest().where(F.col("subject") == subject).select("version").first()["version"]
+            live = self.latest().where(F.col("subject") == subject).select("version").first()
+            if live is None:
+                raise KeyError(f"{subject} has no live version")
+            version = live["version"]
         self.schema(subject, version)
         self._append("datasets", [(name, location, format, subject, version, datetime.now(UTC))], DATASETS)
 

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 FIELD_COLUMNS = "subject string, version int, ordinal int, path string, parent_path string, name string, type string, nullable boolean, comment string"
 MODES = ("NONE", "BACKWARD", "FORWARD", "FULL")
 
-#: Widening steps that keep every value: from a type to those it can be read as.
-NUMERIC = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+#: Widening steps that keep every value: whole numbers, fractions, and the whole numbers that a fraction's digits hold.
+NUMERIC = ["tinyint", "smallint", "int", "bigint"]
+EXACT = [("tinyint", "float"), ("smallint", "float"), ("tinyint", "double"), ("smallint", "double"), ("int", "double"), ("float", "double")]
 #: Decimal digits that hold every value of an integral type.
 DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 20}
 
@@ -92,6 +93,7 @@ def readable_as(written: Column, read: Column) -> Column:
         (written == read)
         | (written == "void")
         | (place(written) > 0) & (place(read) > place(written))
+        | F.struct(written, read).isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in EXACT])
         | (precision(read, 1) - precision(read, 2) >= digits)
         | (precision(written, 1) - precision(written, 2) <= precision(read, 1) - precision(read, 2)) & (precision(written, 2) <= precision(read, 2))
         | (written == "date") & read.isin("timestamp", "timestamp_ntz")

@@ -58,6 +58,18 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def term_stats(docs: DataFrame, id: str, text: str, corpus: str = "default", field: str | None = None, buckets: int = 256, tokenizer=tokens) -> DataFrame:
+    """corpus, field, bucket, term, df, cf: the dictionary of a table's terms, counted without rows by term and document.
+
+    In a sorted text a term is new where it differs from the one before.
+    """
+    # the outer form, because for the other one the optimizer tokenizes a second time, to see if there is a token
+    rows = docs.select(F.sort_array(tokenizer(F.col(text))).alias("words")).select("words", F.posexplode_outer("words").alias("at", "term"))
+    new = (F.col("at") == 0) | (F.get("words", F.col("at") - 1) != F.col("term"))
+    counts = rows.select("term", new.cast("long").alias("new")).where("term is not null").groupBy("term").agg(F.sum("new").alias("df"), F.count(F.lit(1)).alias("cf"))
+    return counts.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), bucket_of(F.col("term"), buckets).alias("bucket"), "term", "df", "cf")
+
+
 def dictionary(rows: DataFrame) -> DataFrame:
     """corpus, field, bucket, term, df, cf of :func:`term_rows`."""
     return rows.groupBy("corpus", "field", "bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -82,8 +94,14 @@ SCORES = {"bm25": bm25, "tfidf": tf_idf}
 
 #: Columns of the stored tables; ``id_type`` is the type of the documents' ids.
 TERM_ROWS = "term string, doc_id {id_type}, tf int, dl int, positions array<int>, bucket int"
+DOCS = "doc_id {id_type}, dl long"
 DICTIONARY = "term string, df long, cf long, bucket int"
-FIGURES = "corpus string, field string, part string, id_type string, n_docs long, n_tokens long, avg_dl double, stored_at timestamp"
+FIGURES = "corpus string, field string, part string, id_type string, n_docs long, n_tokens long, avg_dl double, stored_at timestamp, segments array<string>"
+#: Segments on top of a field's first part before they are put into one.
+TIER = 8
+
+
+SEGMENT = ("term", "doc_id", "tf", "dl", "positions", "bucket")
 
 
 def _named(rows: DataFrame, corpus: str, field: str) -> DataFrame:
@@ -91,7 +109,12 @@ def _named(rows: DataFrame, corpus: str, field: str) -> DataFrame:
 
 
 class Index:
-    """A stored index; :meth:`add` writes a corpus, the searches read it. One writer at a time."""
+    """A stored index; :meth:`add` writes a corpus, the searches read it. One writer at a time.
+
+    A field of a corpus is a first part and the segments that :meth:`update` and :meth:`delete` put on top of it, none of which is ever
+    rewritten. A segment lists the documents that it replaces or deletes; what older parts hold of them is passed over by every search. After
+    ``TIER`` segments the next one takes them all in; :meth:`merge` makes one part of everything.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 256) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
@@ -104,24 +127,98 @@ class Index:
         for field in text_cols:
             if not replace and self.knows(corpus, field):
                 raise ValueError(f"{corpus}.{field} is in the index already")
-            self.store(term_rows(docs, id, field, corpus, field, self.buckets, tokenizer), corpus, field, docs.count())
+            self.store(term_rows(docs, id, field, corpus, field, self.buckets, tokenizer), corpus, field, docs.select(F.col(id).alias("doc_id")))
+
+    def update(self, docs: DataFrame, id: str, field: str, corpus: str, tokenizer=tokens) -> None:
+        """Puts documents of a table in the place of those of the same id, and adds those that are new, as a segment.
 
-    def store(self, rows: DataFrame, corpus: str, field: str, n_docs: int) -> None:
-        """Puts :func:`term_rows` of ``n_docs`` documents in the place of what the field of the corpus has held.
+        Of several rows of one id the one of greatest text counts.
+        """
+        self.figures(corpus, field)  # known, or an error
+        latest = cut(docs.groupBy(F.col(id).alias("doc_id")).agg(F.max(field).alias(field)))
+        self._segment(term_rows(latest, "doc_id", field, corpus, field, self.buckets, tokenizer), latest.select("doc_id"), corpus, field, gone=False)
+
+    def delete(self, ids: DataFrame, corpus: str, field: str) -> None:
+        """Deletes the documents of a table of ids (its first column), as a segment that holds nothing else."""
+        ids = cut(ids.select(F.col(f"`{ids.columns[0]}`").alias("doc_id")).distinct())
+        none = self.rows(corpus, field).limit(0)
+        self._segment(none, ids, corpus, field, gone=True)
+
+    def merge(self, corpus: str, field: str) -> None:
+        """Makes one part of a field's parts, of what they hold now."""
+        self.store(self.rows(corpus, field), corpus, field, self._docs(corpus, field).select("doc_id"))
+
+    def _segment(self, rows: DataFrame, ids: DataFrame, corpus: str, field: str, gone: bool) -> None:
+        before = self.figures(corpus, field)
+        part, segments = uuid.uuid4().hex, list(before["segments"] or [])
+        replaced = self._docs(corpus, field).join(ids, "doc_id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        if len(segments) >= TIER:
+            # older segments go into this one: what they hold and is not replaced again, and all documents that they replace
+            older = [self._part(p, corpus, field, before) for p in segments]
+            held, listed = self._live(older)
+            rows = rows.select(*SEGMENT).unionByName(held.join(ids, "doc_id", "left_anti").select(*SEGMENT))
+            listed = listed.join(ids, "doc_id", "left_anti")
+        else:
+            listed = None
+        self._write(rows.select(*SEGMENT), part)
+        own = self.spark.read.schema(TERM_ROWS.format(id_type=before["id_type"])).parquet(f"{self.path}/terms/{part}")
+        docs = ids.join(own.groupBy("doc_id").agg(F.max("dl").cast("long").alias("length")), "doc_id", "left").select("doc_id", F.lit(None).cast("long").alias("dl") if gone else F.coalesce("length", F.lit(0).cast("long")).alias("dl"))
+        self._write_docs(docs if listed is None else docs.unionByName(listed), part)
+        new = self._read_docs(part, before["id_type"]).join(ids, "doc_id", "left_semi").where("dl is not null").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        n_docs, n_tokens = before["n_docs"] - replaced[0] + new[0], before["n_tokens"] - replaced[1] + new[1]
+        self._state(corpus, field, before["part"], before["id_type"], n_docs, n_tokens, [part] if listed is not None else [*segments, part])
+
+    def _write(self, rows: DataFrame, part: str) -> None:
+        # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/terms/{part}")
+
+    def _write_docs(self, docs: DataFrame, part: str) -> None:
+        docs.select("doc_id", "dl").write.parquet(f"{self.path}/docs/{part}")
+
+    def _read_docs(self, part: str, id_type: str) -> DataFrame:
+        return self.spark.read.schema(DOCS.format(id_type=id_type)).parquet(f"{self.path}/docs/{part}")
+
+    def _state(self, corpus: str, field: str, part: str, id_type: str, n_docs: int, n_tokens: int, segments: list[str]) -> None:
+        figures = [(corpus, field, part, id_type, n_docs, n_tokens, n_tokens / n_docs if n_docs else 0.0, datetime.now(UTC), segments)]
+        self.spark.createDataFrame(figures, FIGURES).coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
+
+    def _part(self, part: str, corpus: str, field: str, figures: Row) -> tuple[DataFrame, DataFrame]:
+        """Term rows and documents of a part, as they were written."""
+        rows = self.spark.read.schema(TERM_ROWS.format(id_type=figures["id_type"])).parquet(f"{self.path}/terms/{part}")
+        return rows, self._read_docs(part, figures["id_type"])
+
+    @staticmethod
+    def _live(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+        """What parts, the oldest first, hold together: each without the documents that a later one lists."""
+        rows, docs = parts[0]
+        for later_rows, later_docs in parts[1:]:
+            ids = later_docs.select("doc_id")
+            rows = rows.join(ids, "doc_id", "left_anti").unionByName(later_rows)
+            docs = docs.join(ids, "doc_id", "left_anti").unionByName(later_docs)
+        return rows, docs
+
+    def _docs(self, corpus: str, field: str) -> DataFrame:
+        """doc_id, dl of the documents that a field holds."""
+        f = self.figures(corpus, field)
+        return self._live([self._part(p, corpus, field, f) for p in (f["part"], *(f["segments"] or []))])[1].where("dl is not null")
+
+    def store(self, rows: DataFrame, corpus: str, field: str, ids: DataFrame) -> None:
+        """Puts :func:`term_rows` of documents (doc_id) in the place of what the field of the corpus has held.
 
         They get folders of their own, and the row of figures that names these is written last: until then, or if that fails, searches
         find the earlier state. :meth:`vacuum` deletes what is not named any more.
         """
         part = uuid.uuid4().hex
         terms, known = f"{self.path}/terms/{part}", f"{self.path}/dictionary/{part}"
-        # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
-        rows.drop("corpus", "field").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(terms)
+        self._write(rows.select(*SEGMENT), part)
         id_type = rows.schema["doc_id"].dataType.simpleString()
         written = self.spark.read.schema(TERM_ROWS.format(id_type=id_type)).parquet(terms)
         dictionary(_named(written, corpus, field)).drop("corpus", "field").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(known)
-        n_tokens = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        figures = [(corpus, field, part, id_type, n_docs, n_tokens, n_tokens / n_docs if n_docs else 0.0, datetime.now(UTC))]
-        self.spark.createDataFrame(figures, FIGURES).coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
+        lengths = written.groupBy("doc_id").agg(F.max("dl").cast("long").alias("dl")).withColumnRenamed("doc_id", "of")
+        self._write_docs(ids.join(lengths, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl")), part)
+        # rows that repeat an id count as often as they come, their tokens too
+        n_docs, n_tokens = self._read_docs(part, id_type).count(), written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        self._state(corpus, field, part, id_type, n_docs, n_tokens, [])
 
     def knows(self, corpus: str, field: str) -> bool:
         return not self._figures().where((F.col("corpus") == corpus) & (F.col("field") == field)).isEmpty()
@@ -142,8 +239,8 @@ class Index:
 
     def vacuum(self) -> None:
         """Deletes what replaced or failed additions have left. No addition or search may run meanwhile."""
-        live = {r["part"] for r in self._figures().select("part").collect()}
-        for table in ("terms", "dictionary"):
+        live = {p for r in self._figures().select("part", "segments").collect() for p in (r["part"], *(r["segments"] or []))}
+        for table in ("terms", "dictionary", "docs"):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in files.listStatus(path) if files.exists(path) else []:
@@ -156,14 +253,19 @@ class Index:
 
     def rows(self, corpus: str, field: str, terms: Sequence[str] | None = None) -> DataFrame:
         """Rows of some terms, or of all; only the folders of the terms' buckets are read."""
-        rows = self._read("terms", TERM_ROWS, corpus, field)
-        return rows if terms is None else rows.where(self._buckets(terms) & F.col("term").isin(*terms))
+        figures = self.figures(corpus, field)
+        asked = (lambda rows: rows) if terms is None else (lambda rows, b=self._buckets(terms): rows.where(b & F.col("term").isin(*terms)))
+        parts = [self._part(p, corpus, field, figures) for p in (figures["part"], *(figures["segments"] or []))]
+        return _named(self._live([(asked(rows), docs) for rows, docs in parts])[0], corpus, field)
 
     def _buckets(self, terms: Sequence[str]) -> Column:
         numbers = self.spark.range(1).select(*[bucket_of(F.lit(t), self.buckets) for t in terms]).first()
         return F.col("bucket").isin(*sorted(set(numbers)))
 
     def dictionary(self, corpus: str, field: str) -> DataFrame:
+        """term, df, cf, bucket of what a field holds; counted anew where segments have changed it."""
+        if self.figures(corpus, field)["segments"]:
+            return dictionary(self.rows(corpus, field))
         return self._read("dictionary", DICTIONARY, corpus, field)
 
     def search(self, corpus: str, field: str, any: Sequence[str] = (), all: Sequence[str] = (), none: Sequence[str] = (), k: int | None = 10, score: str = "bm25", where: DataFrame | None = None) -> DataFrame:
@@ -176,8 +278,11 @@ class Index:
         if not wanted:
             raise ValueError("a search needs a term in any or all")
         stats = self.figures(corpus, field)
-        known = self.dictionary(corpus, field).where(self._buckets(wanted) & F.col("term").isin(*wanted)).select("term", "df")
         rows = self.rows(corpus, field, wanted).select("term", "doc_id", "tf", "dl")
+        if stats["segments"]:
+            known = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        else:
+            known = self.dictionary(corpus, field).where(self._buckets(wanted) & F.col("term").isin(*wanted)).select("term", "df")
         if where is not None:
             rows = rows.join(where.select("doc_id"), "doc_id", "left_semi")
         # one row per query term

@@ -562,7 +562,7 @@ def f2_term_rows(spark, sf_dir):
 
 @query("f3_term_stats", f"WITH {_TOKENS_SQL} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term")
 def f3_term_stats(spark, sf_dir):
-    return Q.dictionary(Q.term_rows(_docs(spark, sf_dir), "doc_id", "text")).select("term", "df", "cf")
+    return Q.term_stats(_docs(spark, sf_dir), "doc_id", "text").select("term", "df", "cf")
 
 
 @query("f3_corpus_stats", f"WITH {_WORDS_SQL} SELECT count(*) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_tokens, round(sum(len(words)) / count(*), 6) AS avg_dl FROM w")
@@ -635,7 +635,7 @@ def f8_phrase(spark, sf_dir):
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.dictionary(Q.term_rows(_docs(spark, sf_dir), "doc_id", "text"))
+    return Q.term_stats(_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query("f9_wildcard", f"WITH {_TOKENS_SQL} SELECT term, count(DISTINCT doc_id) AS df FROM tok WHERE term LIKE 'th%ing' OR term LIKE 'th_n' GROUP BY term")
@@ -757,6 +757,23 @@ def f19_stream_search(spark, sf_dir):
     return index.search("documents", "text", any=TERMS, k=20)
 
 
+_UPDATED_SQL = r"""up AS (SELECT d.doc_id, lang, source, CASE WHEN l.toxic = 1 THEN 'the les ' || left(text, 200) ELSE text END AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR l.quality = 1 OR l.toxic = 1
+        UNION ALL SELECT -1 - item_id, NULL, NULL, text FROM benchmark), w AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM up)"""
+
+
+@query("f19_updates", f"WITH {_scores_sql('bm25', _UPDATED_SQL)} SELECT doc_id, round(score, 4) AS score FROM scored")
+def f19_updates(spark, sf_dir):
+    """A batch index after three rounds: documents of poor quality deleted, toxic ones put back cut short, benchmark items added."""
+    index, docs = _stored_index(spark, sf_dir), _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    index.delete(labels.where("quality = 0").select("doc_id"), "documents", "text")
+    toxic = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    index.update(toxic.select("doc_id", F.concat(F.lit("the les "), F.substring("text", 1, 200)).alias("text")), "doc_id", "text", "documents")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    index.update(items.select((-1 - F.col("item_id")).alias("doc_id"), "text"), "doc_id", "text", "documents")
+    return index.search("documents", "text", any=TERMS, k=None)
+
+
 @query("f20_search_catalog", f"WITH {_FIELDS_SQL} SELECT subject, path FROM fields WHERE list_has_any(regexp_extract_all(lower(name), '[a-z0-9]+'), ['comment', 'text', 'name'])")
 def f20_search_catalog(spark, sf_dir):
     """Fields whose names hold a word: the catalog searched like any text."""

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from terrane.functions.text import tokens
 from terrane.operators.search import Index, bucket_of, term_rows
@@ -29,14 +28,20 @@ def index_stream(docs: DataFrame, id: str, text: str, path: str, checkpoint: str
         blank = latest.select(F.lit(corpus).alias("corpus"), F.lit(text).alias("field"), F.lit(0).alias("bucket"), F.lit(None).cast("string").alias("term"), F.col(id).alias("doc_id"), F.lit(0).alias("tf"), F.lit(0).alias("dl"), F.array().cast("array<int>").alias("positions"))
         rows.unionByName(blank).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    spark = docs.sparkSession
+    files = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    there = lambda p: files(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(files(p))
+    if there(path) and not there(checkpoint):
+        raise ValueError(f"{path} holds batches of another checkpoint, which a new one would overwrite from the first on")
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark, path: str) -> DataFrame:
     """The term rows of each document's latest batch."""
     rows = spark.read.parquet(path)
-    last = F.max("batch").over(Window.partitionBy("doc_id"))
-    return rows.withColumn("__last", last).where((F.col("batch") == F.col("__last")) & F.col("term").isNotNull()).drop("batch", "__last")
+    # a row a document decides, so positions are not dealt by document
+    last = rows.select("doc_id", "batch").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.where("term is not null").join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
 def publish(spark, path: str, index: Index, corpus: str, field: str) -> None:
@@ -45,5 +50,4 @@ def publish(spark, path: str, index: Index, corpus: str, field: str) -> None:
     Batches are merged once here, not by each search.
     """
     rows = current(spark, path).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
-    n_docs = spark.read.parquet(path).select("doc_id").distinct().count()
-    index.store(rows.select("bucket", "term", "doc_id", "tf", "dl", "positions"), corpus, field, n_docs)
+    index.store(rows, corpus, field, spark.read.parquet(path).select("doc_id").distinct())
