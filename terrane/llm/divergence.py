@@ -110,16 +110,18 @@ def _pairs(words: DataFrame, groups: DataFrame, shared: DataFrame, shares: int)
     more = lambda x, y: f"{_f(x, y)} - {_f(x, f'zero_{y}')} - {_f(f'zero_{x}', y)} + {_f(f'zero_{x}', f'zero_{y}')}"
     both = a.join(b, ["hash", "lang", "term"]).where("id_a < id_b").groupBy(F.col("id_a").alias("id"), F.col("id_b").alias("other"))
     both = both.agg(F.sum(F.expr(more("a", "b"))).alias("out"), F.sum(F.expr(more("b", "a"))).alias("back"))
-    parts = alone.unionByName(both)
-    parts = parts.select("id", "other", F.col("out").alias("value")).unionByName(parts.select(F.col("other").alias("id"), F.col("id").alias("other"), F.col("back").alias("value")))
-    sums = parts.groupBy("id", "other").agg(F.sum("value").alias("value"))
+    # one generator, so that the sums are not made once for each way
+    ways = F.array(F.struct("id", "other", F.col("out").alias("value")), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), F.col("back").alias("value")))
+    sums = alone.unionByName(both).select(F.inline(ways)).groupBy("id", "other").agg(F.sum("value").alias("value"))
     named = _named(sums, groups, "id", "source").join(groups.select(F.col("id").alias("other"), F.col("source").alias("item")), "other")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return named.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
 
 def _terms(words: DataFrame, groups: DataFrame, top_terms: int) -> DataFrame:
-    values = words.where("p > q").select("id", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"))
-    order = Window.partitionBy("id").orderBy(F.desc("value"), "item")
-    ranked = values.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_terms)
+    values = words.where("p > q").select("id", F.col("term").alias("item"), F.expr(_f("p", "q")).alias("value"), F.pmod("hash", F.lit(16)).alias("part"))
+    # the first of each part of a group, then the first of those: no task ranks what all tasks send of one group
+    order = [F.desc("value"), F.col("item")]
+    first = lambda rows, *of: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("rank") <= top_terms)
+    ranked = first(first(values, "id", "part").drop("rank"), "id").drop("part")
     return _named(ranked, groups, "id", "source").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
