@@ -51,12 +51,15 @@ def base32(sha1_hex: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), digits, BASE32)
 
 
-def decided(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, payload, sha256, keep: the page that keeps the payload, null where the page does so itself."""
+def decided(pages: DataFrame, space: Workspace, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url, payload, sha256, keep: the page that keeps the payload, null where the page does so itself.
+
+    Payloads that occur more than once are stored first, by their hashes, so that Spark knows how many they are before it deals out all pages.
+    """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("payload"))
     rows = rows.withColumn("sha256", F.sha2(F.col("payload").cast("binary"), 256))
     shared = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha256").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("pages"))
-    shared = shared.where("pages > 1").select(F.col("sha256").alias("of"), "largest")
+    shared = space.write(shared.where("pages > 1").select(F.col("sha256").alias("of"), "largest"), "shared")
     rows = rows.join(shared, F.col("sha256") == F.col("of"), "left")
     own = F.col("largest").eqNullSafe(F.col("page_id"))
     return rows.select("page_id", "url", "payload", "sha256", F.when(~own, F.col("largest")).alias("keep"))
@@ -95,7 +98,11 @@ def records(rows: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, **columns: str) -> None:
     """Files of records, each one gzip stream. Records end as the format wants it because that is the end of a line here."""
-    records(decided(pages, min_bytes, **columns)).write.option("lineSep", GAP).option("compression", "gzip").text(path)
+    space = Workspace(pages.sparkSession)
+    try:
+        records(decided(pages, space, min_bytes, **columns)).write.option("lineSep", GAP).option("compression", "gzip").text(path)
+    finally:
+        space.drop()
 
 
 def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
