@@ -537,6 +537,30 @@ def i5_what_if(spark, sf_dir):
     return a.union(b)
 
 
+@query(
+    "i5_what_if_through_queries",
+    """SELECT * FROM (VALUES ('segments', 'drop', 'BREAKS'), ('best', 'drop', 'BREAKS'), ('spent', 'drop', 'BREAKS'), ('n_customers', 'drop', 'BREAKS'), ('statuses', 'drop', 'UNAFFECTED'),
+        ('segments', 'decimal', 'CHANGES_TYPE'), ('best', 'decimal', 'CHANGES_TYPE'), ('spent', 'decimal', 'CHANGES_TYPE'), ('n_customers', 'decimal', 'UNAFFECTED'), ('statuses', 'decimal', 'UNAFFECTED')) AS t(query, change, verdict)""",
+)
+def i5_what_if_through_queries(spark, sf_dir):
+    """A column of orders dropped or retyped, and queries that read queries that read orders."""
+    schemas = {t: IO.infer(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")}
+    texts = {
+        "best": "SELECT max(revenue) AS most FROM segments",
+        "segments": "SELECT c_mktsegment, sum(total) AS revenue FROM spent JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+        "spent": "SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey",
+        "n_customers": "SELECT count(*) AS n FROM spent",
+        "statuses": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    }
+    fields = schemas["orders"].fields
+    changes = {
+        "drop": T.StructType([f for f in fields if f.name != "o_totalprice"]),
+        "decimal": T.StructType([T.StructField(f.name, T.DecimalType(12, 2) if f.name == "o_totalprice" else f.dataType) for f in fields]),
+    }
+    a, b = (L.what_if(spark, schemas, texts, "orders", new).select("query", F.lit(name).alias("change"), "verdict") for name, new in changes.items())
+    return a.union(b)
+
+
 # F: full-text search
 
 _WORDS_SQL = r"w AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM documents)"
