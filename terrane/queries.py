@@ -731,13 +731,14 @@ def f17_suggest(spark, sf_dir):
 
 @query(
     "f18_cjk_bigrams",
-    r"""WITH t(id, text) AS (VALUES (1, '元数据目录与检索服务'), (2, 'Schema 注册'), (3, '索'), (4, ''), (5, '全文 检索')),
-        s AS (SELECT id, regexp_replace(lower(text), '\s+', '', 'g') AS s FROM t)
-        SELECT id, substr(s, i, 2) AS gram FROM (SELECT id, s, unnest(range(1, greatest(len(s), 2))) AS i FROM s WHERE len(s) > 0)""",
+    r"""WITH s AS (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS s FROM documents),
+        g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(s), 2)), lambda i: substr(s, i, 2))) AS gram FROM s WHERE len(s) > 0)
+        SELECT gram, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM g GROUP BY gram""",
 )
 def f18_cjk_bigrams(spark, sf_dir):
-    rows = [(1, "元数据目录与检索服务"), (2, "Schema 注册"), (3, "索"), (4, ""), (5, "全文 检索")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", F.explode(X.bigrams("text")).alias("gram"))
+    """Pairs of characters of all documents, and how many documents have each."""
+    grams = _docs(spark, sf_dir).select("doc_id", F.explode_outer(X.bigrams("text")).alias("gram")).where("gram is not null")
+    return grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 @query(
