@@ -25,6 +25,8 @@ from .barriers import cut
 
 #: A sketch's bounds are so many standard errors wide: what is outside of them is so by one chance in a billion.
 ERRORS = 6.0
+#: Rounds from node to node before ways are followed by doubling, which long chains and rings need.
+PLAIN = 8
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -45,28 +47,38 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _coloured(edges: DataFrame) -> DataFrame:
-    """node, colour: the greatest node from which each is reached, itself included."""
-    colours = changed = cut(_nodes(edges).withColumn("colour", F.col("node")))
+def _leapt(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """node, value: the greatest value on one of the ways that lead to each node, followed twice as far each time."""
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.max("src").alias("via"))
+    rows = cut(held.join(into, "node", "left").select("node", "value", F.coalesce("via", "node").alias("via")))
+    for _ in range(max(1, rows.count()).bit_length()):
+        far = rows.select(F.col("node").alias("via"), F.col("value").alias("more"), F.col("via").alias("next"))
+        rows = cut(rows.join(far, "via").select("node", F.greatest("value", "more").alias("value"), F.col("next").alias("via")))
+    return rows.select("node", "value")
+
+
+def _greatest(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node, value: the greatest value (node, value) of the nodes that reach each, its own included."""
+    held, rounds = cut(start), 0
+    changed = held
     while True:
-        sent = changed.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.max("colour").alias("sent"))
-        step = cut(colours.join(sent, F.col("node") == F.col("to"), "left").select("node", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") > F.col("colour")).alias("new")))
-        colours, changed = step.select("node", "colour"), step.where("new").select("node", "colour")
+        sent = changed.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.max("value").alias("sent"))
+        step = cut(held.join(sent, F.col("node") == F.col("to"), "left").select("node", F.greatest("value", F.coalesce("sent", "value")).alias("value"), (F.col("sent") > F.col("value")).alias("new")))
+        held, changed, rounds = step.select("node", "value"), step.where("new").select("node", "value"), rounds + 1
         if changed.isEmpty():
-            return colours
+            return held
+        if rounds == PLAIN:
+            held = changed = _leapt(edges, held)
 
 
-def _components_of(edges: DataFrame, colours: DataFrame) -> DataFrame:
-    """node, colour of the nodes that reach the node that their colour is named after, inside the colour."""
+def _components_of(edges: DataFrame) -> DataFrame:
+    """node, colour: the nodes that the greatest node that reaches them is reached from, and that node."""
+    colours = _greatest(edges, _nodes(edges).withColumn("value", F.col("node"))).withColumnRenamed("value", "colour")
     of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
-    inside = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"))
-    found = front = cut(colours.where("node = colour"))
-    while True:
-        back = front.join(inside, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "colour").distinct()
-        front = cut(back.join(found.select("node"), "node", "left_anti"))
-        if front.isEmpty():
-            return found
-        found = cut(found.unionByName(front))
+    inside = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # back from each colour's own node, inside the colour
+    back = _greatest(inside, colours.select("node", (F.col("node") == F.col("colour")).cast("int").alias("value"))).where("value = 1")
+    return back.join(colours, "node").select("node", "colour")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -77,7 +89,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     every = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     left, found = trimmed(every.where("src <> dst")), []
     while not left.isEmpty():
-        part = cut(_components_of(left, _coloured(left)))
+        part = cut(_components_of(left))
         found.append(part)
         gone = part.select("node")
         rest = left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
@@ -110,8 +122,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     every = cut(edges.select("src", "dst").distinct())
     on = cut(strong_components(every).where("cyclic").select("node", "component"))
     of = lambda end: on.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-    inside = cut(every.join(of("src"), "src").join(of("dst"), "dst").where("src_in = dst_in").select("src", "dst"))
-    front, seen, closed, length = on.select(F.col("node").alias("seed"), "node"), [], [], 0
+    inside = cut(every.join(of("src"), "src").join(of("dst"), "dst").where("src_in = dst_in").select("src", "dst", F.col("src_in").alias("component")))
+    # as many edges as nodes: one ring, whose length is their number
+    edges_in, nodes_in = (df.groupBy("component").agg(F.count(F.lit(1)).alias(n)) for df, n in ((inside, "edges"), (on, "nodes")))
+    rings = cut(edges_in.join(nodes_in, "component").where("edges = nodes").select("component", F.col("nodes").cast("int").alias("length")))
+    inside = cut(inside.join(rings, "component", "left_anti").select("src", "dst"))
+    closed = [on.join(rings, "component").select("node", "length")]
+    front, seen, length = on.join(rings, "component", "left_anti").select(F.col("node").alias("seed"), "node"), [], 0
     while True:
         length += 1
         step = front.join(inside, front["node"] == inside["src"]).select("seed", F.col("dst").alias("node")).distinct()
