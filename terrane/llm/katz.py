@@ -11,10 +11,11 @@ numbers back; then the same with distinct word pairs, which are owned by context
 model's tables and answer. An answer on a context is all that its backoff weight needs: how many
 successors were seen once, twice, ... and the unigram mass they hold. A context with more than a set share of all
 tokens is dealt over several owners by successor; such contexts are of bounded number, and their sums meet at the driver.
-A very common word or pair is asked for by every batch. Where batches are many, their questions to an owner meet in parts first, and the
-parts' answers are handed back to the batches, so that no group holds more than about the square root of the batches.
+The exchange is the same at every size. A very common word or pair is asked for by every batch, so that its owner gets a row from each: an
+owner reads its rows as a stream and keeps plain numbers of them, some 32 bytes for a row of one word, and writes its answers as a stream.
 
-A kept model scores further tables (:func:`scores_from`): its tables take part in the same exchange as one more sender to each owner.
+A kept model scores further tables (:func:`scores_from`): its tables take part in the same exchange as one more sender to each owner. As
+owners are as many as the model needs, the batches of a larger table are dealt over shares of an owner, each of which gets the owner's tables.
 
 What is passed on are written tables in the shared folder, so a lost executor costs its tasks and nothing else.
 
@@ -27,8 +28,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,8 @@ BATCH = 1_500_000
 OWNED = 3_000_000
 #: A context with over 1/HOT of all tokens has several owners.
 HOT = 512
-#: Rows that a group may hold, the square root of the batches where that is more.
-FAN_IN = 1024
+#: Bytes of answers in a frame, about.
+FRAME = 8 << 20
 #: The sender, in place of a batch, of a kept model's tables.
 MODEL = -1
 
@@ -189,11 +189,37 @@ def batches_of(docs: DataFrame, modulus: int | None, text: str, doc_id: str) ->
 ANSWERS = "kind int, batch long, owner int, a binary, b binary, c binary, d binary, e binary, f binary, stats array<long>"
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
+def _frames(rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of about FRAME bytes."""
     names = [x.split()[0] for x in ANSWERS.split(", ")]
-    frame = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
-    frame["batch"] = frame["batch"].astype("Int64")
-    return frame
+
+    def frame(held: list[list]) -> pd.DataFrame:
+        made = pd.DataFrame(held, columns=names)
+        made["batch"] = made["batch"].astype("Int64")
+        return made
+
+    held, size = [], 0
+    for r in rows:
+        held.append([r.get(n) for n in names])
+        size += 100 + sum(len(x) for x in held[-1] if isinstance(x, bytes))
+        if size >= FRAME:
+            yield frame(held)
+            held, size = [], 0
+    if held:
+        yield frame(held)
+
+
+def _packed(chunks: Iterable[pd.DataFrame], unpack: dict[str, Callable[[bytes], np.ndarray]]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The rows of a group as numbers: ``batch``, and of each field the values of all rows, one after the other; and the fields' lengths in each row."""
+    values: dict[str, list[np.ndarray]] = {n: [] for n in ("batch", *unpack)}
+    sizes: dict[str, list[np.ndarray]] = {n: [] for n in unpack}
+    for rows in chunks:
+        values["batch"].append(rows["batch"].to_numpy(np.int64))
+        for name, read in unpack.items():
+            arrays = [read(x) for x in rows[name]]
+            sizes[name].append(np.fromiter(map(len, arrays), np.int64, len(arrays)))
+            values[name].append(np.concatenate(arrays))
+    return {n: np.concatenate(x) for n, x in values.items()}, {n: np.concatenate(x) for n, x in sizes.items()}
 
 
 class Words:
@@ -201,37 +227,30 @@ class Words:
 
     FIELDS = "words binary, counts binary"
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values("batch")
-        self.owner, self.senders = int(rows["owner"].iloc[0]), rows["batch"].tolist()
-        words = [np.frombuffer(x, "<u8") for x in rows["words"]]
-        self.sizes = list(map(len, words))
-        self.keys, self.at = np.unique(np.concatenate(words), return_inverse=True)
-        self.counts = np.bincount(self.at, np.concatenate([unsqueeze(x) for x in rows["counts"]]), len(self.keys)).astype(np.int64)
-
-    def merged(self) -> dict:
-        """All that is asked, as one sender would ask it."""
-        return {"words": self.keys.tobytes(), "counts": squeeze(self.counts)}
+    def __init__(self, owner: int, chunks: Iterable[pd.DataFrame]) -> None:
+        got, sizes = _packed(chunks, {"words": lambda b: np.frombuffer(b, "<u8"), "counts": unsqueeze})
+        self.owner, self.senders, self.sizes = owner, got["batch"], sizes["words"]
+        self.keys, self.at = np.unique(got["words"], return_inverse=True)
+        self.counts = np.bincount(self.at, got["counts"], len(self.keys)).astype(np.int64)
 
     def _answer(self, ranks: np.ndarray, counts: np.ndarray) -> Iterator[dict]:
         start = 0
         for sender, size in zip(self.senders, self.sizes, strict=True):
             mine, start = self.at[start : start + size], start + size
             if sender != MODEL:
-                yield {"kind": 0, "batch": sender, "owner": self.owner, "a": squeeze(ranks[mine]), "b": squeeze(counts[mine])}
+                yield {"kind": 0, "batch": int(sender), "owner": self.owner, "a": squeeze(ranks[mine]), "b": squeeze(counts[mine])}
 
-    def relay(self, given: pd.Series) -> list[dict]:
-        """The senders' answers from the one to :meth:`merged`."""
-        return list(self._answer(unsqueeze(given["a"]), unsqueeze(given["b"])))
-
-    def own(self) -> list[dict]:
+    def own(self, tables: bool) -> Iterator[dict]:
+        """The senders' answers and, with ``tables``, the owner's part of the model."""
         order = np.argsort(-self.counts, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         seen = order[: int((self.counts > 0).sum())]
         of = np.bincount(np.minimum(self.counts[seen], K + 2), minlength=K + 3)[1 : K + 2].tolist()
         table = {"kind": 1, "owner": self.owner, "a": self.keys[seen].tobytes(), "b": squeeze(self.counts[seen]), "stats": [int(self.counts.sum()), len(seen), *of]}
-        return [*self._answer(rank, self.counts), table]
+        yield from self._answer(rank, self.counts)
+        if tables:
+            yield table
 
 
 class Pairs:
@@ -239,42 +258,33 @@ class Pairs:
 
     FIELDS = "contexts binary, hot binary, per binary, successors binary, counts binary, trained binary"
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        rows = rows.sort_values("batch")
-        self.owner, self.senders = int(rows["owner"].iloc[0]), rows["batch"].tolist()
-        of = lambda column: np.concatenate([unsqueeze(x) for x in rows[column]])
-        contexts, per = [unsqueeze(x) for x in rows["contexts"]], [unsqueeze(x).astype(np.int64) for x in rows["per"]]
-        self.sizes = [(len(c), int(p.sum())) for c, p in zip(contexts, per, strict=True)]
-        self.names, self.context_at = np.unique(np.concatenate(contexts), return_inverse=True)
+    def __init__(self, owner: int, chunks: Iterable[pd.DataFrame]) -> None:
+        got, sizes = _packed(chunks, {n.split()[0]: unsqueeze for n in self.FIELDS.split(", ")})
+        self.owner, self.senders = owner, got["batch"]
+        self.sizes = list(zip(sizes["contexts"].tolist(), sizes["successors"].tolist(), strict=True))
+        self.names, self.context_at = np.unique(got["contexts"], return_inverse=True)
         self.hot = np.zeros(len(self.names), bool)
-        self.hot[self.context_at] = of("hot").astype(bool)
-        context, word = np.repeat(self.context_at, np.concatenate(per)), of("successors")
+        # the rows of a context agree
+        self.hot[self.context_at] = got["hot"].astype(bool)
+        context, word = np.repeat(self.context_at, got["per"].astype(np.int64)), got["successors"]
         order = np.lexsort((word, context))
         new = np.ones(len(word), bool)
         new[1:] = (context[order][1:] != context[order][:-1]) | (word[order][1:] != word[order][:-1])
         self.pair_at = np.empty(len(word), np.int64)
         self.pair_at[order] = np.cumsum(new) - 1
         first = order[new]
-        self.context, self.word, self.word_count = context[first], word[first], of("counts")[first]
-        self.count = np.bincount(self.pair_at, of("trained"), len(first)).astype(np.int64)
-
-    def merged(self) -> dict:
-        """All that is asked, as one sender would ask it."""
-        per = np.bincount(self.context, minlength=len(self.names))
-        return {"contexts": squeeze(self.names), "hot": squeeze(self.hot), "per": squeeze(per), "successors": squeeze(self.word), "counts": squeeze(self.word_count), "trained": squeeze(self.count)}
+        self.context, self.word, self.word_count = context[first], word[first], got["counts"][first]
+        self.count = np.bincount(self.pair_at, got["trained"], len(first)).astype(np.int64)
 
     def _answer(self, count: np.ndarray, sums: np.ndarray, mass: np.ndarray) -> Iterator[dict]:
         c0 = p0 = 0
         for sender, (contexts, pairs) in zip(self.senders, self.sizes, strict=True):
             c, p, c0, p0 = self.context_at[c0 : c0 + contexts], self.pair_at[p0 : p0 + pairs], c0 + contexts, p0 + pairs
             if sender != MODEL:
-                yield {"kind": 0, "batch": sender, "owner": self.owner, "a": squeeze(count[p]), "b": squeeze(sums[c].reshape(-1)), "c": mass[c].tobytes()}
+                yield {"kind": 0, "batch": int(sender), "owner": self.owner, "a": squeeze(count[p]), "b": squeeze(sums[c].reshape(-1)), "c": mass[c].tobytes()}
 
-    def relay(self, given: pd.Series) -> list[dict]:
-        """The senders' answers from the one to :meth:`merged`."""
-        return list(self._answer(unsqueeze(given["a"]), unsqueeze(given["b"]).reshape(-1, K + 1), np.frombuffer(given["c"], np.float64)))
-
-    def own(self, unigrams: Unigrams, keep: bool) -> list[dict]:
+    def own(self, tables: bool, unigrams: Unigrams, keep: bool) -> Iterator[dict]:
+        """The senders' answers and, with ``tables``, the owner's part of the model and what it knows of contexts of several owners."""
         size, seen = len(self.names), self.count > 0
         sums = np.zeros((size, K + 1), np.int64)
         for r in range(1, K + 1):
@@ -285,34 +295,26 @@ class Pairs:
         table = {"kind": 1, "owner": self.owner, "a": squeeze(self.names[per > 0]), "b": squeeze(per[per > 0]), "c": squeeze(self.word[seen]), "d": squeeze(self.count[seen]), "stats": stats}
         if keep:
             table |= {"e": squeeze(self.word_count[seen]), "f": squeeze(self.hot[per > 0])}
-        out = [*self._answer(self.count, sums, mass), table]
-        if self.hot.any():
-            out.append({"kind": 2, "owner": self.owner, "a": self.names[self.hot].tobytes(), "b": squeeze(sums[self.hot].reshape(-1)), "c": mass[self.hot].tobytes()})
-        return out
+        yield from self._answer(self.count, sums, mass)
+        if tables:
+            yield table
+        if tables and self.hot.any():
+            yield {"kind": 2, "owner": self.owner, "a": self.names[self.hot].tobytes(), "b": squeeze(sums[self.hot].reshape(-1)), "c": mass[self.hot].tobytes()}
 
 
-def through_owners(space: Workspace, name: str, asked: DataFrame, parts: int, pool: type, own: Callable[..., list[dict]], model: DataFrame | None) -> DataFrame:
+def through_owners(space: Workspace, name: str, asked: DataFrame, shares: int, pool: type, own: Callable[..., Iterator[dict]], model: DataFrame | None) -> DataFrame:
     """The table of what owners answer to ``asked`` (owner, batch and the pool's fields), by kind.
 
-    With several ``parts``, batches are dealt over them; a part asks an owner once for all of its batches and hands the answer back.
+    An owner that only looks up in a ``model``'s tables may have several ``shares``, each with the tables and some of the batches; the first gives the tables back.
     """
-    met = lambda rows: _frame(own(pool(rows)))
-    with_model = lambda df: df.unionByName(model) if model is not None else df
-    if parts == 1:
-        return space.table(with_model(asked).groupBy("owner").applyInPandas(met, ANSWERS), name, "kind")
-    asked = space.write(asked.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(parts))), f"{name}_asked")
-    by_part = asked.groupBy("owner", "part")
-
-    def combine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"owner": key[0], "batch": key[1], **pool(rows).merged()}])
+    rows = asked.withColumn("share", F.pmod(F.xxhash64("batch"), F.lit(shares)).cast("int"))
+    if model is not None:
+        rows = rows.unionByName(model.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))))
 
-    def relay(key: tuple, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        return _frame(pool(rows).relay(given.iloc[0]))
+    def met(key: tuple, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(own(pool(int(key[0]), chunks), int(key[1]) == 0))
 
-    combined = by_part.applyInPandas(combine, f"owner int, batch long, {pool.FIELDS}")
-    owned = space.table(with_model(combined).groupBy("owner").applyInPandas(met, ANSWERS), f"{name}_met", "kind")
-    back = by_part.cogroup(owned.where("kind = 0").groupBy("owner", "batch")).applyInPandas(relay, ANSWERS)
-    return space.table(back.unionByName(owned.where("kind <> 0")), name, "kind")
+    return space.table(rows.groupBy("owner", "share").applyInPandas(met, ANSWERS), name, "kind")
 
 
 def words_asked(batches: DataFrame, owners: int) -> DataFrame:
@@ -457,17 +459,17 @@ def scores(batches: DataFrame, words: DataFrame, pairs: DataFrame, model: Bigram
     return rows.applyInPandas(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _exchange(space: Workspace, batches: DataFrame, owners: int, hot: int, start_count: int, parts: int, keep: str | None = None, model: str | None = None) -> DataFrame:
+def _exchange(space: Workspace, batches: DataFrame, owners: int, hot: int, start_count: int, shares: int = 1, keep: str | None = None, model: str | None = None) -> DataFrame:
     spark = batches.sparkSession
     sent = lambda name, **columns: spark.read.parquet(f"{model}/{name}").select(F.col("owner").cast("int").alias("owner"), F.lit(MODEL).cast("long").alias("batch"), *[F.col(c).alias(n) for n, c in columns.items()]) if model else None
     stats = lambda t, n: [int(x or 0) for x in t.where("kind = 1").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(n)]).first()]
-    words = through_owners(space, "words", words_asked(batches, owners), parts, Words, Words.own, sent("words", words="words", counts="counts"))
+    words = through_owners(space, "words", words_asked(batches, owners), shares, Words, Words.own, sent("words", words="words", counts="counts"))
     tokens, types, *of = stats(words, K + 3)
     unigrams = Unigrams(tokens, types, [0, *of])
     words_given = words.where("kind = 0")
     kept = sent("pairs", contexts="contexts", hot="hot", per="successors_each", successors="successors", counts="word_counts", trained="counts")
-    own = lambda pool: pool.own(unigrams, keep is not None)
-    pairs = through_owners(space, "pairs", pairs_asked(batches, words_given, owners, hot, start_count), parts, Pairs, own, kept)
+    own = lambda pool, tables: pool.own(tables, unigrams, keep is not None)
+    pairs = through_owners(space, "pairs", pairs_asked(batches, words_given, owners, hot, start_count), shares, Pairs, own, kept)
     shared: dict[int, tuple[np.ndarray, float]] = {}
     # contexts with at least ``hot`` of the tokens: at most HOT, each in at most count // hot + 1 rows' arrays
     for r in pairs.where("kind = 2").select("a", "b", "c").orderBy("owner").collect():
@@ -484,11 +486,7 @@ def _exchange(space: Workspace, batches: DataFrame, owners: int, hot: int, start
     return cut(scores(batches, words_given, pairs.where("kind = 0"), bigrams, owners, hot, start_count))
 
 
-def _parts(batches: int, fan_in: int) -> int:
-    return max(1, -(-batches // max(fan_in, math.isqrt(batches))))
-
-
-def katz_scores(docs: DataFrame, modulus: int = 7, owned: int = OWNED, text: str = "text", doc_id: str = "doc_id", keep_model: str | None = None, fan_in: int = FAN_IN) -> DataFrame:
+def katz_scores(docs: DataFrame, modulus: int = 7, owned: int = OWNED, text: str = "text", doc_id: str = "doc_id", keep_model: str | None = None) -> DataFrame:
     """Learns from the documents that are not held out and scores all; see :func:`scores`.
 
     ``keep_model``: a new folder for the tables of words and pairs, partitioned by owner, from which :func:`scores_from` scores further documents.
@@ -496,18 +494,19 @@ def katz_scores(docs: DataFrame, modulus: int = 7, owned: int = OWNED, text: str
     space = Workspace(docs.sparkSession)
     try:
         batches = space.bucketed(batches_of(docs, modulus, text, doc_id), "batches", "batch")
-        n_tokens, n_learned, start_count, number = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_learned", "learned_docs")], F.count("batch")).first()
-        return _exchange(space, batches, max(1, -(-n_tokens // owned)), max(owned // 8, n_learned // HOT), start_count, _parts(number, fan_in), keep=keep_model)
+        n_tokens, n_learned, start_count = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_learned", "learned_docs")]).first()
+        return _exchange(space, batches, max(1, -(-n_tokens // owned)), max(owned // 8, n_learned // HOT), start_count, keep=keep_model)
     finally:
         space.drop()
 
 
-def scores_from(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id", fan_in: int = FAN_IN) -> DataFrame:
+def scores_from(docs: DataFrame, model: str, owned: int = OWNED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Scores ``docs`` by a model that :func:`katz_scores` kept, learning nothing: every row is held out. Columns as of :func:`scores`."""
     spark = docs.sparkSession
     about, space = spark.read.parquet(f"{model}/about").first(), Workspace(spark)
     try:
         batches = space.bucketed(batches_of(docs, None, text, doc_id), "batches", "batch")
-        return _exchange(space, batches, about["owners"], about["hot"], about["start_count"], _parts(batches.count(), fan_in), model=model)
+        n_tokens = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        return _exchange(space, batches, about["owners"], about["hot"], about["start_count"], max(1, -(-n_tokens // (owned * about["owners"]))), model=model)
     finally:
         space.drop()

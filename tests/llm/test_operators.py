@@ -410,28 +410,41 @@ def test_katz(docs, rows, owned, monkeypatch):
         assert g[5:] == pytest.approx(x[5:], rel=1e-9)
 
 
-def test_katz_in_parts(docs, owned=8000):
-    """Batches that meet in parts before they reach an owner change nothing."""
-    key = lambda r: (repr(r[0]), *map(repr, r))
-    many = docs.repartition(6)
-    assert sorted(map(tuple, katz.katz_scores(many, owned=owned, fan_in=2).collect()), key=key) == sorted(map(tuple, katz.katz_scores(many, owned=owned).collect()), key=key)
-
-
-@pytest.mark.parametrize(("owned", "fan_in"), [(3_000_000, 1024), (8000, 2)])
-def test_katz_scores_from_a_kept_model(docs, tmp_path, owned, fan_in):
+def test_katz_of_many_batches(docs, monkeypatch):
+    """However many batches ask an owner, and in whatever frames its rows come and go, scores are the same."""
+    key = lambda r: (repr(r[0]), *map(repr, r[:5]))
+    few = sorted(map(tuple, katz.katz_scores(docs.coalesce(1)).collect()), key=key)
+    spark = docs.sparkSession
+    small = katz.small_batches
+    monkeypatch.setattr(katz, "small_batches", lambda s: (small(s), s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")))
+    many = sorted(map(tuple, katz.katz_scores(docs.repartition(24), owned=8000).collect()), key=key)
+    small(spark)
+    assert [m[:5] for m in many] == [f[:5] for f in few]
+    for m, f in zip(many, few, strict=True):
+        assert m[5:] == pytest.approx(f[5:], rel=1e-9)
+
+
+def test_katz_frames():
+    rows = [{"kind": 0, "batch": i, "owner": 1, "a": b"x" * (katz.FRAME // 3), "b": b""} for i in range(7)] + [{"kind": 1, "owner": 1, "a": b""}]
+    frames = list(katz._frames(rows))
+    assert [len(f) for f in frames] == [3, 3, 2] and [x for f in frames for x in f["kind"]] == [0] * 7 + [1]
+
+
+@pytest.mark.parametrize(("owned", "share"), [(3_000_000, 3_000_000), (8000, 700)])
+def test_katz_scores_from_a_kept_model(docs, tmp_path, owned, share):
     """A stored model gives documents, those it learned from and others, the scores that they had when it was learned."""
     model = str(tmp_path / "model")
     want = katz.katz_scores(docs, owned=owned, keep_model=model).drop("held_out")
     key = lambda r: (repr(r[0]), r[1], round(r[-1], 6))
     want = sorted(map(tuple, want.collect()), key=key)
-    got = katz.scores_from(docs.repartition(5), model, fan_in=fan_in)
+    got = katz.scores_from(docs.repartition(5), model, owned=share)
     assert all(r["held_out"] for r in got.collect())
     got = sorted(map(tuple, got.drop("held_out").collect()), key=key)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     for g, w in zip(got, want, strict=True):
         assert g[4:] == pytest.approx(w[4:], rel=1e-12)
     few = docs.where("doc_id between 400 and 450")
-    assert sorted(tuple(r)[:1] + tuple(r)[2:4] for r in katz.scores_from(few, model, fan_in=fan_in).collect()) == sorted(w[:3] for w in want if w[0] is not None and 400 <= w[0] <= 450)
+    assert sorted(tuple(r)[:1] + tuple(r)[2:4] for r in katz.scores_from(few, model, owned=share).collect()) == sorted(w[:3] for w in want if w[0] is not None and 400 <= w[0] <= 450)
     assert katz.scores_from(docs.limit(0), model).count() == 0
 
 
