@@ -10,12 +10,12 @@ number in a phone's form that no numbering plan gives is somebody's mistyped pho
 The permutation of a number below a * b is an alternating Feistel network over (number / b, number % b) with modular addition,
 a bijection for any a and b; its round function is SHA-256. No table of pseudonyms exists and nothing is shuffled.
 
-Kinds: email (local part), card, iban, ipv4, ssn, phone, date (ISO, and day first with points or slashes), and secrets
-(access key ids, hexadecimal tokens, values of ``password=``).
+Kinds: email (local part), card, iban, ipv4, ssn, phone, date (ISO, and with points or slashes, day first where that is a date, else month
+first), and secrets (access key ids, hexadecimal tokens, numbers of 32 digits or more, values of ``password=``).
 
-A date of two-digit day and month is permuted among the dates of its 200 years (of those that the calendar has, in the first and last span).
-With a day or month of one digit, it keeps the number of digits of each and the zeros before them, its century, and whether the day is above 28; a 29 February so
-written moves among the leap years of its century, but that of a year divisible by 100 stays.
+A date is permuted among those of about its 200 years (of those that the calendar has, in the first and last span), days up to 12 and days from 13 on
+each among themselves: so what only can be month first stays so, and no two dates written alike get one pseudonym. A date has one pseudonym in
+every writing; that keeps the order, the marks, and whether days and months below 10 have a zero (where neither has to tell, they have one).
 
 The key is a literal of the plan, as any parameter is: set ``spark.sql.redaction.string.regex`` where plans are logged.
 
@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from .common import let
 
 ROUNDS = 8
-#: Dates are permuted within spans of so many days, counted from 1900-01-01, and the first and last days there are.
-DAYS, FIRST_DAY, LAST_DAY = 73_000, -693_595, 2_958_463
+#: Dates are numbered from 1900 on, days up to 12 and days from 13 on (True) each for themselves, and permuted within spans of a size, which
+#: is a times another number; the first and last spans there are (span, first number, a, b) end with the years 1 and 9999.
+SPANS = {False: (28_800, 200, (-10, -273_456, 99, 144), (40, 1_152_000, 100, 144)), True: (44_096, 208, (-10, -420_139, 133, 175), (40, 1_763_840, 168, 168))}
+#: Days from 13 on in a month, in the mean of 400 years.
+LATE_A_MONTH = 146_097 / 4800 - 12
 
 #: The lengths of IBANs by country.
 IBAN_LENGTHS = {
@@ -56,7 +59,7 @@ PATTERNS = {
     "password": r"(?i:password|passwd|pwd)(?:[=:]|:[ ](?=[^\s\"']*[0-9]))[^\s\"']{4,}+",
     "akia": r"AKIA[0-9A-Z]{16}",
     "iban": "|".join(map(_iban_of, IBAN_LENGTHS)) + r"|[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?",
-    "hex": r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}+|[0-9]{32,64}+",
+    "hex": r"(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+|(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{32,}+|[0-9]{32,}+",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "ymd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "dmy": r"[0-9]{1,2}(?<sep>[./])[0-9]{1,2}\k<sep>[0-9]{4}",
@@ -210,21 +213,43 @@ def _ssn(s: Column, key: str) -> Column:
     return F.when(s.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), let(only(s, "0-9"), new)).otherwise(s)
 
 
-def _date(day: Column, s: Column, key: str, form: Callable[[Column], Column]) -> Column:
-    """``day``: the date, null if there is no such day."""
+def _moved_date(day: Column, key: str) -> Column:
+    """The pseudonym of a date, as a date."""
     epoch = F.lit("1900-01-01").cast("date")
+    months = lambda d: ((F.year(d) - 1900) * 12 + F.month(d) - 1).cast("long")
+    # how many days from 13 on are between the epoch and a month's first
+    before = lambda m: F.datediff(F.add_months(epoch, m.cast("int")), epoch).cast("long") - m * 12
+
+    def early(i: Column) -> Column:
+        return F.date_add(F.add_months(epoch, div(i - F.pmod(i, F.lit(12)), 12).cast("int")), F.pmod(i, F.lit(12)).cast("int"))
+
+    def late(i: Column) -> Column:
+        about = F.floor(i / LATE_A_MONTH)
+        month = let(about, lambda m: F.filter(F.array(m + 1, m, m - 1), lambda x: before(x) <= i)[0])
+        return let(month, lambda m: F.date_add(F.add_months(epoch, m.cast("int")), (i - before(m) + 12).cast("int")))
+
+    def new(p: Column) -> Column:
+        span = F.floor(p["i"] / p["size"])
+        first, last = span == p["first"]["span"], span == p["last"]["span"]
+        within = F.when(first, p["first"]).when(last, p["last"]).otherwise(F.struct(span.alias("span"), (span * p["size"]).alias("at"), p["a"].alias("a"), div(p["size"], p["a"]).alias("b")))
+        return let(within, lambda w: w["at"] + feistel(p["i"] - w["at"], w["a"], w["b"], "date", key))
+
+    def numbered(i: Column, late: bool) -> Column:
+        size, a, *ends = SPANS[late]
+        number = lambda x: F.lit(x).cast("long")
+        end = lambda e: F.struct(*[number(x).alias(n) for n, x in zip(("span", "at", "a", "b"), e, strict=True)])
+        return F.struct(i.alias("i"), number(size).alias("size"), number(a).alias("a"), end(ends[0]).alias("first"), end(ends[1]).alias("last"))
+
+    is_late = F.dayofmonth(day) > 12
+    since = F.datediff(day, epoch).cast("long")
+    place = F.when(is_late, numbered(since - (months(day) + 1) * 12, True)).otherwise(numbered(months(day) * 12 + F.dayofmonth(day) - 1, False))
+    moved = let(place, new)
+    return let(F.struct(moved.alias("i"), is_late.alias("late")), lambda m: F.when(m["late"], late(m["i"])).otherwise(early(m["i"])))
 
-    def new(since: Column) -> Column:
-        span = F.floor(since / DAYS)
-        first, last = span == FIRST_DAY // DAYS, span == LAST_DAY // DAYS
-        start = F.when(first, FIRST_DAY).otherwise(span * DAYS)
-        # the spans' lengths: 65 * 563 days, 64 * 601, and else 250 * 292
-        a = F.when(first, 65).when(last, 64).otherwise(250).cast("long")
-        b = F.when(first, 563).when(last, 601).otherwise(DAYS // 250).cast("long")
-        return let(F.struct(start.cast("long").alias("at"), a.alias("a"), b.alias("b")), lambda p: F.date_add(epoch, (p["at"] + feistel(since - p["at"], p["a"], p["b"], "date", key)).cast("int")))
 
-    since = F.datediff(day, epoch).cast("long")
-    return let(since, lambda d: F.when(d.between(FIRST_DAY, LAST_DAY), let(new(d), form)).otherwise(s))
+def _date(day: Column, s: Column, key: str, form: Callable[[Column], Column]) -> Column:
+    """``day``: the date, null if there is no such day."""
+    return let(day, lambda d: F.when(F.year(d).between(1, 9999), let(_moved_date(d, key), form)).otherwise(s))
 
 
 def _ymd(s: Column, key: str) -> Column:
@@ -232,41 +257,23 @@ def _ymd(s: Column, key: str) -> Column:
 
 
 def _dmy(s: Column, key: str) -> Column:
-    mark = F.regexp_extract(s, "[./]", 0)
-    parts = F.split(s, "[./]")
-    iso = F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0"))
-    whole = _date(iso.try_cast("date"), s, key, lambda d: F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM"), mark, F.date_format(d, "yyyy")))
-    return F.when(F.length(s) == 10, whole).when(iso.try_cast("date").isNull() | (parts[2] == "0000"), s).otherwise(let(parts, lambda p: _short_date(p, mark, key)))
-
+    """Day first where that is a date, else month first."""
 
-def _short_date(p: Column, mark: Column, key: str) -> Column:
-    """A date whose day or month has one digit, among those of its form; ``p``: day, month and year as written."""
-    day, month, year = (p[i].cast("long") for i in range(3))
-    days, months = F.length(p[0]), F.length(p[1])
-    century, years = year - year % 100, F.when(year < 100, 99).otherwise(100).cast("long")
-    place = F.when(year < 100, year - 1).otherwise(year % 100)
-    back = lambda y: century + y + F.when(year < 100, 1).otherwise(0)
+    def new(p: Column) -> Column:
+        of = lambda day, month: F.concat_ws("-", p["year"], F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
+        day_first = of(p["x"], p["y"])
+        # a part of two digits that doesn't start with a zero is written as the other
+        short = lambda x, y: (F.length(x) == 1) | (~x.startswith("0") & (F.length(y) == 1))
+        written = lambda part, x, y: F.when(short(x, y), part.cast("string")).otherwise(F.lpad(part.cast("string"), 2, "0"))
 
-    def moved(kinds: int, number: Column, tweak: str, d: Callable[[Column], Column], m: Callable[[Column], Column]) -> Column:
-        value = feistel(place * kinds + number, years, kinds, f"date{tweak}", key)
-        return let(value, lambda v: let(F.struct((v % kinds).alias("k"), back(div(v, kinds)).alias("y")), lambda x: written(d(x["k"]), m(x["k"]), x["y"])))
+        def form(d: Column) -> Column:
+            x, y = F.when(day_first.isNotNull(), F.dayofmonth(d)).otherwise(F.month(d)), F.when(day_first.isNotNull(), F.month(d)).otherwise(F.dayofmonth(d))
+            return F.concat(written(x, p["x"], p["y"]), p["mark"], written(y, p["y"], p["x"]), p["mark"], F.date_format(d, "yyyy"))
 
-    def written(d: Column, m: Column, y: Column) -> Column:
-        return F.concat(padded(d, days), mark, padded(m, months), mark, padded(y, F.lit(4)))
+        return _date(F.coalesce(day_first, of(p["y"], p["x"])), s, key, form)
 
-    long_months = [1, 3, 5, 7, 8]
-    leap = let(feistel(div(year % 100, 4) - 1, 4, 6, "date29", key), lambda v: written(day, month, century + 4 * (v + 1)))
-    return (
-        F.when((days == 1) & (months == 1), moved(81, (month - 1) * 9 + day - 1, "11", lambda k: k % 9 + 1, lambda k: div(k, 9) + 1))
-        .when((days == 1) & (month <= 9), moved(81, (month - 1) * 9 + day - 1, "12", lambda k: k % 9 + 1, lambda k: div(k, 9) + 1))
-        .when(days == 1, moved(27, (month - 10) * 9 + day - 1, "1x", lambda k: k % 9 + 1, lambda k: div(k, 9) + 10))
-        .when(day <= 9, moved(81, (month - 1) * 9 + day - 1, "21", lambda k: k % 9 + 1, lambda k: div(k, 9) + 1))
-        .when(day <= 28, moved(171, (month - 1) * 19 + day - 10, "x1", lambda k: k % 19 + 10, lambda k: div(k, 19) + 1))
-        .when(day == 31, moved(5, F.array_position(F.array(*[F.lit(m).cast("long") for m in long_months]), month) - 1, "31", lambda k: day, lambda k: F.get(F.array(*[F.lit(m).cast("long") for m in long_months]), k.cast("int"))))
-        .when(month != 2, moved(16, F.when(month == 1, 0).otherwise(month - 2) * 2 + day - 29, "30", lambda k: k % 2 + 29, lambda k: F.when(k < 2, 1).otherwise(div(k, 2) + 2)))
-        .when(year % 100 != 0, leap)
-        .otherwise(written(day, month, year))
-    )
+    parts = F.split(s, "[./]")
+    return let(F.struct(parts[0].alias("x"), parts[1].alias("y"), parts[2].alias("year"), F.regexp_extract(s, "[./]", 0).alias("mark")), new)
 
 
 def _iban(s: Column, key: str) -> Column:
@@ -314,6 +321,7 @@ def pseudonym(s: Column, key: str) -> Column:
         F.when(whole("email"), F.concat(permuted_word(s.substr(F.lit(1), at - 1), "email", key), s.substr(at, F.length(s))))
         .when(whole("password"), _after(s, "^[A-Za-z]+[=:][ ]?", "password", key))
         .when(whole("akia"), _after(s, "^AKIA", "akia", key))
+        .when(s.rlike("^[0-9]{32,}$"), permuted_word(s, "digits", key))
         .when(whole("hex"), _hex(s, key))
         .when(whole("ipv4"), _ipv4(s, key))
         .when(whole("ymd"), _ymd(s, key))

@@ -25,25 +25,56 @@ def test_dates(spark):
     assert mapped(spark, ["0000-01-01", "2001-02-29"]) == {"0000-01-01": "0000-01-01", "2001-02-29": "2001-02-29"}
 
 
-def test_dates_of_one_digit(spark):
-    """Whole centuries of every form, so that each is seen to be a permutation."""
-    for form in ("{0}/{1}/{2:04d}", "{0}.{1:02d}.{2:04d}", "{0:02d}/{1}/{2:04d}"):
-        every = set()
-        for year in (*range(1, 100), *range(2000, 2100), *range(9900, 10_000)):
-            for month in range(1, 13):
-                for day in range(1, 32):
-                    try:
-                        datetime.date(year, month, day)
-                    except ValueError:
-                        continue
-                    every.add(form.format(day, month, year))
-        every = sorted(v for v in every if len(v) < 10)
-        some = random.Random(1).sample(every, 4000)
-        some += [v for v in every if re.match(r"(29.2|31.|30.)", v)][:2000]
-        got = mapped(spark, sorted(set(some)))
-        assert len(set(got.values())) == len(got)
-        assert set(got.values()) <= set(every)
-        assert all([len(x) for x in re.split("[./]", a)] == [len(x) for x in re.split("[./]", b)] for a, b in got.items())
+def read(value, order="dmy"):
+    x, y, year = map(int, re.split("[./]", value))
+    return datetime.date(year, *((y, x) if order == "dmy" else (x, y)))
+
+
+def test_a_date_has_one_pseudonym(spark):
+    """In every writing; days from 13 on stay such, so that what is month first stays so; no two dates get one."""
+    rng = random.Random(1)
+    days = {datetime.date.fromordinal(rng.randrange(1, datetime.date(9999, 12, 31).toordinal())) for _ in range(1500)}
+    days |= {datetime.date(y, 2, 29) for y in (4, 1600, 2000, 2024, 9996)} | {datetime.date(y, m, d) for y in (1, 99, 100, 1899, 1900, 9899, 9900, 9999) for m in range(1, 13) for d in (1, 9, 12, 13, 28)}
+    forms = {
+        "iso": lambda d: d.isoformat(),
+        "dmy": lambda d: f"{d.day:02d}.{d.month:02d}.{d.year:04d}",
+        "short": lambda d: f"{d.day}/{d.month}/{d.year:04d}",
+        "half": lambda d: f"{d.day}/{d.month:02d}/{d.year:04d}",
+    }
+    late = {d for d in days if d.day > 12}
+    american = {"mdy": lambda d: f"{d.month:02d}/{d.day:02d}/{d.year:04d}", "mdy short": lambda d: f"{d.month}/{d.day}/{d.year:04d}"}
+    got = mapped(spark, sorted({f(d) for f in forms.values() for d in days} | {f(d) for f in american.values() for d in late}))
+    new = {d: datetime.date.fromisoformat(got[d.isoformat()]) for d in days}
+    assert len(set(new.values())) == len(days) and all((d.day > 12) == (n.day > 12) for d, n in new.items())
+    assert sum(d == n for d, n in new.items()) < 5
+    for d in days:
+        assert got[forms["dmy"](d)] == forms["dmy"](new[d])
+        assert read(got[forms["short"](d)]) == read(got[forms["half"](d)]) == new[d]
+        if d.day < 10 or d.month < 10:
+            assert got[forms["short"](d)] == forms["short"](new[d])
+    for d in late:
+        assert got[american["mdy"](d)] == american["mdy"](new[d]) and read(got[american["mdy short"](d)], "mdy") == new[d]
+    bad = ["31/02/2001", "13/13/1990", "0/5/1990", "30/2/2000", "1/2/0000", "2/30/2001"]
+    assert mapped(spark, bad) == {v: v for v in bad}
+    four = mapped(spark, ["12/25/1990", "01/02/2020", "1/2/2020"])
+    assert four["12/25/1990"] != "12/25/1990" and read(four["01/02/2020"]) == read(four["1/2/2020"])
+
+
+def test_spans_of_dates(spark):
+    """All dates of the first, an inner and the last span: each a permutation."""
+    from pyspark.sql import functions as F
+
+    for first, last in (("0001-01-01", "0102-12-31"), ("1880-01-01", "2110-12-31"), ("9899-01-01", "9999-12-31")):
+        days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS d").select("d", pii._moved_date(F.col("d"), "k").alias("n"))
+        n, kinds, same, low, high = days.agg(F.count("*"), F.countDistinct("n"), F.sum(((F.dayofmonth("d") > 12) == (F.dayofmonth("n") > 12)).cast("int")), F.min(F.year("n")), F.max(F.year("n"))).first()
+        assert n == kinds == same and low >= 1 and high <= 9999
+
+
+def test_long_numbers_stay_digits(spark):
+    rng = random.Random(4)
+    values = ["".join(rng.choice("0123456789") for _ in range(n)) for n in (32, 40, 64, 65, 200, 5000)]
+    for a, b in mapped(spark, values).items():
+        assert a != b and re.fullmatch(r"\d+", b) and len(a) == len(b)
 
 
 def test_phones(spark):
