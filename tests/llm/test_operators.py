@@ -256,7 +256,7 @@ def test_pseudonyms(spark):
         assert got[100 + i]["text"] == f"x {INVALID[i]} y" and got[100 + i]["replaced"] == 0
     ten = re.sub(r"\D", "", new["phone"])[1:]
     assert got[200]["text"] == f"{ten[:3]}-{ten[3:6]}-{ten[6:]} and {new['dmy'].replace('.', '/')}"
-    assert got[201]["text"] is None and got[202]["text"] == "" and got[203]["replaced"] == 2 and shape(got[203]["text"][100_010:]) == shape(rows[-4][1][100_010:])
+    assert got[201]["text"] is None and got[202]["text"] == "" and got[203]["replaced"] == 2 and shape(got[203]["text"].split(" ", 2)[2]) == "9" * 100_000 + " @" * 1000
     assert got[204]["replaced"] == 3 and got[205]["replaced"] == 1 and got[206]["replaced"] == 2
     other = pii.pseudonymise(frame, "another key").where("doc_id = 2").first()
     assert other["text"] != got[2]["text"]
