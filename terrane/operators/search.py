@@ -13,10 +13,12 @@ Ranks end in the document id, so that ties have one order.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +99,7 @@ TERM_ROWS = "term string, doc_id {id_type}, tf int, dl int, positions array<int>
 DOCS = "doc_id {id_type}, dl long"
 DICTIONARY = "term string, df long, cf long, bucket int"
 FIGURES = "corpus string, field string, part string, id_type string, n_docs long, n_tokens long, avg_dl double, stored_at timestamp, segments array<string>"
+LOOKUPS = "key string, term string, df long, cf long, home int, bucket int"
 #: Segments on top of a field's first part before they are put into one.
 TIER = 8
 
@@ -220,6 +223,29 @@ class Index:
         n_docs, n_tokens = self._read_docs(part, id_type).count(), written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
         self._state(corpus, field, part, id_type, n_docs, n_tokens, [])
 
+    def index_terms(self, corpus: str, field: str) -> None:
+        """Stores keys by which :meth:`terms_like` and :meth:`terms_near` find terms of a field without reading its dictionary.
+
+        They are of what one part holds: where segments are on top of it, the dictionary is searched until :meth:`merge` and another call.
+        """
+        figures = self.figures(corpus, field)
+        if figures["segments"]:
+            raise ValueError(f"{corpus}.{field} has segments: merge it first")
+        keys = lookups(self._read("dictionary", DICTIONARY, corpus, field), self.buckets)
+        keys.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/lookups/{figures['part']}")
+
+    def _looked_up(self, corpus: str, field: str, keys: Sequence[str], every: bool) -> DataFrame | None:
+        """Dictionary rows of the terms with all or any of some keys; None where keys are not stored for what the field holds."""
+        figures = self.figures(corpus, field)
+        # written last, so that keys without it are known to be unfinished
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/lookups/{figures['part']}/_SUCCESS")
+        if not keys or figures["segments"] or not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            return None
+        rows = self.spark.read.schema(LOOKUPS).parquet(f"{self.path}/lookups/{figures['part']}").where(self._buckets(keys) & F.col("key").isin(*keys))
+        # a term has a key once
+        found = rows.groupBy("term", "df", "cf", "home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(keys) if every else F.lit(True))
+        return _named(found.select(F.col("home").alias("bucket"), "term", "df", "cf"), corpus, field)
+
     def knows(self, corpus: str, field: str) -> bool:
         return not self._figures().where((F.col("corpus") == corpus) & (F.col("field") == field)).isEmpty()
 
@@ -240,7 +266,7 @@ class Index:
     def vacuum(self) -> None:
         """Deletes what replaced or failed additions have left. No addition or search may run meanwhile."""
         live = {p for r in self._figures().select("part", "segments").collect() for p in (r["part"], *(r["segments"] or []))}
-        for table in ("terms", "dictionary", "docs"):
+        for table in ("terms", "dictionary", "docs", "lookups"):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in files.listStatus(path) if files.exists(path) else []:
@@ -320,11 +346,23 @@ class Index:
 
     def fuzzy(self, corpus: str, field: str, word: str, distance: int) -> DataFrame:
         """Documents with a term within an edit distance of a word."""
-        return self.with_terms(corpus, field, fuzzy(self.dictionary(corpus, field), word, distance))
+        return self.with_terms(corpus, field, self.terms_near(corpus, field, word, distance))
 
     def terms_like(self, corpus: str, field: str, pattern: str) -> DataFrame:
-        """Dictionary terms by a pattern in which * stands for any characters and ? for one."""
-        return like(self.dictionary(corpus, field), pattern)
+        """Dictionary terms by a pattern in which * stands for any characters and ? for one.
+
+        By the pattern's grams, if it has any and :meth:`index_terms` has stored them, else by reading the dictionary.
+        """
+        found = self._looked_up(corpus, field, pattern_keys(pattern), every=True)
+        return like(self.dictionary(corpus, field) if found is None else found, pattern)
+
+    def terms_near(self, corpus: str, field: str, word: str, distance: int) -> DataFrame:
+        """Dictionary terms within an edit distance of a word, with it.
+
+        By what deletions leave of their fronts, up to a distance of DELETED and if :meth:`index_terms` has stored that, else by reading the dictionary.
+        """
+        found = self._looked_up(corpus, field, word_keys(word, distance) if distance <= DELETED else [], every=False)
+        return fuzzy(self.dictionary(corpus, field) if found is None else found, word, distance)
 
 
 # the catalog as a corpus
@@ -359,6 +397,47 @@ def fuzzy(terms: DataFrame, word: str, distance: int) -> DataFrame:
     return terms.where(close & (d >= 0)).withColumn("distance", d)
 
 
+#: Characters of a gram, of a term's front, and of those how many may be deleted.
+GRAM, FRONT, DELETED = 3, 7, 2
+#: Stand before and behind a term in its grams.
+FIRST, LAST = "\u0002", "\u0003"
+
+
+def lookups(terms: DataFrame, buckets: int) -> DataFrame:
+    """key, term, df, cf, home, bucket: a row for each key of a term of a dictionary; ``home`` is the term's own bucket.
+
+    Keys are the term's grams, after a g, and what is left of its first FRONT characters without up to DELETED of them, after a d. If two
+    words are at most DELETED edits apart, then they have one of the latter in common: of an alignment's pairs take those inside both
+    fronts; what either front has besides them is at most as much as is deleted from its word.
+    """
+    without = lambda w, i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w)))
+    shorter = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: without(w, i))).otherwise(F.array().cast("array<string>"))
+
+    def left(front: Column) -> Column:
+        level = every = F.array(front)
+        for _ in range(DELETED):
+            level = F.array_distinct(F.flatten(F.transform(level, shorter)))
+            every = F.concat(every, level)
+        return F.transform(F.array_distinct(every), lambda w: F.concat(F.lit("d"), w))
+
+    marked = F.concat(F.lit(FIRST), "term", F.lit(LAST))
+    grams = let(marked, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda i: F.concat(F.lit("g"), t.substr(i, F.lit(GRAM))))))
+    rows = terms.select("term", "df", "cf", F.col("bucket").alias("home"), F.explode(F.concat(grams, let(F.substring("term", 1, FRONT), left))).alias("key"))
+    return rows.select("key", "term", "df", "cf", "home", bucket_of(F.col("key"), buckets).alias("bucket"))
+
+
+def pattern_keys(pattern: str) -> list[str]:
+    """The grams that every term of a pattern has."""
+    parts = re.split(r"[*?]", FIRST + pattern + LAST)
+    return sorted({"g" + p[i : i + GRAM] for p in parts for i in range(len(p) - GRAM + 1)})
+
+
+def word_keys(word: str, distance: int) -> list[str]:
+    """What up to ``distance`` deletions leave of a word's front; any term within the distance has one of them."""
+    front = word[:FRONT]
+    return sorted({"d" + "".join(kept) for n in range(max(0, len(front) - distance), len(front) + 1) for kept in combinations(front, n)})
+
+
 def suggest(terms: DataFrame, prefix: str, k: int) -> DataFrame:
     """The ``k`` terms with the prefix that most documents hold."""
     return terms.where(F.col("term").startswith(prefix)).select("term", "df").orderBy(F.desc("df"), "term").limit(k)

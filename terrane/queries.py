@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -692,6 +693,20 @@ def f9_wildcard_docs(spark, sf_dir):
     return like.union(near_word).union(close)
 
 
+@query(
+    "f9_terms_by_grams_f10_terms_by_deletions",
+    rf"""WITH {_TOKENS_SQL}, d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term)
+        SELECT 'begins and ends' AS search, term, df, cf FROM d WHERE term LIKE 'th%ing' UNION ALL SELECT 'holds', term, df, cf FROM d WHERE term LIKE '%ing%'
+        UNION ALL SELECT 'near', term, df, cf FROM d WHERE {_FUZZY_SQL} <= 2""",
+)
+def f9_terms_by_keys(spark, sf_dir):
+    """Terms by pattern and by edit distance, of stored keys, without reading the dictionary."""
+    index = _stored_index(spark, sf_dir)
+    index.index_terms("documents", "text")
+    found = {"begins and ends": index.terms_like("documents", "text", "th*ing"), "holds": index.terms_like("documents", "text", "*ing*"), "near": index.terms_near("documents", "text", "thing", 2)}
+    return reduce(DataFrame.union, [d.select(F.lit(kind).alias("search"), "term", "df", "cf") for kind, d in found.items()])
+
+
 @query("f11_filtered", f"WITH {_WORDS_SQL} SELECT doc_id FROM w WHERE list_has_all(words, ['die', 'und']) AND lang = 'de' AND source IN ('src1', 'src2', 'src3')")
 def f11_filtered(spark, sf_dir):
     docs = _docs(spark, sf_dir).where((F.col("lang") == "de") & F.col("source").isin("src1", "src2", "src3"))
