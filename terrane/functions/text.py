@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrane.operators.barriers import let
+
 WORD = r"[\p{L}\p{N}]+"
 BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -26,9 +28,9 @@ def identifier_tokens(name: Column | str) -> Column:
 
 def bigrams(text: Column | str) -> Column:
     """Overlapping pairs of characters of the text without white space, for scripts that don't space words."""
-    s = F.regexp_replace(F.lower(_col(text)), r"\s+", "")
-    n = F.length(s)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: s.substr(i, F.lit(2)))).when(n == 1, F.array(s)).otherwise(F.when(s.isNotNull(), F.array().cast("array<string>")))
+    # characters are taken once a row: a lambda computes a text that it uses anew for each element, and finds a place in it from its start
+    chars = F.array_remove(F.split(F.regexp_replace(F.lower(_col(text)), r"\s+", ""), ""), "")
+    return let(chars, lambda c: F.when(F.size(c) >= 2, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b))).otherwise(c))
 
 
 def term_frequency(words: Column, term: str) -> Column:

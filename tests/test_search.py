@@ -138,3 +138,24 @@ def test_stream(spark, tmp_path):
     assert index.figures("c", "body")["n_docs"] == 5 and [r["doc_id"] for r in index.search("c", "body", any=["q", "b"], k=None).orderBy("doc_id").collect()] == [3, 4]
     assert add((4, "q")) and publish(spark, out, index, "c", "body") is None
     assert [r["doc_id"] for r in index.search("c", "body", any=["q", "b"], k=None).orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_pairs_compute_their_text_once(spark):
+    """Pairs of characters beyond ASCII and the basic plane; the text without white space stands once in the expression, outside of what is done for each pair."""
+    from pyspark.sql import functions as F
+
+    made = X.bigrams("t")
+    rows = [("東京 都", ["東京", "京都"]), ("a", ["a"]), ("", []), (None, None), ("\U0001f600bé \tÄ", ["\U0001f600b", "bé", "éä"]), (" \n", [])]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select(made).collect()] == [want for _, want in rows]
+    assert made._jc.toString().count("regexp_replace") == 1
+    assert spark.range(1).select(F.repeat(F.lit("ab é"), 50_000).alias("t")).select(F.size(X.bigrams("t"))).first()[0] == 149_999
+
+
+def test_pairs_of_documents_that_share_an_id(spark, tmp_path):
+    from terrane.queries import f18_cjk_bigrams
+
+    for name, ids in (("apart", (1, 2, 3)), ("shared", (1, 1, 3))):
+        rows = [(i, t, "", "") for i, t in zip(ids, ("aab", "aa", None), strict=True)]
+        spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = {name: sorted(tuple(r) for r in f18_cjk_bigrams(spark, f"{tmp_path}/{name}").collect()) for name in ("apart", "shared")}
+    assert got == {"apart": [("aa", 2, 2), ("ab", 1, 1)], "shared": [("aa", 2, 1), ("ab", 1, 1)]}
