@@ -77,3 +77,21 @@ def test_columns_are_not_paired(tables):
     columns = I.columns_of(tables)
     plan = I.candidates(tables, columns, I.sketches(tables, columns))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_values_pass_by_samples_unshuffled(spark, tables):
+    """Samples are sent to the values whatever Spark takes their size for, and values leave one aggregate as sets of columns."""
+    columns = I.columns_of(tables)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = I.candidates(tables, columns, I.sketches(tables, columns))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in plan.splitlines())
+
+
+def test_columns_of_more_bits_than_a_long(spark):
+    tables = {"many": spark.createDataFrame([tuple(range(i, i + 70)) for i in range(3)], ", ".join(f"c{i} int" for i in range(70)))}
+    assert sorted(tuple(r) for r in I.inclusions(tables).collect()) == plain(tables)
+    tables["one"] = spark.createDataFrame([(i,) for i in range(80)], "v int")
+    assert sorted(tuple(r) for r in I.inclusions(tables).collect()) == plain(tables)
