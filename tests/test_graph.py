@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from terrane.operators import graph as G
 
 EDGES = [("region", "nation"), ("nation", "customer"), ("nation", "supplier"), ("customer", "orders"), ("orders", "lineitem"), ("part", "lineitem"), ("supplier", "lineitem")]
@@ -126,3 +128,15 @@ def test_common_orphans_and_impact(spark):
     changes = spark.createDataFrame([("a", "removed"), ("b", "retyped")], "path string, change string")
     got = sorted(tuple(r) for r in G.impact(changes, "customer", e).collect())
     assert got == [("a", "removed", "lineitem", 2), ("a", "removed", "orders", 1), ("b", "retyped", "lineitem", 2), ("b", "retyped", "orders", 1)]
+
+
+def test_levels_do_not_shuffle_the_edges(spark, monkeypatch):
+    """A level of few rows is broadcast, though Spark takes a cut table for large, and the edges are computed once."""
+    plans, true = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or true(df))
+    edges = G.edges_frame(spark, [(f"n{i}", f"n{i + 1}") for i in range(6)]).withColumn("made", F.rand(3)).where("made >= 0")
+    for ask in (lambda: G.downstream(edges, "n0"), lambda: G.paths(edges, "n0", "n6"), lambda: G.reach(edges, G._seeds(edges, ["n0"]))):
+        plans.clear()
+        assert ask().count() in (1, 6)
+        assert sum("rand(" in p for p in plans) == 1
+        assert sum("BroadcastHashJoin" in p for p in plans) >= 6
