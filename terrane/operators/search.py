@@ -47,13 +47,14 @@ def term_rows(docs: DataFrame, id: str, text: str, corpus: str = "default", fiel
     A document's tokens are sorted with their places inside its row and cut where the term changes: nothing is shuffled.
     """
 
-    def runs(p: Column) -> Column:
-        starts = F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (x["term"] != F.get(p, i - 1)["term"]), i)), lambda i: i.isNotNull())
-        return let(starts, lambda s: F.transform(s, lambda at, j: F.struct(F.get(p, at)["term"].alias("term"), F.slice(p, at + 1, F.coalesce(F.get(s, j + 1), F.size(p)) - at)["pos"].alias("positions"), F.size(p).alias("dl"))))
-
-    places = let(tokenizer(F.col(text)), lambda w: F.sort_array(F.transform(w, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))))
-    rows = docs.select(F.col(id).alias("doc_id"), F.explode_outer(let(places, runs)).alias("r")).where("r is not null")
-    return rows.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), bucket_of(F.col("r.term"), buckets).alias("bucket"), "r.term", "doc_id", F.size("r.positions").alias("tf"), "r.dl", "r.positions")
+    places = F.sort_array(F.transform(tokenizer(F.col(text)), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    new = lambda terms: F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    # only where a term begins is found by a lambda; the rest is done behind the generator, once a row of the result
+    sorted_ = docs.select(F.col(id).alias("doc_id"), places.alias("p")).select("doc_id", F.col("p.term").alias("terms"), F.col("p.pos").alias("places"), F.when(F.size("p") > 0, let(F.col("p.term"), new)).alias("starts"))
+    rows = sorted_.select("doc_id", "terms", "places", "starts", F.posexplode_outer("starts").alias("j", "at")).where("at is not null")
+    n = F.coalesce(F.get("starts", F.col("j") + 1), F.size("terms")) - F.col("at")
+    rows = rows.select("doc_id", F.get("terms", F.col("at")).alias("term"), n.alias("tf"), F.size("terms").alias("dl"), F.slice("places", F.col("at") + 1, n).alias("positions"))
+    return rows.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), bucket_of(F.col("term"), buckets).alias("bucket"), "term", "doc_id", "tf", "dl", "positions")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:

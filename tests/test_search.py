@@ -159,3 +159,12 @@ def test_pairs_of_documents_that_share_an_id(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
     got = {name: sorted(tuple(r) for r in f18_cjk_bigrams(spark, f"{tmp_path}/{name}").collect()) for name in ("apart", "shared")}
     assert got == {"apart": [("aa", 2, 2), ("ab", 1, 1)], "shared": [("aa", 2, 1), ("ab", 1, 1)]}
+
+
+def test_term_rows_are_cut_behind_the_generator(spark):
+    """Rows by term and document of odd texts; slices are not taken inside of a lambda, which interprets them."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (None, "x"), (5, ".."), (1, "a")], "doc_id int, text string")
+    rows = Q.term_rows(docs, "doc_id", "text", buckets=1)
+    got = sorted(((r["doc_id"] or 0), r["term"], r["tf"], r["dl"], r["positions"]) for r in rows.collect())
+    assert got == [(0, "x", 1, 1, [0]), (1, "a", 1, 1, [0]), (1, "a", 1, 3, [1]), (1, "b", 2, 3, [0, 2])]
+    assert "posexplode(starts" in rows._jdf.queryExecution().optimizedPlan().toString()
