@@ -9,9 +9,12 @@ Two texts are linked if the sets of their shingles have a Jaccard similarity of
 * *Prefixes.* In any one order of all shingles, two linked sets share one among their first ``size // 5 + 1``. The order
   puts shingles that a sample shows to be common last, so that boilerplate deals out few documents. Only sets of different components
   are compared.
-* *Parity bits.* Every shingle flips one of 512 bits. Two linked sets differ in at most a ninth of their summed sizes, hence in
-  no more bits; nearly all other pairs do. They are a fingerprint whose radius loses nothing. Pairs of larger sets are looked at again
-  with as many bits as they have shingles, before a text is fetched.
+* *Places.* The first shingle that two linked sets share is so early in both that enough of each follows. A pair is looked at only where
+  that holds, and not where both sets have a shingle that they share among the last few before: there it was looked at already. So a pair
+  comes up once or a few times, not once for each shingle of its prefixes.
+* *Parity bits.* Every shingle flips one of 512 to 2,048 bits, about as many as there are shingles. Two linked sets differ in at most a
+  ninth of their summed sizes, hence in no more bits; nearly all other pairs do. They are a fingerprint whose radius loses nothing. Pairs of
+  larger sets are looked at again with as many bits as they have shingles, before a text is fetched.
 * *Confirmation.* Every link, wherever it comes from, is decided by the shingles of the two texts themselves.
 
 No step drops, caps or samples pairs: the sample fixes an order, and every order gives the same result.
@@ -30,14 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, enclosed, small_batches, text_of
 from .components import components
 from .simhash import SEED, fingerprint, links, shingle_hashes
 
 WORDS = 5
-#: Longs of parity bits a set, and lists of minimum hashes.
-BITS, LISTS = 8, 6
+#: Longs of parity bits that all sets have, bytes of them at most in a list, and lists of minimum hashes.
+BITS, WIDE, LISTS = 8, 256, 6
+#: So many shared shingles before a place are looked at to tell a pair that came up before.
+BEFORE = 4
 #: Documents in the sample that tells common shingles, and common shingles at most.
 SAMPLE, COMMON = 5_000, 100_000
 #: Up to so many eight-byte keys are broadcast.
@@ -61,11 +67,6 @@ def hashes_of(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, WORDS), np.uint64))
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    flips = np.bincount((hashes >> np.uint64(7)).astype(np.int64) % (64 * BITS), minlength=64 * BITS) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
-
-
 def wide_parity(hashes: np.ndarray) -> bytes:
     """Parity bits, a power of two of them, as many as shingles or more. Halves that are XORed give those of half the number."""
     bits = max(64 * BITS, 1 << max(0, len(hashes) - 1).bit_length())
@@ -73,6 +74,22 @@ def wide_parity(hashes: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(wide: bytes, most: int = WIDE) -> bytes:
+    """Parity bits, ``most`` bytes of them at most."""
+    bits = np.frombuffer(wide, np.uint8)
+    return wide if len(wide) <= most else np.bitwise_xor.reduce(bits.reshape(-1, most), axis=0).tobytes()
+
+
+def narrow(wide: pa.Array) -> np.ndarray:
+    """Parity bits of any number to a row of ``BITS`` longs each."""
+    every = wide.to_pylist()
+    lengths, out = np.array([len(w) for w in every]), np.empty((len(every), BITS), np.uint64)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        out[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join([every[i] for i in at]), "<u8").reshape(len(at), -1, BITS), axis=1)
+    return out
+
+
 def near_wide(a: bytes, b: bytes, sizes: int) -> bool:
     """Whether sets of these parity bits can be linked."""
     x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
@@ -126,10 +143,10 @@ def described(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             node = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             least = [np.array([(s * m).min() for m in ODD], np.uint64) if len(s) else np.zeros(0, np.uint64) for s in sets]
             columns = [batch.column(0), batch.column(1), pa.array(node), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_parity(s) for s in sets], pa.binary())]
-            columns += [lists([parity(s) for s in sets]), lists(least), lists([prefix(s, common, counts) if len(s) else s for s in sets])]
+            columns += [pa.array([folded(wide_parity(s)) for s in sets], pa.binary()), lists(least), lists([prefix(s, common, counts) if len(s) else s for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sha", "node", "fp", "size", "wide", "bits", "least", "first"])
 
-    return rows.mapInArrow(batches, "doc_id long, sha binary, node long, fp long, size long, wide binary, bits array<long>, least array<long>, first array<long>")
+    return rows.mapInArrow(batches, "doc_id long, sha binary, node long, fp long, size long, wide binary, bits binary, least array<long>, first array<long>")
 
 
 def digest(text: str | Column) -> Column:
@@ -142,53 +159,72 @@ def near_bits(size: np.ndarray, bits: np.ndarray, of_size: int, of_bits: np.ndar
     return (9 * apart <= size + of_size) & (5 * np.minimum(size, of_size) >= 4 * np.maximum(size, of_size))
 
 
-def candidates(rows: DataFrame, every: bool) -> DataFrame:
+def enough_follows(size: np.ndarray, pos: np.ndarray, of_size: np.ndarray, of_pos: np.ndarray) -> np.ndarray:
+    """Whether sets can be linked whose first common shingle is at these places, by what follows."""
+    return 9 * np.minimum(size - pos, of_size - of_pos) >= 4 * (size + of_size)
+
+
+def found_pairs(rows: DataFrame, every: bool) -> DataFrame:
     """Lists (key, node, component, size, bits) to pairs (a, b) that the bits don't rule out: of each list, all pairs of different
-    components, or each set with the one before it in an order that changes from list to list."""
+    components, or each set with the one before it in an order that changes from list to list. For all pairs the lists also have each
+    set's place and the shared keys before it (pos, b1, b2, ...)."""
+
+    def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        wide = np.empty(batch.num_rows, object)
+        wide[:] = batch.column(4).to_pylist()
+        columns = [*(batch.column(i).to_numpy() for i in (0, 1, 2, 3)), narrow(batch.column(4)), wide]
+        if every:
+            columns += [batch.column(5).to_numpy(), np.stack([batch.column(6 + i).to_numpy() for i in range(BEFORE)], axis=1)]
+        return columns
 
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         """The rows of each list; those of a list that spans batches are put together."""
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         for batch in it:
             n = batch.num_rows
             if not n:
                 continue
-            key = batch.column(0).to_numpy()
-            columns = [batch.column(i).to_numpy() for i in (1, 2, 3)] + [batch.column(4).flatten().to_numpy().view(np.uint64).reshape(n, BITS)]
+            columns = columns_of(batch)
+            key = columns[0]
             starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]])
             if held and held[0][0][0] != key[0]:
-                yield tuple(map(np.concatenate, zip(*[h[1:] for h in held], strict=True)))
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
                 held = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if b == n:
-                    held.append((key[a:b], *(c[a:b] for c in columns)))
+                    held.append([c[a:b] for c in columns])
                 elif held:
-                    held.append((key[a:b], *(c[a:b] for c in columns)))
-                    yield tuple(map(np.concatenate, zip(*[h[1:] for h in held], strict=True)))
+                    held.append([c[a:b] for c in columns])
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
                     held = []
                 elif b - a > 1:
                     yield tuple(c[a:b] for c in columns)
         if held:
-            yield tuple(map(np.concatenate, zip(*[h[1:] for h in held], strict=True)))
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n = [], [], 0
-        for node, component, size, bits in groups(it):
+        for key, node, component, size, bits, wide, *places in groups(it):
             if len(node) < 2 or every and (component == component[0]).all():
                 continue
             if every:
                 order = np.unique(node, return_index=True)[1]  # a set that several rows have
                 order = order[np.argsort(size[order], kind="stable")]
-                node, component, size, bits = node[order], component[order], size[order], bits[order]
+                node, component, size, bits, wide, pos, before = (c[order] for c in (node, component, size, bits, wide, *places))
                 lowest = np.searchsorted(size, -(-4 * size // 5))  # only these are long enough
                 for i in range(1, len(node)):
                     part = slice(int(lowest[i]), i)
-                    other = np.flatnonzero(component[part] != component[i]) + part.start
-                    if len(other):
-                        found = other[near_bits(size[other], bits[other], size[i], bits[i])]
-                        a.append(np.full(len(found), node[i]))
-                        b.append(node[found])
-                        n += len(found)
+                    found = np.flatnonzero(component[part] != component[i]) + part.start
+                    if not len(found):
+                        continue
+                    found = found[near_bits(size[found], bits[found], size[i], bits[i])]
+                    found = found[enough_follows(size[found], pos[found], size[i], pos[i])]
+                    earlier = before[i][before[i] != key[0]]
+                    found = found[~np.isin(before[found], earlier).any(axis=1)]
+                    found = found[np.array([near_wide(wide[j], wide[i], int(size[j] + size[i])) for j in found], bool)]
+                    a.append(np.full(len(found), node[i]))
+                    b.append(node[found])
+                    n += len(found)
             else:
                 apart = np.bitwise_count(bits[1:] ^ bits[:-1]).sum(axis=1, dtype=np.int64)
                 low, high = np.minimum(size[1:], size[:-1]), np.maximum(size[1:], size[:-1])
@@ -202,8 +238,14 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    dealt = rows.select("key", "node", "component", "size", "bits").repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    pairs = dealt.mapInArrow(search, "a long, b long")
+    places = ["pos", *[f"b{i}" for i in range(1, BEFORE + 1)]] if every else []
+    dealt = rows.select("key", "node", "component", "size", "bits", *places).repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def candidates(rows: DataFrame, every: bool) -> DataFrame:
+    """The distinct pairs (a, b), a < b, of :func:`found_pairs`."""
+    pairs = found_pairs(rows, every)
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -235,19 +277,44 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) ->
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """Rows (key, node) without the most that are alone with their key."""
+    """Rows (key, node, size, pos) without repeated ones and the most that no other set of their key can be linked with, by sizes and,
+    where there are two, by places."""
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            key = batch.column(0).to_numpy()
-            again = np.zeros(len(key), bool)
-            again[1:] |= key[1:] == key[:-1]
-            again[:-1] |= key[1:] == key[:-1]
-            if len(key):
-                again[[0, -1]] = True  # the next batch may go on with it
-            yield batch.filter(pa.array(again))
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "key long, node long")
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            batch = batch.filter(pa.array(new))
+            key, size, pos = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            pair = same.copy()  # lists of two rows; those at the ends may be longer
+            pair[1:] &= ~same[:-1]
+            pair[:-1] &= ~same[1:]
+            pair[:1] = pair[-1:] = False
+            # sizes ascend: if any other is near enough, the next or the one before is
+            linked = same & (5 * size[:-1] >= 4 * size[1:]) & (~pair | enough_follows(size[1:], pos[1:], size[:-1], pos[:-1]))
+            stay = np.zeros(len(key), bool)
+            stay[1:] |= linked
+            stay[:-1] |= linked
+            stay[[0, -1]] = True  # the batches before and after may have more of it
+            yield batch.filter(pa.array(stay)).select([0, 1, 3])
+
+    dealt = rows.select("key", "node", "size", "pos").repartition("key").sortWithinPartitions("key", "size", "node")
+    return dealt.mapInArrow(search, "key long, node long, pos int")
+
+
+def prefix_lists(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists of the sets that share a key of their prefixes, for :func:`found_pairs`; ``found`` has the components (of, component) known."""
+    places = cut(shared(rows.select(F.posexplode("first").alias("pos", "key"), "node", "size")))
+    along = Window.partitionBy("node").orderBy("pos")
+    # a key stands for what isn't there, as no set has it twice
+    places = places.select("key", "node", "pos", *[F.lag("key", i).over(along).alias(f"b{i}") for i in range(1, BEFORE + 1)])
+    places = places.select("key", "node", "pos", *[F.coalesce(f"b{i}", "key").alias(f"b{i}") for i in range(1, BEFORE + 1)])
+    about = nodes.join(found, F.col("node") == F.col("of"), "left").select(F.col("node").alias("of"), F.coalesce("component", "node").alias("component"), "size", "bits")
+    return places.join(about, F.col("node") == F.col("of")).drop("of")
 
 
 def simhash_pairs(nodes: DataFrame, radius: int = 3) -> DataFrame:
@@ -266,10 +333,7 @@ def node_components(rows: DataFrame, nodes: DataFrame, docs: DataFrame, text: st
     lists = lists.withColumn("key", F.xxhash64("i", "h"))
     linked = confirmed(candidates(lists, every=False).union(simhash_pairs(nodes)).distinct(), nodes, docs, text)
     found = cut(components(linked)).select(F.col("node").alias("of"), "component")
-    places = cut(shared(rows.select(F.explode("first").alias("key"), "node")))
-    about = nodes.join(found, F.col("node") == F.col("of"), "left").select(F.col("node").alias("of"), F.coalesce("component", "node").alias("component"), "size", "bits")
-    lists = places.join(about, F.col("node") == F.col("of")).select("key", "node", "component", "size", "bits")
-    return components(linked.unionByName(confirmed(candidates(lists, every=True), nodes, docs, text)))
+    return components(linked.unionByName(confirmed(candidates(prefix_lists(rows, nodes, found), every=True), nodes, docs, text)))
 
 
 def survivors(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

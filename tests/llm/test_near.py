@@ -79,6 +79,38 @@ def test_around_the_threshold(spark, common):
     assert stayed(P.near(spark, table, "")) == wanted
 
 
+def test_pairs_of_long_texts(spark, monkeypatch):
+    """Long texts that share a half, told by no sample: a pair comes up for that half, not for each of its shingles, nor each with each."""
+    rng, rows, made = random.Random(8), [], []
+    passage = words(rng, 800, 10**6)
+    for i in range(40):
+        rows.append((i, passage + " " + words(rng, 1000, 10**6), "en", "a", None))
+    table = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(near, "COMMON", 0)
+    true = near.candidates
+    monkeypatch.setattr(near, "candidates", lambda rows, every: made.append(true(rows, every).count()) or true(rows, every))
+    assert near.survivors(table).count() == 40
+    # of all 780 pairs, whose 512 bits are full
+    assert len(made) == 2 and made[1] < 80
+
+
+@pytest.mark.parametrize("batch", [2, 3, 1000])
+def test_shared_keeps_what_can_be_linked(spark, batch):
+    """Every two sets that a key could link are there after the sieve, however lists lie in batches."""
+    rng = random.Random(batch)
+    rows = sorted({(k, rng.randrange(40), k % 3) for k in range(60) for _ in range(rng.randrange(1, 5))})
+    rows = [(k, n, 5 + 3 * n, p) for k, n, p in rows]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = [(r["key"], r["node"]) for r in near.shared(spark.createDataFrame(rows + rows[:9], "key long, node long, size long, pos int")).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    wanted = {(a[0], x) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and 5 * min(a[2], b[2]) >= 4 * max(a[2], b[2]) and 9 * min(a[2] - a[3], b[2] - b[3]) >= 4 * (a[2] + b[2]) for x in (a[1], b[1])}
+    assert wanted and wanted <= set(got) <= {r[:2] for r in rows}
+    assert batch < 1000 or len(got) < len(rows)
+
+
 def test_repeated_ids(spark):
     """A different text under the id of a near copy stays."""
     rng = random.Random(6)
