@@ -49,6 +49,16 @@ def test_components(spark, name):
     assert got == plain_components(edges)
 
 
+def test_rounds(spark, monkeypatch):
+    """A large component is found in as many rounds as its ways are long, both ways at once; long ways elsewhere aren't cut off node by node."""
+    edges = random_graph(random.Random(4), 300, 800) + [(f"x{i:02}", f"x{i + 1:02}") for i in range(60)]
+    e, true, cuts = G.edges_frame(spark, edges), C.cut, []
+    monkeypatch.setattr(C, "cut", lambda df: cuts.append(1) or true(df))
+    got = {r["node"]: (r["component"], r["size"], r["cyclic"]) for r in C.strong_components(e).collect()}
+    assert got == plain_components(edges)
+    assert len(cuts) <= 60, len(cuts)
+
+
 def test_condensed_has_no_cycle(spark):
     e = G.edges_frame(spark, GRAPHS["sparse"])
     own = C.strong_components(e)
