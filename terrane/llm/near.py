@@ -218,6 +218,8 @@ def found_pairs(rows: DataFrame, every: bool) -> DataFrame:
                     if not len(found):
                         continue
                     found = found[near_bits(size[found], bits[found], size[i], bits[i])]
+                    if not len(found):
+                        continue
                     found = found[enough_follows(size[found], pos[found], size[i], pos[i])]
                     earlier = before[i][before[i] != key[0]]
                     found = found[~np.isin(before[found], earlier).any(axis=1)]
