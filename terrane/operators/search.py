@@ -41,19 +41,26 @@ def postings(docs: DataFrame, id: str, text: str, corpus: str = "default", field
     return rows.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), "doc_id", "term", "pos")
 
 
-def term_rows(docs: DataFrame, id: str, text: str, corpus: str = "default", field: str | None = None, buckets: int = 256, tokenizer=tokens) -> DataFrame:
+def term_rows(docs: DataFrame, id: str, text: str, corpus: str = "default", field: str | None = None, buckets: int = 256, tokenizer=tokens, empty: bool = False) -> DataFrame:
     """corpus, field, bucket, term, doc_id, tf, dl, positions: one row per term and document.
 
     A document's tokens are sorted with their places inside its row and cut where the term changes: nothing is shuffled.
+    ``empty``: a document without a token has one row too, without a term.
     """
 
     places = F.sort_array(F.transform(tokenizer(F.col(text)), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
     new = lambda terms: F.filter(F.sequence(F.lit(0), F.size(terms) - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
     # only where a term begins is found by a lambda; the rest is done behind the generator, once a row of the result
     sorted_ = docs.select(F.col(id).alias("doc_id"), places.alias("p")).select("doc_id", F.col("p.term").alias("terms"), F.col("p.pos").alias("places"), F.when(F.size("p") > 0, let(F.col("p.term"), new)).alias("starts"))
-    rows = sorted_.select("doc_id", "terms", "places", "starts", F.posexplode_outer("starts").alias("j", "at")).where("at is not null")
+    rows = sorted_.select("doc_id", "terms", "places", "starts", F.posexplode_outer("starts").alias("j", "at"))
     n = F.coalesce(F.get("starts", F.col("j") + 1), F.size("terms")) - F.col("at")
-    rows = rows.select("doc_id", F.get("terms", F.col("at")).alias("term"), n.alias("tf"), F.size("terms").alias("dl"), F.slice("places", F.col("at") + 1, n).alias("positions"))
+    made = {"tf": n, "dl": F.size("terms"), "positions": F.slice("places", F.col("at") + 1, n)}
+    if empty:
+        none = {"tf": F.lit(0), "dl": F.lit(0), "positions": F.array().cast("array<int>")}
+        made = {c: F.when(F.col("at").isNull(), none[c]).otherwise(x) for c, x in made.items()}
+    else:
+        rows = rows.where("at is not null")
+    rows = rows.select("doc_id", F.get("terms", F.col("at")).alias("term"), *[x.alias(c) for c, x in made.items()])
     return rows.select(F.lit(corpus).alias("corpus"), F.lit(field or text).alias("field"), bucket_of(F.col("term"), buckets).alias("bucket"), "term", "doc_id", "tf", "dl", "positions")
 
 
@@ -174,7 +181,7 @@ class Index:
 
     def _write(self, rows: DataFrame, part: str) -> None:
         # dealt by bucket into files of one size: what is too much for one task, as a hot term's bucket, adaptive execution splits
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/terms/{part}")
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/terms/{part}")
 
     def _write_docs(self, docs: DataFrame, part: str) -> None:
         docs.select("doc_id", "dl").write.parquet(f"{self.path}/docs/{part}")
@@ -206,20 +213,27 @@ class Index:
         f = self.figures(corpus, field)
         return self._live([self._part(p, corpus, field, f) for p in (f["part"], *(f["segments"] or []))])[1].where("dl is not null")
 
-    def store(self, rows: DataFrame, corpus: str, field: str, ids: DataFrame) -> None:
+    def store(self, rows: DataFrame | Sequence[DataFrame], corpus: str, field: str, ids: DataFrame) -> None:
         """Puts :func:`term_rows` of documents (doc_id) in the place of what the field of the corpus has held.
 
+        Rows in several tables are dealt and written one table after the other. Lengths of documents (dl) come from ``ids`` if it has
+        them, else from the rows.
+
         They get folders of their own, and the row of figures that names these is written last: until then, or if that fails, searches
         find the earlier state. :meth:`vacuum` deletes what is not named any more.
         """
         part = uuid.uuid4().hex
         terms, known = f"{self.path}/terms/{part}", f"{self.path}/dictionary/{part}"
-        self._write(rows.select(*SEGMENT), part)
-        id_type = rows.schema["doc_id"].dataType.simpleString()
+        tables = [rows] if isinstance(rows, DataFrame) else rows
+        for table in tables:
+            self._write(table.select(*SEGMENT), part)
+        id_type = tables[0].schema["doc_id"].dataType.simpleString()
         written = self.spark.read.schema(TERM_ROWS.format(id_type=id_type)).parquet(terms)
         dictionary(_named(written, corpus, field)).drop("corpus", "field").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(known)
-        lengths = written.groupBy("doc_id").agg(F.max("dl").cast("long").alias("dl")).withColumnRenamed("doc_id", "of")
-        self._write_docs(ids.join(lengths, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl")), part)
+        if "dl" not in ids.columns:
+            lengths = written.groupBy("doc_id").agg(F.max("dl").cast("long").alias("dl")).withColumnRenamed("doc_id", "of")
+            ids = ids.join(lengths, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"))
+        self._write_docs(ids, part)
         # rows that repeat an id count as often as they come, their tokens too
         n_docs, n_tokens = self._read_docs(part, id_type).count(), written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
         self._state(corpus, field, part, id_type, n_docs, n_tokens, [])
